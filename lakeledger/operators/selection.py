@@ -89,9 +89,9 @@ def site_results(
 
 
 def extract_by_state(results: DataFrame, sites: DataFrame, states: str | Iterable[str] = "All") -> DataFrame:
-    """Results with the state of their site as ``US:<code>``, for all states or the listed codes."""
+    """Results with ``state``, the state of their site as ``US:<code>``, for all states or the listed codes."""
     chosen = sites if states == "All" else _restricted(sites, None, states)
-    coded = chosen.select("wqx_id", F.concat(F.lit("US:"), F.col("StateCode")).alias("statecode")).distinct()
+    coded = chosen.select("wqx_id", F.concat(F.lit("US:"), F.col("StateCode")).alias("state")).distinct()
     return results.join(coded, "wqx_id")
 
 

@@ -256,8 +256,12 @@ def log_edges(largest: Column, lo: float = 10.0, hi: float = 1000.0) -> Column:
 def log_bin_auto(counts: DataFrame, lo: float = 10.0, hi: float = 1000.0, count: str = "n_sites") -> DataFrame:
     """As ``log_bin`` with edges derived from the largest count, which is read once as a scalar subquery."""
     largest = counts.where(F.col(count) > 0).agg(F.max(count)).scalar()
-    edges = log_edges(largest, lo, hi)
-    return counts.withColumn("_edges", edges).withColumn("bin", _nearest_bin(F.col(count), F.col("_edges"))).drop("_edges")
+    return (
+        counts.withColumn("_largest", largest)
+        .withColumn("_edges", log_edges(F.col("_largest"), lo, hi))
+        .withColumn("bin", _nearest_bin(F.col(count), F.col("_edges")))
+        .drop("_largest", "_edges")
+    )
 
 
 def site_density_panel(
