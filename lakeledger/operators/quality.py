@@ -37,7 +37,7 @@ def keep_lake_sites(
     small.
     """
     lakes = df.where(is_lake_type(types))
-    return lakes if allowed is None else lakes.join(allowed.select("wqx_id").distinct(), "wqx_id", "left_semi")
+    return lakes if allowed is None else lakes.join(allowed.select("wqx_id"), "wqx_id", "left_semi")
 
 
 def drop_qa_activities(df: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def label_constituents(results: DataFrame, groups: Mapping[str, Iterable[str]] |
 
 def results_for_sites(results: DataFrame, sites: DataFrame) -> DataFrame:
     """Results taken at any of the given sites."""
-    return results.join(sites.select("wqx_id").distinct(), "wqx_id", "left_semi")
+    return results.join(sites.select("wqx_id"), "wqx_id", "left_semi")
 
 
 def site_results(

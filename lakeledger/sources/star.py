@@ -51,12 +51,14 @@ POLYGON_CORNERS = (
 REGION_NAMES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 
-def _recode(code: Column, table: dict, otherwise: Column | str | None) -> Column:
-    first, *rest = table.items()
-    chain = F.when(code == first[0], F.lit(first[1]))
-    for key, value in rest:
-        chain = chain.when(code == key, F.lit(value))
-    return chain.otherwise(otherwise)
+def _recode(code: str, table: dict, otherwise: str) -> Column:
+    """CASE over a fixed code table; ``code`` and ``otherwise`` are SQL expressions."""
+
+    def literal(value):
+        return f"'{value}'" if isinstance(value, str) else str(value)
+
+    cases = " ".join(f"WHEN {literal(key)} THEN {literal(value)}" for key, value in table.items())
+    return F.expr(f"CASE {code} {cases} ELSE {otherwise} END")
 
 
 def _padded(key: Column) -> Column:
@@ -69,9 +71,12 @@ class Star:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.directory = directory.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        return self._tables[name]
 
     def sites(self) -> DataFrame:
         key = F.col("c_custkey")
@@ -82,14 +87,12 @@ class Star:
             F.when(~unlocated, 25 + ((key * 7919) % 2400) / 100.0).alias("dec_lat_va"),
             F.when(~unlocated, -124 + ((key * 104729) % 5700) / 100.0).alias("dec_lon_va"),
             _padded(F.col("c_nationkey")).alias("StateCode"),
-            _recode(F.col("c_mktsegment"), LOCATION_OF_SEGMENT, "River/Stream").alias("MonitoringLocationTypeName"),
-            _recode(key % 15, dict(enumerate(SITE_TYPES[:-1])), SITE_TYPES[-1]).alias("siteType"),
+            _recode("c_mktsegment", LOCATION_OF_SEGMENT, "'River/Stream'").alias("MonitoringLocationTypeName"),
+            _recode("c_custkey % 15", dict(enumerate(SITE_TYPES[:-1])), f"'{SITE_TYPES[-1]}'").alias("siteType"),
         )
 
     def results(self) -> DataFrame:
-        quantity, unit_digit = F.col("l_quantity"), F.col("l_partkey") % 10
-        unknown_unit = F.when(F.col("l_suppkey") % 2 != 0, F.lit("NTU"))
-        brand = F.col("p_brand")
+        quantity = F.col("l_quantity")
         return (
             self.table("lineitem")
             .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -98,20 +101,20 @@ class Star:
             .select(
                 F.col("l_shipdate").cast("date").alias("Date"),
                 F.when(F.col("l_linenumber") == 7, -quantity).otherwise(quantity).alias("value"),
-                _recode(unit_digit, UNIT_OF_DIGIT, unknown_unit).alias("units"),
+                _recode("l_partkey % 10", UNIT_OF_DIGIT, "if(l_suppkey % 2 = 0, NULL, 'NTU')").alias("units"),
                 "wqx_id",
                 "dec_lat_va",
                 "dec_lon_va",
                 "StateCode",
-                _recode(
-                    F.col("o_orderpriority"), ACTIVITY_OF_PRIORITY, "Quality Control Sample-Field Replicate"
-                ).alias("ActivityTypeCode"),
-                _recode(F.col("l_returnflag"), {"R": "Water", "A": "Habitat"}, "Sediment").alias("ActivityMediaName"),
-                _recode(F.col("l_linestatus"), {"F": "Final"}, "Preliminary").alias("ResultStatusIdentifier"),
+                _recode("o_orderpriority", ACTIVITY_OF_PRIORITY, "'Quality Control Sample-Field Replicate'").alias(
+                    "ActivityTypeCode"
+                ),
+                _recode("l_returnflag", {"R": "Water", "A": "Habitat"}, "'Sediment'").alias("ActivityMediaName"),
+                _recode("l_linestatus", {"F": "Final"}, "'Preliminary'").alias("ResultStatusIdentifier"),
                 "MonitoringLocationTypeName",
                 "siteType",
-                _recode(brand, NAME_OF_BRAND, F.concat(F.lit("Other "), brand)).alias("characteristicName"),
-                _recode(F.col("p_type"), TYPE_OF_PART, "Organics, Pesticide").alias("characteristicType"),
+                _recode("p_brand", NAME_OF_BRAND, "concat('Other ', p_brand)").alias("characteristicName"),
+                _recode("p_type", TYPE_OF_PART, "'Organics, Pesticide'").alias("characteristicType"),
             )
         )
 
@@ -157,7 +160,7 @@ class Star:
             .where(~hole | (key % 2 == 1))
             .select(
                 key.alias("poly_id"),
-                _recode(key % 4, {0: 390, 1: 436, 2: 361}, F.lit(460)).alias("ftype"),
+                _recode("n_nationkey % 4", {0: 390, 1: 436, 2: 361}, "460").alias("ftype"),
                 "ring",
                 "k",
                 F.when(hole, west + 5.5 + F.col("dx")).otherwise(west + F.col("dx")).alias("x"),

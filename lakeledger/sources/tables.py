@@ -17,10 +17,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = COUNT_SCHEMA
     return spark.read.csv(path, schema=schema, header=True, nullValue="NA")
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "error", quoted: bool = True) -> None:
-    """CSV with a header line and ``NA`` for nulls; ``quoted=False`` never quotes a field."""
-    options = {} if quoted else {"quote": "\u0000"}
-    df.write.csv(path, header=True, nullValue="NA", mode=mode, **options)
+def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
+    """CSV with a header line and ``NA`` for nulls; a field is quoted only where it holds a separator."""
+    df.write.csv(path, header=True, nullValue="NA", mode=mode)
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
