@@ -29,8 +29,8 @@ def layer_name(state: Column, fips: Column, resolution: str = "M") -> Column:
 
 
 def two_decimals(number: Column) -> Column:
-    """At most two decimals, without trailing zeros: 2, 2.5, 2.25."""
-    return F.regexp_replace(F.format_string("%.2f", number), r"\.?0+$", "")
+    """At most two decimals, halves to even, without trailing zeros: 2, 2.5, 2.25."""
+    return F.regexp_replace(F.format_string("%.2f", F.bround(number, 2)), r"\.?0+$", "")
 
 
 def interval_text(low: Column, high: Column) -> Column:
