@@ -1,20 +1,11 @@
 """Search in sorted array columns."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def sorted_position(items: Column, value: Column, capacity: int, inclusive: bool = False) -> Column:
-    """How many entries of the ascending array are ``< value`` (``<= value`` if inclusive).
+def sorted_position(items: str, value: str, capacity: int) -> str:
+    """SQL for how many entries of an ascending array are less than a value.
 
     A binary search of log2(capacity) steps, so that looking a row up in a thousand bounds costs ten comparisons.
-    ``capacity`` is an upper bound of the array's length.
+    ``capacity`` is an upper bound of the array's length; probing past its end finds null and stays.
     """
-    steps = [1 << bit for bit in reversed(range(capacity.bit_length()))]
-
-    def advance(found, step):
-        probe = F.get(items, found + step - 1)
-        passed = probe <= value if inclusive else probe < value
-        return F.when(passed, found + step).otherwise(found)
-
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+    steps = ", ".join(str(1 << bit) for bit in reversed(range(capacity.bit_length())))
+    return f"aggregate(array({steps}), 0, (found, s) -> IF(get({items}, found + s - 1) < {value}, found + s, found))"

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import sorted_position
-
-MAX_PAGES = 65535
-
 
 def page_starts(lo: Column, hi: Column, stride: str, keep_empty: bool = False) -> Column:
     """First day of each page: ``lo`` stepped by ``stride`` (as in ``'5 years'``) up to ``hi``.
@@ -39,6 +35,19 @@ def page_windows(
     )
 
 
+def _calendar(spark, lo: str, hi: str, stride: str, bounds: str, keep_empty: bool) -> DataFrame:
+    """(day, page_start, page_end) for every day of the period; a shared boundary day is listed for both pages."""
+    period = spark.sql("SELECT CAST(:lo AS DATE) AS lo, CAST(:hi AS DATE) AS hi", args={"lo": lo, "hi": hi})
+    pages = page_windows(period, stride, keep_empty=keep_empty)
+    shared = (F.col("_day") < F.col("end")) | (F.col("end") == F.col("hi"))
+    if bounds == "closed":
+        shared = F.lit(True)
+    days = F.explode(F.sequence("start", "end"))
+    return pages.select(days.alias("_day"), "start", "end", "hi").where(shared).select(
+        "_day", F.col("start").alias("page_start"), F.col("end").alias("page_end")
+    )
+
+
 def read_paged(
     results: DataFrame,
     lo: str,
@@ -51,26 +60,14 @@ def read_paged(
     """Rows of the period with the page they are read on.
 
     ``closed`` pages share their boundary day, whose rows appear on both; ``half_open`` pages partition the period.
-    The page follows from a binary search in a constant array: no join, no shuffle, and the date range reaches
-    the scan as a plain filter.
+    The range condition becomes an equality with a calendar that has a row per day, so its size is set by the period
+    alone and it can always be broadcast; the period itself reaches the scan as a plain filter.
     """
     if bounds not in ("closed", "half_open"):
         raise ValueError(f"bounds must be 'closed' or 'half_open', not {bounds!r}")
-    first, last, day = F.lit(lo).cast("date"), F.lit(hi).cast("date"), F.col(date)
-    starts = page_starts(first, last, stride, keep_empty)
-    own = sorted_position(starts, day, MAX_PAGES, inclusive=True)
-    pages = F.array(F.col("_own"))
-    if bounds == "closed":
-        shared = (F.col("_own") > 1) & (day == F.get(starts, F.col("_own") - 1))
-        pages = F.when(shared, F.array(F.col("_own") - 1, F.col("_own"))).otherwise(pages)
+    calendar = _calendar(results.sparkSession, lo, hi, stride, bounds, keep_empty)
     return (
-        results.where(day.between(first, last))
-        .withColumn("_own", own)
-        .where(F.col("_own") > 0)
-        .select(*results.columns, F.explode(pages).alias("page"))
-        .select(
-            *results.columns,
-            F.get(starts, F.col("page") - 1).alias("page_start"),
-            F.coalesce(F.get(starts, F.col("page")), last).alias("page_end"),
-        )
+        results.where(F.col(date).between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
+        .join(F.broadcast(calendar), F.col(date) == F.col("_day"))
+        .select(*results.columns, "page_start", "page_end")
     )

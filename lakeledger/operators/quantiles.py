@@ -8,15 +8,15 @@ the cluster, and the sketch only decides where to cut: the result is exact where
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import sorted_position
 
 CUTS = 1023
-SKETCH_ACCURACY = 10000
+SKETCH_ACCURACY = 4 * (CUTS + 1)
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -40,71 +40,81 @@ def roll_up(counts: DataFrame, keys: Sequence[str], value: str, away: Sequence[s
     )
 
 
-def exact_quantiles(counts: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles (the default of R, ``percentile`` of Spark) from counted values.
+def _ranks(prob: float) -> tuple[str, str, str]:
+    """Zero-based position of a quantile among the group's values and the two ranks around it, as SQL."""
+    place = f"((_total - 1) * {float(prob)!r}D)"
+    return place, f"floor({place})", f"ceil({place})"
 
-    ``probs`` maps output column to probability. One row per group of ``keys``, which may be null.
-    """
-    # A struct is equal to itself when its fields are null, so null keys group and join like any other.
-    v = counts.select(
-        F.struct(*keys).alias("_g"), F.col(value).cast("double").alias("_v"), F.col("n").alias("_n")
-    )
+
+def _slices(v: DataFrame) -> DataFrame:
+    """Each group cut into slices of consecutive values: exact weight, least and greatest value."""
     # One text literal: a thousand separate literals would be walked by every rule of the optimizer.
     grid = ",".join(repr((i + 1) / (CUTS + 1)) for i in range(CUTS))
     cuts = F.expr(f"percentile_approx(_v, cast(split('{grid}', ',') as array<double>), {SKETCH_ACCURACY})")
     groups = v.groupBy("_g").agg(cuts.alias("_cuts"), F.sum("_n").alias("_total"))
-    slices = (
+    return (
         v.join(groups, "_g")
-        .groupBy("_g", "_total", sorted_position(F.col("_cuts"), F.col("_v"), CUTS).alias("_slice"))
+        .selectExpr("_g", "_total", "_v", "_n", f"{sorted_position('_cuts', '_v', CUTS)} AS _slice")
+        .groupBy("_g", "_total", "_slice")
         .agg(F.sum("_n").alias("_weight"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
     )
-    # At most CUTS + 1 slices per group, so this window is small whatever the group holds.
-    before = F.sum("_weight").over(
-        Window.partitionBy("_g").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    ) - F.col("_weight")
 
-    def place(prob: float):
-        return (F.col("_total") - 1) * F.lit(float(prob))
 
-    ranks = F.array_distinct(
-        F.array(*[edge(place(p)).cast("long") for p in probs.values() for edge in (F.floor, F.ceil)])
-    )
+def _candidates(v: DataFrame, probs: Iterable[float]) -> DataFrame:
+    """The values of the slices that hold a wanted rank, with the weight before their slice.
+
+    Values are taken by the slice's bounds, so only facts about the data pass from one step to the next.
+    """
+    ranks = ", ".join(rank for p in probs for rank in _ranks(p)[1:])
+    # At most CUTS + 1 slices per group, so this window is small whatever the group holds.
+    upto = "sum(_weight) OVER (PARTITION BY _g ORDER BY _slice ROWS UNBOUNDED PRECEDING)"
     wanted = (
-        slices.withColumn("_before", before)
-        .withColumn(
-            "_ranks",
-            F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_weight"))),
+        _slices(v)
+        .selectExpr("_g", "_total", "_from", "_to", "_weight", f"{upto} - _weight AS _before")
+        .selectExpr(
+            "_g", "_total", "_from", "_to", "_before",
+            f"filter(array_distinct(array({ranks})), r -> r >= _before AND r < _before + _weight) AS _ranks",
         )
-        .where(F.size("_ranks") > 0)
-        .select("_g", "_total", "_from", "_to", "_before", "_ranks")
-    )
-    inside = F.col("v._v").between(F.col("w._from"), F.col("w._to"))
-    candidates = v.alias("v").join(wanted.alias("w"), (F.col("v._g") == F.col("w._g")) & inside)
-    upto = F.col("_before") + F.sum("_n").over(
-        Window.partitionBy("_g", "_from").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        .where("size(_ranks) > 0")
     )
-    ranked = (
-        candidates.select("v._g", "_v", "_n", "_total", "_from", "_before", "_ranks")
-        .withColumn("_upto", upto)
-        .withColumn("_since", F.col("_upto") - F.col("_n"))
-        .where(F.exists("_ranks", lambda r: (r >= F.col("_since")) & (r < F.col("_upto"))))
+    return (
+        v.alias("v")
+        .join(wanted.alias("w"), F.expr("v._g = w._g AND v._v BETWEEN w._from AND w._to"))
+        .selectExpr("v._g", "_v", "_n", "_total", "_from", "_before", "_ranks")
     )
 
-    def at_rank(rank):
-        return F.max(F.when((rank >= F.col("_since")) & (rank < F.col("_upto")), F.col("_v")))
 
-    picked = ranked.groupBy("_g", "_total").agg(
-        *[
-            F.struct(at_rank(F.floor(place(p))).alias("low"), at_rank(F.ceil(place(p))).alias("high")).alias(name)
-            for name, p in probs.items()
-        ]
+def exact_quantiles(counts: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles (the default of R, ``percentile`` of Spark) from counted values.
+
+    ``probs`` maps output column to probability. One row per group of ``keys``, which may be null.
+    """
+    # A struct is equal to itself when its fields are null, so null keys group and join like any other.
+    group = ", ".join(f"`{name}`" for name in keys)
+    v = counts.selectExpr(f"struct({group}) AS _g", f"CAST(`{value}` AS DOUBLE) AS _v", "n AS _n")
+    upto = "_before + sum(_n) OVER (PARTITION BY _g, _from ORDER BY _v ROWS UNBOUNDED PRECEDING)"
+
+    def value_at(rank: str) -> str:
+        return f"max(IF({rank} >= _upto - _n AND {rank} < _upto, _v, NULL))"
+
+    around = [
+        F.expr(f"{value_at(rank)}").alias(f"_{end}{i}")
+        for i, p in enumerate(probs.values())
+        for end, rank in zip(("low", "high"), _ranks(p)[1:])
+    ]
+    picked = (
+        _candidates(v, probs.values())
+        .selectExpr("_g", "_v", "_n", "_total", "_ranks", f"{upto} AS _upto")
+        .where("exists(_ranks, r -> r >= _upto - _n AND r < _upto)")
+        .groupBy("_g", "_total")
+        .agg(*around)
     )
 
-    def between(name: str, prob: float):
-        low, high = F.col(f"{name}.low"), F.col(f"{name}.high")
-        share = place(prob) - F.floor(place(prob))
-        return F.when(low == high, low).otherwise(low * (1 - share) + high * share)
+    def interpolated(i: int, prob: float) -> str:
+        place, low, _ = _ranks(prob)
+        return f"IF(_low{i} = _high{i}, _low{i}, _low{i} + (_high{i} - _low{i}) * ({place} - {low}))"
 
-    return picked.select(
-        *[F.col(f"_g.{name}").alias(name) for name in keys], *[between(n, p).alias(n) for n, p in probs.items()]
+    return picked.selectExpr(
+        *[f"_g.`{name}` AS `{name}`" for name in keys],
+        *[f"{interpolated(i, p)} AS `{name}`" for i, (name, p) in enumerate(probs.items())],
     )

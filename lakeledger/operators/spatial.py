@@ -41,102 +41,89 @@ def polygons_from_vertices(vertices: DataFrame, keep: Sequence[str] = (), x: str
 
     ``keep`` names polygon attributes. What is gathered per row is the outline of a single polygon.
     """
-    path = F.array_sort(F.collect_list(F.struct("ring", "k", F.col(x).alias("x"), F.col(y).alias("y"))))
     gathered = vertices.groupBy("poly_id", *keep).agg(
-        path.alias("_path"),
+        F.expr(f"array_sort(collect_list(struct(ring, k, `{x}` AS x, `{y}` AS y)))").alias("_path"),
         F.struct(
             F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax")
         ).alias("bbox"),
     )
-    members = F.array_distinct(F.transform("_path", lambda p: p["ring"]))
-    rings = F.transform(
-        members,
-        lambda ring: F.transform(
-            F.filter("_path", lambda p: p["ring"] == ring), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))
-        ),
-    )
-    return gathered.select("poly_id", *keep, rings.alias("rings"), "bbox")
+    rings = """
+        transform(array_distinct(transform(_path, p -> p.ring)),
+                  r -> transform(filter(_path, p -> p.ring = r), p -> struct(p.x AS x, p.y AS y)))"""
+    return gathered.select("poly_id", *keep, F.expr(rings).alias("rings"), "bbox")
 
 
-def _edges(rings: Column) -> Column:
-    """All edges of all rings; a ring that is not closed is closed by its last edge."""
+# The geometry below is SQL text over column names: it is all lambdas, which read better so than nested calls.
 
-    def of_ring(ring):
-        def edge(start, i):
-            end = F.get(ring, (i + 1) % F.size(ring))
-            return F.struct(
-                start["x"].alias("x1"), start["y"].alias("y1"), end["x"].alias("x2"), end["y"].alias("y2")
-            )
+# All edges of all rings; a ring that is not closed is closed by its last edge.
+EDGES = """
+    flatten(transform(rings, r -> transform(r, (p, i) ->
+        struct(p.x AS x1, p.y AS y1, get(r, (i + 1) % size(r)).x AS x2, get(r, (i + 1) % size(r)).y AS y2))))"""
 
-        return F.transform(ring, edge)
 
-    return F.flatten(F.transform(rings, of_ring))
+def _odd_crossings(edges: str, x: str, y: str) -> str:
+    """Does a ray towards growing x cross an odd number of edges? Even-odd over all rings makes holes outside.
 
+    A level edge never spans the ray's height, but ANSI mode would still refuse to divide by its own: try_divide.
+    """
+    return f"""
+        size(filter({edges}, e -> (e.y1 > {y}) <> (e.y2 > {y})
+            AND {x} < (e.x2 - e.x1) * try_divide({y} - e.y1, e.y2 - e.y1) + e.x1)) % 2 = 1"""
 
-def _odd_crossings(edges: Column, x: Column, y: Column) -> Column:
-    """Does a ray towards growing x cross an odd number of edges? Even-odd over all rings makes holes outside."""
 
-    def crosses(e):
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        # try_divide: a level edge never spans, but ANSI mode would still refuse to divide by its height.
-        meets = (e["x2"] - e["x1"]) * F.try_divide(y - e["y1"], e["y2"] - e["y1"]) + e["x1"]
-        return spans & (x < meets)
+def _on_edge(edges: str, x: str, y: str) -> str:
+    return f"""
+        exists({edges}, e -> {x} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)
+            AND {y} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)
+            AND (e.x2 - e.x1) * ({y} - e.y1) = ({x} - e.x1) * (e.y2 - e.y1))"""
 
-    return F.size(F.filter(edges, crosses)) % 2 == 1
 
+def _cell(value: str, size: str | float) -> str:
+    divisor = f"{size!r}D" if isinstance(size, float) else size
+    return f"CAST(floor({value} / {divisor}) AS BIGINT)"
 
-def _on_edge(edges: Column, x: Column, y: Column) -> Column:
-    def touches(e):
-        level = (e["x2"] - e["x1"]) * (y - e["y1"]) == (x - e["x1"]) * (e["y2"] - e["y1"])
-        in_x = x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-        in_y = y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-        return in_x & in_y & level
 
-    return F.exists(edges, touches)
+def _cell_range(axis: str, size: str | float) -> tuple[str, str]:
+    return _cell(f"bbox.{axis}min", size), _cell(f"bbox.{axis}max", size)
 
 
-def _cell(value: Column, size: Column | float) -> Column:
-    return F.floor(value / size).cast("long")
+def _level(grid: Grid) -> str:
+    """Index of the finest cell size at which the polygon covers few enough cells, else of the coarsest."""
+    cases = []
+    for i, size in enumerate(grid.sizes[:-1]):
+        (x0, x1), (y0, y1) = _cell_range("x", size), _cell_range("y", size)
+        cases.append(f"WHEN ({x1} - {x0} + 1) * ({y1} - {y0} + 1) <= {grid.max_cells} THEN {i}")
+    last = len(grid.sizes) - 1
+    return f"CASE {' '.join(cases)} ELSE {last} END" if cases else str(last)
 
 
 def polygon_cells(polygons: DataFrame, grid: Grid, keep: Sequence[str] = ()) -> DataFrame:
     """Polygons listed under the cells they may contain points in, with the edges that matter there."""
-    box = {name: F.col(f"bbox.{name}") for name in ("xmin", "ymin", "xmax", "ymax")}
-
-    def covered(size: float) -> Column:
-        wide = _cell(box["xmax"], size) - _cell(box["xmin"], size) + 1
-        high = _cell(box["ymax"], size) - _cell(box["ymin"], size) + 1
-        return wide * high
-
-    level = F.lit(len(grid.sizes) - 1)
-    for finer in reversed(range(len(grid.sizes) - 1)):
-        level = F.when(covered(grid.sizes[finer]) <= grid.max_cells, F.lit(finer)).otherwise(level)
-    size = F.get(F.array(*[F.lit(s) for s in grid.sizes]), F.col("_level"))
+    sizes = ", ".join(f"{float(size)!r}D" for size in grid.sizes)
+    columns = ["poly_id", *keep, "bbox"]
 
     # Cell borders are widened a little so that rounding can only keep an edge, never lose one.
-    low_x, high_x = (F.col("_cx") - 1e-9) * F.col("_size"), (F.col("_cx") + 1 + 1e-9) * F.col("_size")
-    low_y, high_y = (F.col("_cy") - 1e-9) * F.col("_size"), (F.col("_cy") + 1 + 1e-9) * F.col("_size")
-    in_row = F.filter(
-        "_edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= low_y) & (F.least(e["y1"], e["y2"]) <= high_y)
-    )
-    rightward = F.filter("_edges", lambda e: F.greatest(e["x1"], e["x2"]) >= low_x)
-    crossed = F.exists("_edges", lambda e: F.least(e["x1"], e["x2"]) <= high_x)
-    middle = _odd_crossings(F.col("_edges"), (F.col("_cx") + 0.5) * F.col("_size"), (F.col("_cy") + 0.5) * F.col("_size"))
-    nothing = F.filter("_edges", lambda e: F.lit(False))
+    def low(c: str) -> str:
+        return f"({c} - 1e-9D) * _size"
+
+    def high(c: str) -> str:
+        return f"({c} + 1 + 1e-9D) * _size"
 
+    in_row = f"filter(_all, e -> greatest(e.y1, e.y2) >= {low('_cy')} AND least(e.y1, e.y2) <= {high('_cy')})"
+    rightward = f"filter(_row, e -> greatest(e.x1, e.x2) >= {low('_cx')})"
+    crossed = f"exists(_right, e -> least(e.x1, e.x2) <= {high('_cx')})"
+    middle = _odd_crossings("_right", "((_cx + 0.5D) * _size)", "((_cy + 0.5D) * _size)")
+    (x0, x1), (y0, y1) = _cell_range("x", "_size"), _cell_range("y", "_size")
     return (
-        polygons.select("poly_id", *keep, "bbox", _edges(F.col("rings")).alias("_edges"), level.alias("_level"))
-        .withColumn("_size", size)
-        .withColumn("_cy", F.explode(F.sequence(_cell(box["ymin"], F.col("_size")), _cell(box["ymax"], F.col("_size")))))
-        .withColumn("_edges", in_row)
-        .withColumn("_cx", F.explode(F.sequence(_cell(box["xmin"], F.col("_size")), _cell(box["xmax"], F.col("_size")))))
-        .withColumn("_edges", rightward)
-        .withColumn("_crossed", crossed)
-        .where(F.col("_crossed") | middle)
-        .select(
-            "poly_id", *keep, "bbox", "_level", "_cx", "_cy",
-            F.when(F.col("_crossed"), F.col("_edges")).otherwise(nothing).alias("_edges"),
-        )
+        polygons.selectExpr(*columns, f"{EDGES} AS _all", f"{_level(grid)} AS _level")
+        .selectExpr("*", f"get(array({sizes}), _level) AS _size")
+        .selectExpr("*", f"explode(sequence({y0}, {y1})) AS _cy")
+        .selectExpr(*columns, "_level", "_size", "_cy", f"{in_row} AS _row")
+        .selectExpr("*", f"explode(sequence({x0}, {x1})) AS _cx")
+        .selectExpr(*columns, "_level", "_size", "_cy", "_cx", f"{rightward} AS _right")
+        .selectExpr(*columns, "_level", "_size", "_cy", "_cx", "_right", f"{crossed} AS _crossed")
+        .where(f"_crossed OR {middle}")
+        .selectExpr(*columns, "_level", "_cx", "_cy", "IF(_crossed, _right, filter(_right, e -> false)) AS _edges")
     )
 
 
@@ -153,27 +140,22 @@ def point_in_polygon(
     Returns the point's columns, ``poly_id`` and the polygon attributes named in ``keep``. The planner broadcasts the
     polygon cells only if it finds them small; otherwise crowded cells are left to the adaptive skew join.
     """
-    px, py = F.col(x), F.col(y)
-    probes = F.array(
-        *[
-            F.struct(F.lit(i).alias("_level"), _cell(px, s).alias("_cx"), _cell(py, s).alias("_cy"))
-            for i, s in enumerate(grid.sizes)
-        ]
+    probes = ", ".join(
+        f"struct({i} AS _level, {_cell(f'`{x}`', float(size))} AS _cx, {_cell(f'`{y}`', float(size))} AS _cy)"
+        for i, size in enumerate(grid.sizes)
     )
-    probing = points.where(px.isNotNull() & py.isNotNull()).select(*points.columns, F.inline(probes))
+    probing = points.where(f"`{x}` IS NOT NULL AND `{y}` IS NOT NULL").selectExpr("*", f"inline(array({probes}))")
     cells = polygon_cells(polygons, grid, keep)
-    p, c = probing.alias("p"), cells.alias("c")
-    qx, qy, edges = F.col(f"p.{x}"), F.col(f"p.{y}"), F.col("c._edges")
-    same_cell = (
-        (F.col("p._level") == F.col("c._level")) & (F.col("p._cx") == F.col("c._cx")) & (F.col("p._cy") == F.col("c._cy"))
-    )
-    in_box = (
-        (qx > F.col("c.bbox.xmin")) & (qx < F.col("c.bbox.xmax"))
-        & (qy > F.col("c.bbox.ymin")) & (qy < F.col("c.bbox.ymax"))
-    )
-    inside = (F.size(edges) == 0) | (_odd_crossings(edges, qx, qy) & ~_on_edge(edges, qx, qy))
-    return p.join(c, same_cell & in_box & inside).select(
-        *[F.col(f"p.{name}") for name in points.columns], "c.poly_id", *[F.col(f"c.{name}") for name in keep]
+    qx, qy = f"p.`{x}`", f"p.`{y}`"
+    matches = f"""
+        p._level = c._level AND p._cx = c._cx AND p._cy = c._cy
+        AND {qx} > c.bbox.xmin AND {qx} < c.bbox.xmax AND {qy} > c.bbox.ymin AND {qy} < c.bbox.ymax
+        AND (size(c._edges) = 0
+             OR ({_odd_crossings("c._edges", qx, qy)} AND NOT {_on_edge("c._edges", qx, qy)}))"""
+    return (
+        probing.alias("p")
+        .join(cells.alias("c"), F.expr(matches))
+        .selectExpr(*[f"p.`{name}`" for name in points.columns], "c.poly_id", *[f"c.`{name}`" for name in keep])
     )
 
 
@@ -181,8 +163,7 @@ def assign_polygon(
     points: DataFrame, polygons: DataFrame, id: str = "wqx_id", x: str = "lon", y: str = "lat", grid: Grid = DEGREES
 ) -> DataFrame:
     """Every point with the lowest id of the polygons it lies in, or null."""
-    located = points.select(id, x, y).distinct()
-    hits = point_in_polygon(located, polygons, x, y, grid).groupBy(id).agg(F.min("poly_id").alias("poly_id"))
+    hits = point_in_polygon(points.select(id, x, y), polygons, x, y, grid).groupBy(id).agg(F.min("poly_id").alias("poly_id"))
     return points.join(hits, id, "left")
 
 
@@ -230,27 +211,23 @@ def count_per_polygon(
     return polygons.select("poly_id").join(counts, "poly_id", "left").fillna(0, ["n_sites"])
 
 
-def _nearest_bin(count: Column, edges: Column) -> Column:
+def _nearest_bin(count: str, edges: str) -> Column:
     """1 for zero; otherwise 2 plus the index of the edge nearest in log space, the first one on a tie."""
-    distances = F.transform(
-        edges, lambda edge, i: F.struct(F.abs(F.ln(count) - F.ln(edge)).alias("distance"), i.alias("i"))
-    )
-    return F.when(count == 0, F.lit(1)).otherwise(F.array_min(distances)["i"] + 2).cast("int")
+    distances = f"transform({edges}, (e, i) -> struct(abs(ln(`{count}`) - ln(e)) AS distance, i AS i))"
+    return F.expr(f"CAST(IF(`{count}` = 0, 1, array_min({distances}).i + 2) AS INT)")
 
 
 def log_bin(counts: DataFrame, bins: Sequence[int] = lookups.COUNT_BINS, count: str = "n_sites") -> DataFrame:
     """Adds ``bin``: 1 is the class without sites, then one class per edge after the leading zero of ``bins``."""
-    edges = F.array(*[F.lit(float(edge)) for edge in bins[1:]])
-    return counts.withColumn("bin", _nearest_bin(F.col(count), edges))
+    edges = ", ".join(f"{float(edge)!r}D" for edge in bins[1:])
+    return counts.withColumn("bin", _nearest_bin(count, f"array({edges})"))
 
 
-def log_edges(largest: Column, lo: float = 10.0, hi: float = 1000.0) -> Column:
+def log_edges(largest: str, lo: float = 10.0, hi: float = 1000.0) -> Column:
     """1-2-5 series within ``lo..hi``, up to 5 times the power of ten nearest to ``largest`` in log space."""
-    decades = F.sequence(F.lit(-1), F.greatest(F.lit(-1), F.round(F.log10(largest)).cast("int")))
-    series = F.flatten(
-        F.transform(decades, lambda d: F.transform(F.array(*map(F.lit, (1.0, 2.0, 5.0))), lambda m: m * F.pow(F.lit(10.0), d)))
-    )
-    return F.filter(series, lambda edge: (edge >= lo) & (edge <= hi))
+    decades = f"sequence(-1, greatest(-1, CAST(round(log10({largest})) AS INT)))"
+    series = f"flatten(transform({decades}, d -> transform(array(1D, 2D, 5D), m -> m * power(10D, d))))"
+    return F.expr(f"filter({series}, e -> e BETWEEN {lo!r}D AND {hi!r}D)")
 
 
 def log_bin_auto(counts: DataFrame, lo: float = 10.0, hi: float = 1000.0, count: str = "n_sites") -> DataFrame:
@@ -258,8 +235,8 @@ def log_bin_auto(counts: DataFrame, lo: float = 10.0, hi: float = 1000.0, count:
     largest = counts.where(F.col(count) > 0).agg(F.max(count)).scalar()
     return (
         counts.withColumn("_largest", largest)
-        .withColumn("_edges", log_edges(F.col("_largest"), lo, hi))
-        .withColumn("bin", _nearest_bin(F.col(count), F.col("_edges")))
+        .withColumn("_edges", log_edges("_largest", float(lo), float(hi)))
+        .withColumn("bin", _nearest_bin(count, "_edges"))
         .drop("_largest", "_edges")
     )
 

@@ -3,8 +3,8 @@
 from pyspark.sql import SparkSession
 
 
-def local_session(name: str, cores: int | str = 8, memory: str = "12g") -> SparkSession:
-    spark = (
+def local_session(name: str, cores: int | str = 8, memory: str = "12g", **settings: str) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.driver.memory", memory)
@@ -12,7 +12,9 @@ def local_session(name: str, cores: int | str = 8, memory: str = "12g") -> Spark
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

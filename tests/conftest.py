@@ -9,8 +9,14 @@ from lakeledger.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", cores=8, memory="8g")
+def shared_folder(tmp_path_factory):
+    """Stands for the folder a cluster names in spark.checkpoint.dir."""
+    return str(tmp_path_factory.mktemp("shared"))
+
+
+@pytest.fixture(scope="session")
+def spark(shared_folder):
+    session = local_session("tests", cores=8, memory="8g", **{"spark.checkpoint.dir": shared_folder})
     yield session
     session.stop()
 

@@ -120,7 +120,7 @@ def test_a_tie_in_log_space_takes_the_first_edge(spark):
 
 def test_automatic_edges_follow_the_largest_count(spark):
     def edges(largest):
-        return spark.range(1).select(spatial.log_edges(F.lit(largest)).alias("e")).first()["e"]
+        return spark.range(1).select(spatial.log_edges(repr(largest) + "D").alias("e")).first()["e"]
 
     assert edges(40.0) == [10.0, 20.0, 50.0, 100.0, 200.0, 500.0]
     assert edges(20.0) == [10.0, 20.0, 50.0]
