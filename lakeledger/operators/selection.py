@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lookups
@@ -124,9 +124,17 @@ def normalize_results(raw: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def site_locations(results: DataFrame) -> DataFrame:
-    """Mean coordinates of each site, ignoring nulls; sites without a coordinate are dropped."""
+    """Mean coordinates of each site, ignoring nulls; sites without a coordinate are dropped.
+
+    Where all results of a site agree its coordinate is taken as it is: a sum over many rows would move it by
+    rounding, and a site on a polygon's edge with it.
+    """
+
+    def mean(name: str) -> Column:
+        return F.when(F.min(name) == F.max(name), F.min(name)).otherwise(F.avg(name))
+
     return (
         results.groupBy("wqx_id")
-        .agg(F.avg("dec_lat_va").alias("lat"), F.avg("dec_lon_va").alias("lon"))
+        .agg(mean("dec_lat_va").alias("lat"), mean("dec_lon_va").alias("lon"))
         .dropna(subset=["lat", "lon"])
     )

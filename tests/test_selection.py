@@ -137,6 +137,8 @@ def test_day_strides(spark):
 def test_site_locations(spark, rows):
     df = spark.createDataFrame([("A", 1.0, 2.0), ("A", 3.0, None), ("B", None, 1.0)], "wqx_id string, dec_lat_va double, dec_lon_va double")
     assert rows(selection.site_locations(df)) == [("A", 2.0, 2.0)]
+    same = spark.range(1000).selectExpr("'A' as wqx_id", "25.13D as dec_lat_va", "-99.97D as dec_lon_va")
+    assert rows(selection.site_locations(same)) == [("A", 25.13, -99.97)]
 
 
 def test_lookup_literals_survive_quotes(spark, rows):
