@@ -278,14 +278,17 @@ def constituent_names(spark: SparkSession, groups=None) -> DataFrame:
     return literal_frame(spark, rows, constituent="string", characteristicName="string")
 
 
-def map_targets(spark: SparkSession, targets: Iterable[str] = MAP_TARGETS) -> DataFrame:
+def map_targets(
+    spark: SparkSession, targets: Iterable[str] = MAP_TARGETS, constituents=None, scopes=None
+) -> DataFrame:
     """``<constituent>_<scope>`` names resolved to (target, constituent, required site type or null)."""
+    constituents, scopes = constituents or MAP_CONSTITUENTS, scopes or MAP_SCOPES
     rows = []
     for target in targets:
         constituent, scope = target.split("_")
-        if constituent not in MAP_CONSTITUENTS:
+        if constituent not in constituents:
             raise KeyError(f"unknown constituent in target {target!r}")
-        rows.append((target, constituent, MAP_SCOPES[scope]))
+        rows.append((target, constituent, scopes[scope]))
     return literal_frame(spark, rows, target="string", constituent="string", neededType="string")
 
 

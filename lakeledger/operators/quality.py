@@ -121,6 +121,8 @@ def dedupe_first(df: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS, order: Seq
     map-side first: a key holding a third of the table leaves one row per task before the shuffle.
     """
     rest = [name for name in df.columns if name not in (*keys, *order)]
+    if not (order or rest):
+        return df.distinct()
     first = F.min(F.struct(*order, *rest)).alias("_first")
     return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
 

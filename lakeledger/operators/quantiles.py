@@ -89,6 +89,8 @@ def exact_quantiles(counts: DataFrame, keys: Sequence[str], value: str, probs: M
 
     ``probs`` maps output column to probability. One row per group of ``keys``, which may be null.
     """
+    if not keys:
+        raise ValueError("name the group's columns; roll_up gives quantiles over all groups")
     # A struct is equal to itself when its fields are null, so null keys group and join like any other.
     group = ", ".join(f"`{name}`" for name in keys)
     v = counts.selectExpr(f"struct({group}) AS _g", f"CAST(`{value}` AS DOUBLE) AS _v", "n AS _n")

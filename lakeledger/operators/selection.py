@@ -44,6 +44,7 @@ def resolve_targets(
     sites: DataFrame,
     targets: Iterable[str] = lookups.MAP_TARGETS,
     constituents: Mapping[str, Iterable[str]] | None = None,
+    scopes: Mapping[str, str | None] | None = None,
 ) -> DataFrame:
     """The site set of every target at once, as distinct (target, wqx_id).
 
@@ -55,7 +56,7 @@ def resolve_targets(
     typed = pairs.join(sites.select("wqx_id", "siteType"), "wqx_id")
     fits = F.col("neededType").isNull() | (F.col("neededType") == F.col("siteType"))
     return (
-        typed.join(F.broadcast(lookups.map_targets(spark, targets)), "constituent")
+        typed.join(F.broadcast(lookups.map_targets(spark, targets, constituents, scopes)), "constituent")
         .where(fits)
         .select("target", "wqx_id")
         .distinct()

@@ -8,6 +8,7 @@ def local_session(name: str, cores: int | str = 8, memory: str = "12g", **settin
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.driver.memory", memory)
+        .config("spark.driver.extraJavaOptions", "-XX:+UseParallelGC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")

@@ -64,6 +64,11 @@ def test_dedupe_is_idempotent_and_independent_of_partitioning(spark, rows):
     assert rows(once) == rows(quality.dedupe_first(df.repartition(7).orderBy(F.rand(3))))
 
 
+def test_rows_that_are_all_key(spark, rows):
+    df = spark.createDataFrame([(1,), (1,), (None,), (None,)], "a int")
+    assert rows(quality.dedupe_first(df, ["a"])) == [(None,), (1,)]
+
+
 def test_units_lose_spaces_and_unknown_ones_go(spark, rows):
     df = frame(spark, result(value=-3.0, units="f t"), result(value=2.0, units=" m"), result(units="NTU"), result(units=None))
     kept = quality.convert_units(df)

@@ -44,6 +44,14 @@ def test_targets_resolve_to_their_site_sets(sites, results, rows):
         selection.resolve_targets(results, sites, ["gold_all"])
 
 
+def test_targets_from_another_configuration(sites, results, rows):
+    found = selection.resolve_targets(
+        results, sites, ["clarity_streams", "heat_streams"],
+        constituents={"clarity": ["Secchi depth"], "heat": ["Temperature"]}, scopes={"streams": "Stream"},
+    )
+    assert rows(found) == [("heat_streams", "C")]
+
+
 def test_constituent_groups_have_their_sizes():
     assert {name: len(names) for name, names in lookups.CONSTITUENT_GROUPS.items()} == {
         "DOC": 5, "temperature": 3, "phosphorus": 16, "chlorophyll": 13, "DO": 4, "DIC": 2, "pH": 1,
