@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_documents
 from .quality import quality_rules
+from .token_counts import token_counts
+from .token_files import read_token_files, write_token_files
 from .url_filters import url_filter
 
+#: Files of public tokenizers; the path is a parameter of every operator.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_PIECES = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The id that ends a document in token files.
+END_ID = 2
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 URL_RULES = (
@@ -29,6 +39,12 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+@query
+def op2_byte_pair_encoding(spark: SparkSession, directory: str) -> DataFrame:
+    encoded = encode_documents(table(spark, directory, "documents"), BYTE_BPE, keep_ids=False)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 @query
 def op3_url_filters(spark: SparkSession, directory: str) -> DataFrame:
     return url_filter(table(spark, directory, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -39,3 +55,14 @@ def op8_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     return quality_rules(table(spark, directory, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query
+def op9_token_counts(spark: SparkSession, directory: str) -> DataFrame:
+    counted = token_counts(table(spark, directory, "documents").select("doc_id", "text"), BYTE_PIECES)
+    return counted.select("doc_id", "n_words", "n_tokens", "n_unknown")
+
+
+@query
+def op10_token_files(spark: SparkSession, directory: str) -> DataFrame:
+    return read_token_files(write_token_files(table(spark, directory, "documents"), BYTE_BPE, end=END_ID))
