@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
 from .quality import quality_rules
+from .simhash import near_duplicates
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 from .url_filters import url_filter
@@ -50,6 +51,12 @@ def op3_url_filters(spark: SparkSession, directory: str) -> DataFrame:
     return url_filter(table(spark, directory, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op6_simhash(spark: SparkSession, directory: str) -> DataFrame:
+    found = near_duplicates(table(spark, directory, "documents"), shingle=3, distance=2, with_text=False)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 @query
 def op8_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     return quality_rules(table(spark, directory, "documents")).select(
