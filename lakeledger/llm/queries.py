@@ -12,6 +12,7 @@ from .chat import format_chat, read_chat
 from .edit_fingerprints import edited_likeness
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 from .url_filters import url_filter
@@ -42,6 +43,12 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents").select("doc_id", "text")
+    return remove_repeats(docs, length=50, replace_text=False)
+
+
 @query
 def op2_byte_pair_encoding(spark: SparkSession, directory: str) -> DataFrame:
     encoded = encode_documents(table(spark, directory, "documents"), BYTE_BPE, keep_ids=False)
