@@ -25,7 +25,7 @@ HEADER = struct.Struct("<8sQIB3x")  # magic, ids, ids a chunk, bits a plane (1 o
 CHUNK = 1 << 16
 #: Ids after which a file ends, with the document that reaches them.
 FILE_IDS = 1 << 20
-TOGETHER = 12_000_000
+TOGETHER = 6_000_000
 
 
 def pack_ids(ids: np.ndarray, chunk: int = CHUNK, bits: int = 8, level: int = 3) -> bytes:
@@ -99,8 +99,18 @@ def _library_ids(path: str) -> WordIds:
     return WordIds(encode, special)
 
 
+def _bytes(ids: np.ndarray) -> bytes:
+    """Ids on their way to a file: the bytes an id takes, 2 if all fit and else 4, then the ids."""
+    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
+def _ids(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype("<u4")
+
+
 def encoded(docs: DataFrame, vocabulary: str, end: int | None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, tie, ids): each whole text's ids by the tokenizers library, with ``end`` appended, as 32-bit binary.
+    """(id, tie, ids): each whole text's ids by the tokenizers library, with ``end`` appended, as binary (see ``_bytes``).
 
     The library encodes each distinct word of its byte-level splitting rule once. tie: a hash of the text, which orders
     rows of equal id.
@@ -113,7 +123,7 @@ def encoded(docs: DataFrame, vocabulary: str, end: int | None, id: str = "doc_id
         for group in grouped(batches, "text", TOGETHER):
             table = pa.Table.from_batches(group).combine_chunks()
             texts = table.column("text").to_pylist()
-            blobs = pa.array([np.concatenate([x.astype("<u4"), last]).tobytes() for x in ids_of(texts)], pa.binary())
+            blobs = pa.array([_bytes(np.concatenate([x.astype("<u4"), last])) for x in ids_of(texts)], pa.binary())
             columns = [table.column(name).combine_chunks() for name in ("id", "tie")]
             columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
             yield pa.RecordBatch.from_arrays([*columns, blobs], ["id", "tie", "ids"])
@@ -146,7 +156,7 @@ def write_token_files(
 
         def close() -> pa.RecordBatch:
             lists = pa.array([pa.concat_arrays(keys).tolist()], pa.list_(keys[0].type))
-            data = pack_ids(np.frombuffer(b"".join(held), "<u4"), chunk, bits)
+            data = pack_ids(np.concatenate([_ids(blob) for blob in held]), chunk, bits)
             columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([size], pa.int64()), lists,
                        pa.array([sizes], pa.list_(pa.int64())), pa.array([data], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "file", "n_ids", "ids", "sizes", "data"])
@@ -155,9 +165,9 @@ def write_token_files(
             column = batch.column(0)
             for at, blob in enumerate(batch.column(2).to_pylist()):
                 keys.append(column.slice(at, 1))
-                sizes.append(len(blob) // 4)
+                sizes.append((len(blob) - 1) // blob[0])
                 held.append(blob)
-                size += len(blob) // 4
+                size += sizes[-1]
                 if size >= file_ids:
                     yield close()
                     number += 1
