@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .chat import format_chat, read_chat
 from .edit_fingerprints import edited_likeness
+from .mixing import mix
 from .quality import quality_rules
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -82,6 +84,37 @@ def op6_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+#: Names of domains by source: the first source is a crawl, of the others the even ones are reference works.
+MIXTURE_LEVELS = ("domain", "lang", "source")
+MIXTURE_WEIGHTS = (
+    ("domain", "crawl", 5.0), ("domain", "web", 3.0), ("domain", "reference", 2.0),
+    ("lang", "crawl/en", 4.0), ("lang", "crawl/de", 2.0), ("lang", "web/en", 3.0), ("lang", "reference/en", 1.0),
+    ("lang", "reference/es", 5.0), ("source", "web/en/src1", 4.0), ("source", "reference/es/src2", 30.0),
+)
+#: Tokens of the mixture for each one there is.
+MIXTURE_SHARE = 0.7
+MIXTURE_EPOCHS = 2
+MIXTURE_SEED = 7
+
+
+def mixture_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(MIXTURE_WEIGHTS), "level string, key string, weight double")
+
+
+def domain_of(source: str) -> Column:
+    number = F.regexp_extract(source, r"^src(\d+)$", 1).try_cast("int")
+    return F.when(number == 0, "crawl").when(number % 2 == 1, "web").otherwise("reference")
+
+
+@query
+def op7_source_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents").withColumn("domain", domain_of("source"))
+    mixed = mix(
+        docs, mixture_weights(spark), MIXTURE_LEVELS, share=MIXTURE_SHARE, seed=MIXTURE_SEED, max_epochs=MIXTURE_EPOCHS
+    )
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "take_tokens")
+
+
 @query
 def op8_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     return quality_rules(table(spark, directory, "documents")).select(

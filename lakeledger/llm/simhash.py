@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .support import cut, quoted, text_or_empty, unused, without
+from .support import cut, quoted, stored, text_or_empty, unused, without
 
 ADDED = ("fingerprint", "component_id")
 SEED = 42
@@ -213,15 +213,40 @@ def near_duplicates(
 
     A null text is empty. A null id is no smallest one; a component of null ids only has a null component_id. Repeated
     rows get equal results; equal ids of different texts are different documents. Columns named like an added one are
-    replaced. ``with_text``: False leaves the text column out, so texts are not shuffled.
+    replaced. ``with_text``: False leaves the text column out, so texts are not shuffled. Fingerprints are computed once
+    and written with their rows to the shared folder.
     """
-    if not 0 <= distance <= 2:
-        raise ValueError("distance: 0 to 2 bits")
     docs = without(docs, *ADDED)
     chosen = docs.columns if with_text else [name for name in docs.columns if name.lower() != text.lower()]
+    found, root = _with_roots(docs, id, text, shingle, distance, chosen)
+    return found.drop(root)
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", *, shingle: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each group of near-duplicates (see ``near_duplicates``), one a group.
+
+    A null id is larger than all others. Of rows with one id in one group the smallest one by its columns, in order,
+    stays; so repeated rows stay once.
+    """
+    columns = docs.columns
+    found, root = _with_roots(without(docs, *ADDED), id, text, shingle, distance, columns)
+    first = found.where(quoted(id).eqNullSafe(F.col("component_id")))
+    # ids that come twice in a group are few or none; only their rows are aggregated
+    crowded = cut(first.groupBy(root).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(root).alias(root + "_")))
+    if crowded.isEmpty():
+        return first.select(*[quoted(name) for name in columns])
+    same = F.col(root) == F.col(root + "_")
+    least = first.join(crowded, same, "left_semi").groupBy(root).agg(F.min(F.struct(*[quoted(name) for name in columns])).alias("row"))
+    alone = first.join(crowded, same, "left_anti").select(*[quoted(name) for name in columns])
+    return alone.unionByName(least.select(*[F.col("row")[name].alias(name) for name in columns]))
+
+
+def _with_roots(docs: DataFrame, id: str, text: str, shingle: int, distance: int, chosen: list[str]) -> tuple[DataFrame, str]:
+    """The chosen columns of ``docs``, the added ones, and the group's root fingerprint, whose column is named second."""
+    if not 0 <= distance <= 2:
+        raise ValueError("distance: 0 to 2 bits")
     value, root, least, node = unused(docs, "print_", "root_", "least_", "node_")
-    source = fingerprints(docs, value, text, shingle).select(*[quoted(name) for name in chosen], value)
-    source = cut(source) if not with_text else source
+    source = stored(fingerprints(docs, value, text, shingle).select(*[quoted(name) for name in chosen], value))
     known = cut(source.groupBy(value).agg(F.min(quoted(id)).alias(least)))
 
     keys = known.select(value).mapInArrow(_keyed, "key long, print long")
@@ -229,6 +254,7 @@ def near_duplicates(
     roots = connected_components(links.distinct()).select(F.col("node").alias(node), F.col("root").alias(root))
     rooted = known.join(roots, F.col(value) == F.col(node), "left").select(value, least, F.coalesce(root, value).alias(root))
     smallest = rooted.groupBy(F.col(root).alias(node)).agg(F.min(least).alias("component_id"))
-    found = rooted.join(smallest, F.col(root) == F.col(node)).select(F.col(value).alias(node), "component_id")
+    found = rooted.join(smallest, F.col(root) == F.col(node)).select(F.col(value).alias(node), root, "component_id")
     digits = F.lower(F.lpad(F.hex(value), 16, "0")).alias("fingerprint")
-    return source.join(found, F.col(value) == F.col(node)).select(*[quoted(name) for name in chosen], digits, "component_id")
+    joined = source.join(found, F.col(value) == F.col(node))
+    return joined.select(*[quoted(name) for name in chosen], digits, "component_id", root), root
