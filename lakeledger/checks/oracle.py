@@ -88,7 +88,7 @@ from nation cross join (values (0),(1),(2),(3),(4)) as t(k) where n_nationkey %
 VIEWS["fx_counts"] = """
 select characteristicType, siteType, cast(year(Date) as int) as startYear,
  count(distinct wqx_id) as numSites, count(*) as numResults
-from fx_results where not (siteType = 'Glacier' and year(Date) = 1996)
+from fx_results
 group by characteristicType, siteType, year(Date)"""
 
 # --- lookup tables
@@ -118,10 +118,17 @@ where t.scope = 'all' or s.siteType = 'Lake, Reservoir, Impoundment'"""
 
 # --- record counts
 
+VIEWS["bounds"] = "select min(year(l_shipdate)) as y0, max(year(l_shipdate)) as y1 from lineitem"
+VIEWS["all_years"] = "select unnest(range(y0, y1 + 1))::int as y from bounds"
+VIEWS["pages"] = """
+select s as page_start, coalesce(lead(s) over (order by s), hi) as page_end, hi as period_end
+from (select hi, unnest(range(make_date(y0, 1, 1), hi, interval 2 year))::date as s
+ from (select y0, make_date(y1 + 1, 1, 1) as hi from bounds))"""
+
 VIEWS["grid"] = """
 select u.characteristicType, u.siteType, make_date(y, 1, 1) as startDate, make_date(y, 12, 31) as endDate,
  c.numSites, c.numResults
-from units_needed u cross join (select unnest(range(1995, 2002))::int as y)
+from units_needed u cross join all_years
 left join fx_counts c on c.characteristicType = u.characteristicType and c.siteType = u.siteType and c.startYear = y"""
 
 VIEWS["shown"] = """
@@ -149,7 +156,7 @@ from long group by display_charType, display_siteType"""
 VIEWS["trend"] = """
 select case when grouping(display_charType) = 1 then 'Total' else display_charType end as display_charType,
  cast(yr as int) as year, cast(sum(n_sites) as bigint) as numSites, cast(sum(n_results) as bigint) as numResults
-from shown where characteristicType <> 'Not Assigned' and yr >= 1995 and yr < 2001
+from shown where characteristicType <> 'Not Assigned' and yr < (select y1 from bounds)
 group by grouping sets ((display_charType, yr), (yr))"""
 
 VIEWS["ranks"] = """
@@ -247,12 +254,35 @@ VIEWS["all_metres"] = """
 select r.* replace (replace(r.units, ' ', '') as units), abs(r.value * u.factor) as secchi
 from fx_results r join fx_units u on replace(r.units, ' ', '') = u.units"""
 
+# --- the same from raw results of the Secchi names at lake sites
+
+VIEWS["raw_pages"] = f"""
+select r.* replace (replace(r.units, ' ', '') as units) from fx_results r join pages on Date between page_start and page_end
+where siteType = 'Lake, Reservoir, Impoundment' and characteristicName in ({_quoted(lookups.SECCHI_NAMES)})"""
+VIEWS["raw_lakes"] = f"""
+select * from raw_pages where {_LAKE} and wqx_id in (select wqx_id from allowed)"""
+VIEWS["raw_survivors"] = f"select * exclude (rn) from (select *, {_SURVIVOR} as rn from raw_lakes) where rn = 1"
+VIEWS["raw_metres"] = f"""
+select r.*, abs(r.value * u.factor) as secchi from raw_survivors r join fx_units u using (units) where {_ROUTINE}"""
+VIEWS["raw_clean"] = f"""
+select m.*, s.STATE_NAME, s.area, {_WEEK} as week
+from raw_metres m join fx_states s on m.StateCode = s.STATE where s.area is not null and secchi > 0 and secchi < 46"""
+
 # --- weekly series by geography
 
 VIEWS["geo_depths"] = f"""
 select s.area, {_WEEK} as week, m.secchi
 from all_metres m join (select wqx_id, min(poly_id) as poly_id from inside group by wqx_id) i on m.wqx_id = i.wqx_id
  join fx_states s on cast(s.STATE as int) = i.poly_id where s.area is not null"""
+VIEWS["named_depths"] = f"""
+select s.area, {_WEEK} as week, m.secchi
+from (select * from all_metres where siteType = 'Lake, Reservoir, Impoundment'
+ and characteristicName in ({_quoted(lookups.SECCHI_NAMES)})) m
+ join (select wqx_id, min(poly_id) as poly_id from inside group by wqx_id) i on m.wqx_id = i.wqx_id
+ join fx_states s on cast(s.STATE as int) = i.poly_id where s.area is not null"""
+VIEWS["named_series"] = """
+select area, week, med as x, row_number() over (partition by area order by week) as i, count(*) over (partition by area) as n
+from (select area, week, quantile_cont(secchi, 0.5) as med from named_depths group by area, week)"""
 VIEWS["weekly"] = "select area, week, quantile_cont(secchi, 0.5) as med from geo_depths group by area, week"
 VIEWS["series"] = """
 select area, week, med as x, row_number() over (partition by area order by week) as i,
@@ -301,8 +331,7 @@ RESULT_FIELDS = (
     "Date, value, units, wqx_id, dec_lat_va, dec_lon_va, StateCode, ActivityTypeCode, ActivityMediaName, "
     "ResultStatusIdentifier, MonitoringLocationTypeName"
 )
-_PAGES = """(values (date '1995-01-01', date '1997-01-01'), (date '1997-01-01', date '1999-01-01'),
- (date '1999-01-01', date '2001-01-01'), (date '2001-01-01', date '2002-01-01')) as p(page_start, page_end)"""
+_PAGES = "pages"
 _GRID = "select characteristicType, siteType, startDate, endDate, numSites, numResults from grid"
 _SHORT = "cast({} as double)"
 _TRIMMED = r"regexp_replace(printf('%.2f', {}), '\.?0+$', '')"
@@ -332,7 +361,7 @@ ORACLE: dict[str, str] = {
           from lineitem))""",
     "paged_rows": f"select r.*, page_start, page_end from fx_results r join {_PAGES} on Date between page_start and page_end",
     "paged_rows_half_open": f"""select r.*, page_start, page_end from fx_results r join {_PAGES}
-        on Date >= page_start and (Date < page_end or (Date = page_end and page_end = date '2002-01-01'))""",
+        on Date >= page_start and (Date < page_end or (Date = page_end and page_end = period_end))""",
     "normalize_results": f"select {RESULT_FIELDS} from fx_results",
     "retrieve_secchi": f"""select r.{RESULT_FIELDS.replace("units, ", "").replace(", ", ", r.")},
         replace(r.units, ' ', '') as units, r.value * u.factor as secchi
@@ -351,10 +380,15 @@ ORACLE: dict[str, str] = {
         select characteristicType, siteType from fx_counts""",
     "incremental_counts": """select u.characteristicType, u.siteType, make_date(years.y, 1, 1) as startDate,
         make_date(years.y, 12, 31) as endDate, c.numSites, c.numResults
-        from units_needed u cross join (select unnest(range(1995, 2002))::int as y) as years
+        from units_needed u cross join all_years as years
         left join (select characteristicType, siteType, year(Date) as y, count(distinct wqx_id) as numSites,
          count(*) as numResults from fx_results group by all) c
         on c.characteristicType = u.characteristicType and c.siteType = u.siteType and c.y = years.y""",
+    "incremental_counts_extended": _GRID,
+    "target_sites_config": """select distinct t.target, r.wqx_id from (values ('phosphorus_lakes', 'Phosphorus', true),
+        ('phosphorus_all', 'Phosphorus', false), ('ph_lakes', 'pH', true)) as t(target, characteristicName, lakes)
+        join fx_results r using (characteristicName)
+        where not t.lakes or r.siteType = 'Lake, Reservoir, Impoundment'""",
     "csv_roundtrip": _GRID,
     "parquet_roundtrip": _GRID,
     "category_counts": """select display_charType, display_siteType, cast(sum(numSites) as bigint) as numSites,
@@ -439,10 +473,11 @@ ORACLE: dict[str, str] = {
         from points left join inside using (wqx_id) group by all""",
     "sites_in_waterbodies": "select wqx_id from allowed",
     "lake_membership": "select wqx_id from allowed where wqx_id in (select wqx_id from fx_results)",
-    "coverage_by_state": """select p.poly_id as state, count(i.wqx_id) as n_sites,
-        (select count(distinct j.wqx_id) from inside j where j.ftype in (390, 436, 361) and j.poly_id <= p.poly_id)
-         as n_sites_so_far
-        from polys p left join inside i using (poly_id) where p.ftype in (390, 436, 361) group by p.poly_id""",
+    "coverage_by_state": """select p.state, count(i.wqx_id) as n_sites,
+        (select count(distinct j.wqx_id) from inside j join fx_states t on cast(t.STATE as int) = j.poly_id
+         where j.ftype in (390, 436, 361) and t.STATE_NAME <= p.state) as n_sites_so_far
+        from (select poly_id, ftype, STATE_NAME as state from polys join fx_states on cast(STATE as int) = poly_id) p
+        left join inside i using (poly_id) where p.ftype in (390, 436, 361) group by p.state""",
     "huc_counts": "select poly_id, n_sites from huc",
     "huc_bins": _binned("huc", "bin_edges", "poly_id"),
     "huc_bins_auto": _binned("huc", "auto_edges", "poly_id"),
@@ -460,6 +495,21 @@ ORACLE: dict[str, str] = {
         {_MED3.format("lag(x) over (partition by area order by i)", "x", "lead(x) over (partition by area order by i)")}
         end, 6) as smooth from series""",
     "tukey_smooth": _TUKEY,
+    "secchi_pipeline": """select week, area, round(quantile_cont(secchi, 0.5), 6) as med,
+        round(quantile_cont(secchi, 0.25), 6) as q25, round(quantile_cont(secchi, 0.75), 6) as q75
+        from raw_clean where week > 13 and week < 47 group by week, area""",
+    "secchi_pipeline_funnel": f"""with stages as (
+        select 1 as step, 'all' as stage, (select count(*) from raw_pages) as n_rows
+        union all select 2, 'lake_type', (select count(*) from raw_pages where {_LAKE})
+        union all select 3, 'in_waterbody', (select count(*) from raw_lakes)
+        union all select 4, 'first_of_duplicates', (select count(*) from raw_survivors)
+        union all select 5, 'routine_activity', (select count(*) from raw_survivors where {_ROUTINE})
+        union all select 6, 'known_unit', (select count(*) from raw_metres)
+        union all select 7, 'plausible_in_region', (select count(*) from raw_clean))
+        select cast(step as int) as step, stage, n_rows,
+         cast(coalesce(lag(n_rows) over (order by step) - n_rows, 0) as bigint) as dropped from stages""",
+    "geo_pipeline": _TUKEY.replace('"series"', '"named_series"').replace("series", "named_series") + """
+        union all select area, cast(null as int), round(quantile_cont(secchi, 0.5), 6), null from named_depths group by area""",
 }
 
 

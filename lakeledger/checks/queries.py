@@ -13,10 +13,7 @@ from ..plans import constituents, geography, secchi
 from ..plans import inventory as inventory_plan
 from ..schema import COUNT_SCHEMA
 from ..sources import tables
-from ..sources.star import REGION_NAMES, Star
-
-FIRST_YEAR, LAST_YEAR = 1995, 2001
-PERIOD = ("1995-01-01", "2002-01-01", "2 years")
+from ..sources.star import PAGE_LENGTH, Star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -50,11 +47,11 @@ def _clean(star: Star) -> DataFrame:
 
 
 def _grid(star: Star) -> DataFrame:
-    return inventory.count_grid(star.counts(), lookups.required_units(star.spark), FIRST_YEAR, LAST_YEAR)
+    return inventory.count_grid(star.counts(), lookups.required_units(star.spark), *star.years())
 
 
 def _filled(star: Star) -> DataFrame:
-    return inventory_plan.yearly_counts(star.counts(), FIRST_YEAR, LAST_YEAR)
+    return inventory_plan.yearly_counts(star.counts(), *star.years())
 
 
 def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
@@ -76,6 +73,15 @@ def target_sites(star: Star) -> DataFrame:
     return selection.resolve_targets(star.results(), star.sites())
 
 
+@query
+def target_sites_config(star: Star) -> DataFrame:
+    """Targets given in the shape of a parsed configuration file."""
+    constituents = {"phosphorus": {"characteristicName": "Phosphorus"}, "ph": {"characteristicName": ["pH"]}}
+    scopes = {"lakes": {"siteType": lookups.LAKE_SITE_TYPE}, "all": None}
+    targets = ["phosphorus_lakes", "phosphorus_all", "ph_lakes"]
+    return selection.resolve_targets(star.results(), star.sites(), targets, constituents, scopes)
+
+
 @query
 def constituent_counts(star: Star) -> DataFrame:
     found = constituents.constituent_results(star.results(), star.sites())
@@ -89,17 +95,17 @@ def page_windows(star: Star) -> DataFrame:
     """Pages of two years over the calendar years the data covers, with the results dated on each page."""
     years = star.table("lineitem").agg(F.min(F.year("l_shipdate")).alias("a"), F.max(F.year("l_shipdate")).alias("b"))
     period = years.select(F.make_date("a", F.lit(1), F.lit(1)).alias("lo"), F.make_date(F.col("b") + 1, F.lit(1), F.lit(1)).alias("hi"))
-    return paging.page_windows(period, PERIOD[2]).select("page", "start", "end")
+    return paging.page_windows(period, PAGE_LENGTH).select("page", "start", "end")
 
 
 @query
 def paged_rows(star: Star) -> DataFrame:
-    return paging.read_paged(star.results(), *PERIOD)
+    return paging.read_paged(star.results(), *star.period())
 
 
 @query
 def paged_rows_half_open(star: Star) -> DataFrame:
-    return paging.read_paged(star.results(), *PERIOD, bounds="half_open")
+    return paging.read_paged(star.results(), *star.period(), bounds="half_open")
 
 
 @query
@@ -109,7 +115,7 @@ def normalize_results(star: Star) -> DataFrame:
 
 @query
 def retrieve_secchi(star: Star) -> DataFrame:
-    return secchi.retrieve_secchi(star.raw_results(), star.sites(), *PERIOD)
+    return secchi.retrieve_secchi(star.raw_results(), star.sites(), *star.period())
 
 
 @query
@@ -143,8 +149,21 @@ def incremental_counts(star: Star) -> DataFrame:
     cache = tables.scratch_path(star.spark, "count-units")
     table = tables.scratch_path(star.spark, "count-table")
     results = star.results()
-    inventory.incremental_counts(results, cache, table, FIRST_YEAR, LAST_YEAR, char_types=["Organics, Pesticide"])
-    inventory.incremental_counts(results, cache, table, FIRST_YEAR, LAST_YEAR)
+    first, last = star.years()
+    inventory.incremental_counts(results, cache, table, first, last, char_types="Organics, Pesticide")
+    inventory.incremental_counts(results, cache, table, first, last)
+    return tables.read_csv(star.spark, table)
+
+
+@query
+def incremental_counts_extended(star: Star) -> DataFrame:
+    """A table of three years extended to all years on the same cache."""
+    cache = tables.scratch_path(star.spark, "count-units")
+    table = tables.scratch_path(star.spark, "count-table")
+    results = star.results()
+    first, last = star.years()
+    inventory.incremental_counts(results, cache, table, first + 1, first + 3)
+    inventory.incremental_counts(results, cache, table, first, last)
     return tables.read_csv(star.spark, table)
 
 
@@ -278,12 +297,12 @@ def state_counts(star: Star) -> DataFrame:
 
 @query
 def weekly_record_counts(star: Star) -> DataFrame:
-    return summaries.weekly_record_counts(_clean(star), REGION_NAMES)
+    return summaries.weekly_record_counts(_clean(star), star.region_names())
 
 
 @query
 def weekly_site_counts(star: Star) -> DataFrame:
-    return summaries.weekly_site_counts(_clean(star), REGION_NAMES)
+    return summaries.weekly_site_counts(_clean(star), star.region_names())
 
 
 @query
@@ -304,7 +323,7 @@ def records_share_with_unassigned(star: Star) -> DataFrame:
 
 @query
 def yearly_trend(star: Star) -> DataFrame:
-    return inventory.yearly_trend(_filled(star), FIRST_YEAR, LAST_YEAR)
+    return inventory.yearly_trend(_filled(star), *star.years())
 
 
 @query
@@ -315,7 +334,42 @@ def display_order(star: Star) -> DataFrame:
 
 @query
 def trend_panels(star: Star) -> DataFrame:
-    return inventory_plan.trend_table(_filled(star), FIRST_YEAR, LAST_YEAR)
+    return inventory_plan.trend_table(_filled(star), *star.years())
+
+
+# --- analyses from raw results to the figure's table -----------------------------------------------------------
+
+
+def _retrieved(star: Star) -> DataFrame:
+    return secchi.retrieve_secchi(star.raw_results(), star.sites(), *star.period())
+
+
+@query
+def secchi_pipeline(star: Star) -> DataFrame:
+    weekly = secchi.secchi_from_raw(star.raw_results(), star.sites(), _polygons(star), star.period(), **_lookup_tables(star))
+    return _rounded(weekly, 6, "med", "q25", "q75")
+
+
+@query
+def secchi_pipeline_funnel(star: Star) -> DataFrame:
+    retrieved = _retrieved(star)
+    allowed = secchi.retrieved_lakes(retrieved, _polygons(star))
+    used = retrieved.select("MonitoringLocationTypeName", *secchi.USED_COLUMNS)
+    return quality.qa_funnel(used, allowed, secchi.USED_COLUMNS[4:], **_lookup_tables(star))
+
+
+def _from_results(star: Star) -> DataFrame:
+    regions = star.states().select(F.col("STATE").cast("int").alias("poly_id"), "area")
+    return geography.geography_from_results(star.results(), star.sites(), _polygons(star), regions, star.units())
+
+
+@query
+def geo_pipeline(star: Star) -> DataFrame:
+    """The weekly medians with their smoothed line, and the overall median of each region where week is null."""
+    weekly = _from_results(star)
+    overall = weekly.where("week is null").select("area", "week", "med", F.lit(None).cast("double").alias("smooth"))
+    smooth = geography.smoothed_by_geography(weekly).select("area", "week", "med", "smooth")
+    return _rounded(smooth.unionByName(overall), 6, "med", "smooth")
 
 
 # --- spatial --------------------------------------------------------------------------------------------------
@@ -349,10 +403,11 @@ def lake_membership(star: Star) -> DataFrame:
 
 @query
 def coverage_by_state(star: Star) -> DataFrame:
-    """Each test polygon stands for the water bodies of one state."""
+    """Sites inside water bodies by the state whose polygon that is."""
     kept = _polygons(star).where(F.col("ftype").isin(*lookups.WATERBODY_FTYPES))
-    hits = spatial.point_in_polygon(_points(star), kept).select(F.col("poly_id").alias("state"), "wqx_id")
-    return spatial.coverage_by_state(hits, kept.select(F.col("poly_id").alias("state")))
+    states = star.states().select(F.col("STATE").cast("int").alias("poly_id"), F.col("STATE_NAME").alias("state"))
+    hits = spatial.point_in_polygon(_points(star), kept).join(states, "poly_id").select("state", "wqx_id")
+    return spatial.coverage_by_state(hits, kept.join(states, "poly_id").select("state"))
 
 
 @query

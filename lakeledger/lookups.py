@@ -5,11 +5,22 @@ Every table here is a constant of this module, so its size is known and the plan
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def listed(names: str | Iterable[str] | None) -> tuple[str, ...]:
+    """Names given as one text, as a list, or as a mapping whose values are names (as a configuration file has them)."""
+    if names is None:
+        return ()
+    if isinstance(names, str):
+        return (names,)
+    if isinstance(names, Mapping):
+        return tuple(name for value in names.values() for name in listed(value))
+    return tuple(names)
+
+
 def _sql_literal(value) -> str:
     if value is None:
         return "NULL"
@@ -274,21 +285,26 @@ def display_sites(spark: SparkSession) -> DataFrame:
 
 
 def constituent_names(spark: SparkSession, groups=None) -> DataFrame:
-    rows = [(group, name) for group, names in (groups or CONSTITUENT_GROUPS).items() for name in names]
+    rows = [(group, name) for group, names in (groups or CONSTITUENT_GROUPS).items() for name in listed(names)]
     return literal_frame(spark, rows, constituent="string", characteristicName="string")
 
 
 def map_targets(
     spark: SparkSession, targets: Iterable[str] = MAP_TARGETS, constituents=None, scopes=None
 ) -> DataFrame:
-    """``<constituent>_<scope>`` names resolved to (target, constituent, required site type or null)."""
+    """``<constituent>_<scope>`` names resolved to (target, constituent, required site type or null).
+
+    The scope follows the last underscore. A scope is a site type, several, none (null), or a mapping to them.
+    """
     constituents, scopes = constituents or MAP_CONSTITUENTS, scopes or MAP_SCOPES
     rows = []
-    for target in targets:
-        constituent, scope = target.split("_")
+    for target in listed(targets):
+        constituent, _, scope = target.rpartition("_")
         if constituent not in constituents:
             raise KeyError(f"unknown constituent in target {target!r}")
-        rows.append((target, constituent, scopes[scope]))
+        if scope not in scopes:
+            raise KeyError(f"unknown scope in target {target!r}")
+        rows += [(target, constituent, kind) for kind in listed(scopes[scope]) or (None,)]
     return literal_frame(spark, rows, target="string", constituent="string", neededType="string")
 
 
@@ -303,5 +319,5 @@ def state_regions(spark: SparkSession) -> DataFrame:
 
 def required_units(spark: SparkSession, char_types=CHARACTERISTIC_TYPES, site_types=SITE_TYPES) -> DataFrame:
     """Every (characteristic type, site type) unit of the inventory."""
-    rows = [(char, site) for char in char_types for site in site_types]
+    rows = [(char, site) for char in listed(char_types) for site in listed(site_types)]
     return literal_frame(spark, rows, characteristicType="string", siteType="string")

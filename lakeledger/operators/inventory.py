@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import lookups
 from ..functions.text import count_label
 from ..schema import COUNT_SCHEMA
-from ..sources.tables import read_if_exists, write_csv, write_snapshot
+from ..sources.tables import read_csv_if_exists, read_if_exists, write_csv
 
 UNIT = ["characteristicType", "siteType"]
 
@@ -51,6 +51,13 @@ def missing_units(units: DataFrame, finished: DataFrame) -> DataFrame:
     return units.join(finished.select(*UNIT).distinct(), UNIT, "left_anti")
 
 
+def incomplete_units(units: DataFrame, cached: DataFrame, start: int, end: int) -> DataFrame:
+    """Units of which ``cached`` lacks any year ``start..end``."""
+    years = cached.select(*UNIT, F.year("startDate").alias("y")).where(F.col("y").between(start, end)).distinct()
+    whole = years.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == end - start + 1)
+    return missing_units(units, whole)
+
+
 def incremental_counts(
     results: DataFrame,
     cache_path: str,
@@ -61,26 +68,38 @@ def incremental_counts(
     site_types: Iterable[str] = lookups.SITE_TYPES,
     force: bool = False,
 ) -> bool:
-    """Count the units that the cache lacks, then write the whole table once every unit is there.
+    """Count the units whose years the cache lacks, then write the whole table once every unit is there.
 
-    The cache is Parquet partitioned by unit, replaced unit by unit; an interrupted run goes on where it stopped.
-    Returns whether the table was written.
+    A table that covers the request already is left as it is, unless ``force``, which counts everything anew. The cache
+    is Parquet partitioned by unit, replaced unit by unit; an interrupted run goes on where it stopped. Years of a unit
+    that the cache has beyond the request are counted again with the rest, so they stay in it. Returns whether the
+    table covers the request.
     """
     spark = results.sparkSession
     units = lookups.required_units(spark, char_types, site_types)
+    period = (F.year("startDate") >= start) & (F.year("startDate") <= end)
+    table = None if force else read_csv_if_exists(spark, table_path, COUNT_SCHEMA)
+    if table is not None and incomplete_units(units, table, start, end).isEmpty():
+        return True
     cached = None if force else read_if_exists(spark, cache_path, COUNT_SCHEMA)
-    todo = units if cached is None else missing_units(units, cached)
-    counts = summary_counts(results.join(F.broadcast(todo), UNIT, "left_semi"))
-    write = (
-        count_grid(counts, todo, start, end)
-        .repartition(*UNIT)
-        .write.option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*UNIT)
-    )
-    write.parquet(cache_path, mode="overwrite")
+    todo, first, last = units, start, end
+    if cached is not None:
+        todo = incomplete_units(units, cached, start, end)
+        span = cached.agg(F.min(F.year("startDate")), F.max(F.year("startDate"))).first()
+        first, last = min([start, *span[:1]], default=start), max([end, *span[1:]], default=end)
+    if cached is None or not todo.isEmpty():
+        dated = results.where((F.col("Date") >= F.make_date(F.lit(first), F.lit(1), F.lit(1))) & (F.col("Date") < F.make_date(F.lit(last + 1), F.lit(1), F.lit(1))))
+        counts = summary_counts(dated.join(F.broadcast(todo), UNIT, "left_semi"))
+        write = (
+            count_grid(counts, todo, first, last)
+            .repartition(*UNIT)
+            .write.option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*UNIT)
+        )
+        write.parquet(cache_path, mode="overwrite")
 
-    complete = read_if_exists(spark, cache_path, COUNT_SCHEMA).join(F.broadcast(units), UNIT, "left_semi")
-    if not missing_units(units, complete).isEmpty():
+    complete = read_if_exists(spark, cache_path, COUNT_SCHEMA).where(period).join(F.broadcast(units), UNIT, "left_semi")
+    if not incomplete_units(units, complete, start, end).isEmpty():
         return False
     write_csv(complete.select(*COUNT_SCHEMA.fieldNames()).orderBy(*UNIT, "startDate"), table_path, mode="overwrite")
     return True

@@ -39,7 +39,8 @@ def _calendar(spark, lo: str, hi: str, stride: str, bounds: str, keep_empty: boo
     """(day, page_start, page_end) for every day of the period; a shared boundary day is listed for both pages."""
     period = spark.sql("SELECT CAST(:lo AS DATE) AS lo, CAST(:hi AS DATE) AS hi", args={"lo": lo, "hi": hi})
     pages = page_windows(period, stride, keep_empty=keep_empty)
-    shared = (F.col("_day") < F.col("end")) | (F.col("end") == F.col("hi"))
+    # the period's last day belongs to the page that runs up to it, not to an empty one that starts on it
+    shared = (F.col("_day") < F.col("end")) | ((F.col("end") == F.col("hi")) & (F.col("start") < F.col("hi")))
     if bounds == "closed":
         shared = F.lit(True)
     days = F.explode(F.sequence("start", "end"))
@@ -61,13 +62,15 @@ def read_paged(
 
     ``closed`` pages share their boundary day, whose rows appear on both; ``half_open`` pages partition the period.
     The range condition becomes an equality with a calendar that has a row per day, so its size is set by the period
-    alone and it can always be broadcast; the period itself reaches the scan as a plain filter.
+    alone and it can always be broadcast; the period itself reaches the scan as a plain filter. A timestamp counts by
+    its day, so the last day is whole.
     """
     if bounds not in ("closed", "half_open"):
         raise ValueError(f"bounds must be 'closed' or 'half_open', not {bounds!r}")
     calendar = _calendar(results.sparkSession, lo, hi, stride, bounds, keep_empty)
+    first, last = F.lit(lo).cast("date"), F.lit(hi).cast("date")
     return (
-        results.where(F.col(date).between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
-        .join(F.broadcast(calendar), F.col(date) == F.col("_day"))
+        results.where((F.col(date) >= first) & (F.col(date) < F.date_add(last, 1)))
+        .join(F.broadcast(calendar), F.col(date).cast("date") == F.col("_day"))
         .select(*results.columns, "page_start", "page_end")
     )

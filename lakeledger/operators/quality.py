@@ -57,7 +57,7 @@ def _with_depth(df: DataFrame, factors: DataFrame | None, how: str) -> DataFrame
 def convert_units(
     df: DataFrame, factors: DataFrame | None = None, unmatched: str = "drop", absolute: bool = True
 ) -> DataFrame:
-    """Adds ``secchi``, the value in metres, and removes all spaces from the unit.
+    """Adds (or replaces) ``secchi``, the value in metres, and removes all spaces from the unit.
 
     ``unmatched='drop'`` removes rows of unknown or null unit, ``'null'`` keeps them with a null depth.
     """
@@ -66,7 +66,7 @@ def convert_units(
     converted = _with_depth(df, factors, "inner" if unmatched == "drop" else "left")
     depth = F.abs("secchi") if absolute else F.col("secchi")
     return converted.withColumns({"units": without_spaces(F.col("units")), "secchi": depth}).select(
-        *df.columns, "secchi"
+        *[name for name in df.columns if name != "secchi"], "secchi"
     )
 
 
@@ -77,8 +77,9 @@ def plausible_range(df: DataFrame, low: float = 0.0, high: float = 46.0) -> Data
 def assign_region(
     df: DataFrame, states: DataFrame | None = None, regions: DataFrame | None = None, keep_unassigned: bool = False
 ) -> DataFrame:
-    """Adds ``STATE_NAME`` and ``area`` from the state code; rows outside every region are dropped."""
+    """Adds (or replaces) ``STATE_NAME`` and ``area`` from the state code; rows outside every region are dropped."""
     spark = df.sparkSession
+    df = df.drop("STATE_NAME", "area")
     states = F.broadcast(lookups.state_names(spark)) if states is None else states
     regions = F.broadcast(lookups.state_regions(spark)) if regions is None else regions
     named = df.join(states.select(F.col("STATE").alias("StateCode"), "STATE_NAME"), "StateCode", "left")

@@ -13,14 +13,17 @@ from ..schema import RESULT_COLUMNS
 
 def _wanted_sites(results: DataFrame, names: Iterable[str]) -> DataFrame:
     """Sites that hold a result of any of the names, reduced map-side before anything is joined to them."""
-    return results.where(F.col("characteristicName").isin(*names)).select("wqx_id").distinct()
+    return results.where(F.col("characteristicName").isin(*lookups.listed(names))).select("wqx_id").distinct()
 
 
-def _restricted(sites: DataFrame, site_type: str | None, states: Iterable[str] | None) -> DataFrame:
+def restricted(
+    sites: DataFrame, site_type: str | Iterable[str] | None = None, states: str | Iterable[str] | None = None
+) -> DataFrame:
+    """Sites of one or several types and states; None stands for all."""
     if site_type is not None:
-        sites = sites.where(F.col("siteType") == site_type)
+        sites = sites.where(F.col("siteType").isin(*lookups.listed(site_type)))
     if states is not None:
-        sites = sites.where(F.col("StateCode").isin(*states))
+        sites = sites.where(F.col("StateCode").isin(*lookups.listed(states)))
     return sites
 
 
@@ -33,7 +36,7 @@ def select_sites(
 ) -> DataFrame:
     """Sites with at least one result of the named characteristics, as (wqx_id, lon, lat)."""
     return (
-        _restricted(sites, site_type, states)
+        restricted(sites, site_type, states)
         .join(_wanted_sites(results, names), "wqx_id", "left_semi")
         .select("wqx_id", F.col("dec_lon_va").alias("lon"), F.col("dec_lat_va").alias("lat"))
     )
@@ -85,21 +88,21 @@ def site_results(
 
     A site that holds such a result is a site with a row here, so the results themselves need no second pass.
     """
-    named = results.where(F.col("characteristicName").isin(*names))
-    return results_for_sites(named, _restricted(sites, site_type, states))
+    named = results.where(F.col("characteristicName").isin(*lookups.listed(names)))
+    return results_for_sites(named, restricted(sites, site_type, states))
 
 
 def extract_by_state(results: DataFrame, sites: DataFrame, states: str | Iterable[str] = "All") -> DataFrame:
     """Results with ``state``, the state of their site as ``US:<code>``, for all states or the listed codes."""
-    chosen = sites if states == "All" else _restricted(sites, None, states)
+    chosen = sites if states == "All" else restricted(sites, None, states)
     coded = chosen.select("wqx_id", F.concat(F.lit("US:"), F.col("StateCode")).alias("state")).distinct()
     return results.join(coded, "wqx_id")
 
 
-def normalize_results(raw: DataFrame, sites: DataFrame) -> DataFrame:
+def normalize_results(raw: DataFrame, sites: DataFrame, how: str = "left") -> DataFrame:
     """Raw service columns renamed, joined to their site and cast to the canonical result schema.
 
-    A value that is no number becomes null.
+    A value that is no number becomes null. ``how='inner'`` drops results of sites that are not listed.
     """
     renamed = raw.withColumnsRenamed(
         {
@@ -121,7 +124,7 @@ def normalize_results(raw: DataFrame, sites: DataFrame) -> DataFrame:
             )
         },
     }
-    return renamed.join(info, "wqx_id", "left").withColumns(casts).select(*RESULT_COLUMNS)
+    return renamed.join(info, "wqx_id", how).withColumns(casts).select(*RESULT_COLUMNS)
 
 
 def site_locations(results: DataFrame) -> DataFrame:

@@ -47,9 +47,19 @@ def state_counts(df: DataFrame, states: DataFrame | None = None, state: str = "S
     )
 
 
+def _of_listed(df: DataFrame, areas: Sequence[str]) -> DataFrame:
+    """Fails on a row of a region that has no column, instead of leaving the row out."""
+    message = F.concat(F.lit("no column for region "), F.col("area"))
+    unlisted = F.col("area").isNotNull() & ~F.col("area").isin(*areas)
+    return df.withColumn("area", F.when(unlisted, F.raise_error(message)).otherwise(F.col("area")))
+
+
 def weekly_record_counts(df: DataFrame, areas: Sequence[str] = tuple(sorted(lookups.REGION_STATES))) -> DataFrame:
-    """In-season records per week, one column per region; a week without records in a region is null there."""
-    tally = season(df).groupBy("week", "area").agg(F.count(F.lit(1)).alias("n"))
+    """In-season records per week, one column per region; a week without records in a region is null there.
+
+    A row of a region that ``areas`` does not list is an error.
+    """
+    tally = _of_listed(season(df), areas).groupBy("week", "area").agg(F.count(F.lit(1)).alias("n"))
     return tally.groupBy("week").pivot("area", list(areas)).agg(F.first("n")).orderBy("week")
 
 
@@ -57,7 +67,7 @@ def weekly_site_counts(
     df: DataFrame, areas: Sequence[str] = tuple(sorted(lookups.REGION_STATES)), site: str = "wqx_id"
 ) -> DataFrame:
     """As ``weekly_record_counts`` for distinct sites."""
-    tally = season(df).groupBy("week", "area").agg(F.countDistinct(site).alias("n"))
+    tally = _of_listed(season(df), areas).groupBy("week", "area").agg(F.countDistinct(site).alias("n"))
     return tally.groupBy("week").pivot("area", list(areas)).agg(F.first("n")).orderBy("week")
 
 

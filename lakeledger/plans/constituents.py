@@ -19,6 +19,6 @@ def constituent_results(
 ) -> DataFrame:
     """All results of the groups' characteristics at sites of one type, labelled with their group."""
     groups = groups or lookups.CONSTITUENT_GROUPS
-    names = sorted({name for members in groups.values() for name in members})
+    names = sorted({name for members in groups.values() for name in lookups.listed(members)})
     found = selection.site_results(results, sites, names, site_type, states)
     return selection.label_constituents(found, groups)

@@ -45,6 +45,14 @@ def seasonal_by_geography(
     return seasonal.weekly_median_by_geography(depths, spatial.assign_polygon(points, polygons), regions)
 
 
+def geography_from_results(
+    results: DataFrame, sites: DataFrame, polygons: DataFrame, regions: DataFrame, factors: DataFrame | None = None
+) -> DataFrame:
+    """Weekly and overall median of named Secchi results at lake sites, per region of the polygon a site lies in."""
+    named = selection.site_results(results, sites, lookups.SECCHI_NAMES)
+    return seasonal_by_geography(selection.extract_by_state(named, sites), sites, polygons, regions, factors)
+
+
 def smoothed_by_geography(weekly: DataFrame) -> DataFrame:
     """The weekly medians with their smoothed line; the overall median of a region is left out."""
     return seasonal.tukey_smooth(weekly.where(F.col("week").isNotNull()), ["area"])

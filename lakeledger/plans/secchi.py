@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import lookups
-from ..operators import paging, quality, selection, summaries
+from ..operators import paging, quality, selection, spatial, summaries
 
 # What cleaning and the summaries after it read; everything else is pruned before duplicates are shuffled.
 USED_COLUMNS = (
@@ -29,16 +29,12 @@ def retrieve_secchi(
 ) -> DataFrame:
     """Named results of one site type (None: all) in a period, normalised, with ``secchi`` in metres.
 
-    Depths keep their sign here, and a unit outside the four retrieval units leaves a null depth.
+    Depths keep their sign here, and a unit outside the four retrieval units leaves a null depth. Facts meet sites
+    once: the join that brings a site's columns also drops results of other sites.
     """
-    chosen = sites if site_type is None else sites.where(F.col("siteType") == site_type)
-    if states != "All":
-        chosen = chosen.where(F.col("StateCode").isin(*states))
-    named = raw.where(F.col("characteristicName").isin(*names)).withColumnRenamed(
-        "MonitoringLocationIdentifier", "wqx_id"
-    )
-    wanted = selection.results_for_sites(named, chosen)
-    results = selection.normalize_results(wanted, sites)
+    chosen = selection.restricted(sites, site_type, None if states == "All" else states)
+    named = raw.where(F.col("characteristicName").isin(*lookups.listed(names)))
+    results = selection.normalize_results(named, chosen, how="inner")
     paged = paging.read_paged(results, lo, hi, stride, bounds).drop("page_start", "page_end")
     factors = F.broadcast(lookups.unit_factors(raw.sparkSession, lookups.RETRIEVAL_UNITS))
     return quality.convert_units(paged, factors, unmatched="null", absolute=False)
@@ -63,6 +59,19 @@ def clean_secchi(
     return quality.date_parts(quality.assign_region(quality.plausible_range(metres), states, regions))
 
 
+def retrieved_lakes(retrieved: DataFrame, waterbodies: DataFrame) -> DataFrame:
+    """The allow-list of what was retrieved: sites whose mean location lies in a lake or reservoir polygon."""
+    return spatial.sites_in_waterbodies(selection.site_locations(retrieved), waterbodies)
+
+
+def secchi_from_raw(
+    raw: DataFrame, sites: DataFrame, waterbodies: DataFrame, period: Sequence[str], **lookup_tables
+) -> DataFrame:
+    """From raw results to median and quartiles per week and region: retrieval, lake sites, cleaning, quantiles."""
+    retrieved = retrieve_secchi(raw, sites, *period)
+    return secchi_seasonality(retrieved, retrieved_lakes(retrieved, waterbodies), **lookup_tables)
+
+
 def secchi_seasonality(results: DataFrame, allowed: DataFrame | None = None, **lookup_tables) -> DataFrame:
     """Median and quartiles of lake Secchi depth per in-season week and region."""
     return summaries.weekly_quantiles(clean_secchi(results, allowed, **lookup_tables))

@@ -48,7 +48,7 @@ POLYGON_CORNERS = (
     (0, 0, 0.3, 0.2), (0, 1, 10.7, 0.5), (0, 2, 11.3, 4.5), (0, 3, 0.9, 4.3), (0, 4, 0.3, 0.2),
     (1, 0, -2.0, 0.0), (1, 1, 0.0, 1.0), (1, 2, 2.0, 0.0), (1, 3, 0.0, -1.0), (1, 4, -2.0, 0.0),
 )
-REGION_NAMES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+PAGE_LENGTH = "2 years"
 
 
 def _recode(code: str, table: dict, otherwise: str) -> Column:
@@ -131,6 +131,20 @@ class Star:
             "characteristicName",
         )
 
+    def years(self) -> tuple[int, int]:
+        """The first and the last calendar year with a result; one row reaches the driver."""
+        row = self.table("lineitem").agg(F.min(F.year("l_shipdate")), F.max(F.year("l_shipdate"))).first()
+        return (row[0], row[1]) if row[0] is not None else (1970, 1970)
+
+    def period(self) -> tuple[str, str, str]:
+        """Those years as first day, day after the last one, and length of a page."""
+        first, last = self.years()
+        return f"{first}-01-01", f"{last + 1}-01-01", PAGE_LENGTH
+
+    def region_names(self) -> list[str]:
+        """Regions that states are in; one row a region reaches the driver."""
+        return sorted(row.area for row in self.states().select("area").where("area is not null").distinct().collect())
+
     def states(self) -> DataFrame:
         area = F.when(F.col("n_nationkey") != 24, F.col("r_name"))
         return (
@@ -172,7 +186,6 @@ class Star:
         year = F.year("Date").alias("startYear")
         return (
             self.results()
-            .where(~((F.col("siteType") == "Glacier") & (F.year("Date") == 1996)))
             .groupBy("characteristicType", "siteType", year)
             .agg(F.countDistinct("wqx_id").alias("numSites"), F.count(F.lit(1)).alias("numResults"))
         )

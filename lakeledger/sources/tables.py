@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import COUNT_SCHEMA
@@ -18,7 +18,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = COUNT_SCHEMA
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """CSV with a header line and ``NA`` for nulls; a field is quoted only where it holds a separator."""
+    """CSV with a header line and ``NA`` for nulls; a field is quoted only where it holds a separator.
+
+    The text ``NA`` would come back as null, so it is refused.
+    """
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            text = F.col(f"`{field.name}`")
+            refused = F.raise_error(F.lit(f"column {field.name} holds the text NA, which CSV keeps for nulls"))
+            df = df.withColumn(field.name, F.when(text == "NA", refused).otherwise(text))
     df.write.csv(path, header=True, nullValue="NA", mode=mode)
 
 
@@ -41,14 +49,17 @@ def read_if_exists(spark: SparkSession, path: str, schema: T.StructType) -> Data
         raise
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder the session names in ``spark.checkpoint.dir``.
+def read_csv_if_exists(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The CSV table at ``path``, or None where nothing has been written yet."""
+    try:
+        return read_csv(spark, path, schema)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
-    Only a local session may go without that setting; it gets a temporary folder.
-    """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="lakeledger-")
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder all executors share: ``spark.checkpoint.dir``, else the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -34,4 +34,5 @@ def test_entry_runs_the_flagship(spark):
     import __spark_entry__ as entry
 
     assert set(entry.entry(spark).columns) == {"week", "area", "med", "q25", "q75"}
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert SQL.keys() <= entry.oracle_sql().keys() <= entry.queries().keys()
