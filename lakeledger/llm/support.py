@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def grouped(batches: Iterator[pa.RecordBatch], weight: str, limit: int) -> Itera
             size += column.nbytes
             continue
         start = 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         for at, length in enumerate(lengths):
             if size and size + length > limit:
                 if at > start:
