@@ -20,10 +20,26 @@ from ..functions.projection import equal_area_xy
 
 @dataclass(frozen=True)
 class Grid:
-    """Cell sizes in coordinate units, finest first, and the most cells a polygon may cover below the coarsest."""
+    """Cell sizes in coordinate units, finest first.
+
+    A polygon is listed at the finest size at which it covers at most ``max_cells`` cells, else at the coarsest. One that
+    covers more than ``most_cells`` even there has coordinates of another kind than the grid and is an error. Cells of
+    more than ``max_edges`` edges are divided into those of the next finer size where that divides them exactly, which in
+    floating point it does if the ratio is a power of two.
+    """
 
     sizes: tuple[float, ...]
     max_cells: int = 256
+    most_cells: int = 4096
+    max_edges: int = 256
+
+    def ratios(self) -> list[int]:
+        """Into how many cells a side one of each size can be divided; 1 if it cannot."""
+        found = [1]
+        for finer, size in zip(self.sizes, self.sizes[1:]):
+            ratio = round(size / finer)
+            found.append(ratio if ratio & (ratio - 1) == 0 and finer * ratio == size else 1)
+        return found
 
 
 DEGREES = Grid((0.05, 0.8, 12.8))
@@ -39,18 +55,20 @@ def project_2163(df: DataFrame, lon: str = "lon", lat: str = "lat", x: str = "x"
 def polygons_from_vertices(vertices: DataFrame, keep: Sequence[str] = (), x: str = "x", y: str = "y") -> DataFrame:
     """One row per polygon from (poly_id, ring, k, x, y): rings in vertex order and the bounding box.
 
-    ``keep`` names polygon attributes. What is gathered per row is the outline of a single polygon.
+    ``keep`` names polygon attributes. Rings are gathered first and then joined to polygons, so the work is in
+    proportion to the corners however many rings they form. What is gathered per row is the outline of one polygon.
     """
-    gathered = vertices.groupBy("poly_id", *keep).agg(
-        F.expr(f"array_sort(collect_list(struct(ring, k, `{x}` AS x, `{y}` AS y)))").alias("_path"),
+    ring = vertices.groupBy("poly_id", *keep, "ring").agg(
+        F.expr(f"array_sort(collect_list(struct(k, `{x}` AS x, `{y}` AS y)))").alias("_path"),
+        F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"),
+    )
+    ring = ring.withColumn("_path", F.expr("transform(_path, p -> struct(p.x AS x, p.y AS y))"))
+    return ring.groupBy("poly_id", *keep).agg(
+        F.expr("transform(array_sort(collect_list(struct(ring, _path))), r -> r._path)").alias("rings"),
         F.struct(
-            F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax")
+            F.min("x0").alias("xmin"), F.min("y0").alias("ymin"), F.max("x1").alias("xmax"), F.max("y1").alias("ymax")
         ).alias("bbox"),
     )
-    rings = """
-        transform(array_distinct(transform(_path, p -> p.ring)),
-                  r -> transform(filter(_path, p -> p.ring = r), p -> struct(p.x AS x, p.y AS y)))"""
-    return gathered.select("poly_id", *keep, F.expr(rings).alias("rings"), "bbox")
 
 
 # The geometry below is SQL text over column names: it is all lambdas, which read better so than nested calls.
@@ -88,13 +106,14 @@ def _cell_range(axis: str, size: str | float) -> tuple[str, str]:
 
 
 def _level(grid: Grid) -> str:
-    """Index of the finest cell size at which the polygon covers few enough cells, else of the coarsest."""
+    """Index of the finest cell size at which the polygon covers few enough cells, else of the coarsest, else an error."""
     cases = []
-    for i, size in enumerate(grid.sizes[:-1]):
-        (x0, x1), (y0, y1) = _cell_range("x", size), _cell_range("y", size)
-        cases.append(f"WHEN ({x1} - {x0} + 1) * ({y1} - {y0} + 1) <= {grid.max_cells} THEN {i}")
     last = len(grid.sizes) - 1
-    return f"CASE {' '.join(cases)} ELSE {last} END" if cases else str(last)
+    for i, size, most in [*((i, size, grid.max_cells) for i, size in enumerate(grid.sizes)), (last, grid.sizes[-1], grid.most_cells)]:
+        (x0, x1), (y0, y1) = _cell_range("x", size), _cell_range("y", size)
+        cases.append(f"WHEN ({x1} - {x0} + 1) * ({y1} - {y0} + 1) <= {most} THEN {i}")
+    message = "'polygon ' || poly_id || ' is too large for the grid: coordinates of another kind?'"
+    return f"CASE {' '.join(cases)} WHEN bbox.xmin IS NULL OR bbox.ymin IS NULL THEN NULL ELSE raise_error({message}) END"
 
 
 def polygon_cells(polygons: DataFrame, grid: Grid, keep: Sequence[str] = ()) -> DataFrame:
@@ -109,22 +128,44 @@ def polygon_cells(polygons: DataFrame, grid: Grid, keep: Sequence[str] = ()) ->
     def high(c: str) -> str:
         return f"({c} + 1 + 1e-9D) * _size"
 
-    in_row = f"filter(_all, e -> greatest(e.y1, e.y2) >= {low('_cy')} AND least(e.y1, e.y2) <= {high('_cy')})"
+    in_row = f"filter(_edges_in, e -> greatest(e.y1, e.y2) >= {low('_cy')} AND least(e.y1, e.y2) <= {high('_cy')})"
     rightward = f"filter(_row, e -> greatest(e.x1, e.x2) >= {low('_cx')})"
     crossed = f"exists(_right, e -> least(e.x1, e.x2) <= {high('_cx')})"
     middle = _odd_crossings("_right", "((_cx + 0.5D) * _size)", "((_cy + 0.5D) * _size)")
     (x0, x1), (y0, y1) = _cell_range("x", "_size"), _cell_range("y", "_size")
-    return (
-        polygons.selectExpr(*columns, f"{EDGES} AS _all", f"{_level(grid)} AS _level")
+    place = [*columns, "_level", "_size"]
+
+    def tested(rows: DataFrame) -> DataFrame:
+        """Cells with the edges right of their left border; those without any point inside are gone."""
+        found = rows.selectExpr(*place, "_cx", "_cy", f"{rightward} AS _right")
+        return found.selectExpr("*", f"{crossed} AS _crossed").where(f"_crossed OR {middle}")
+
+    cells = (
+        polygons.selectExpr(*columns, f"{EDGES} AS _edges_in", f"{_level(grid)} AS _level")
         .selectExpr("*", f"get(array({sizes}), _level) AS _size")
         .selectExpr("*", f"explode(sequence({y0}, {y1})) AS _cy")
-        .selectExpr(*columns, "_level", "_size", "_cy", f"{in_row} AS _row")
+        .selectExpr(*place, "_cy", f"{in_row} AS _row")
         .selectExpr("*", f"explode(sequence({x0}, {x1})) AS _cx")
-        .selectExpr(*columns, "_level", "_size", "_cy", "_cx", f"{rightward} AS _right")
-        .selectExpr(*columns, "_level", "_size", "_cy", "_cx", "_right", f"{crossed} AS _crossed")
-        .where(f"_crossed OR {middle}")
-        .selectExpr(*columns, "_level", "_cx", "_cy", "IF(_crossed, _right, filter(_right, e -> false)) AS _edges")
     )
+    cells = tested(cells)
+    ratios = f"array({', '.join(map(str, grid.ratios()))})"
+    parts = "explode(sequence(0, _parts - 1))"
+    for _ in grid.sizes[1:]:
+        # crowded cells are divided, others stay as they are: one row each
+        crowded = f"_crossed AND size(_right) > {grid.max_edges}"
+        cells = (
+            cells.selectExpr(*place, f"IF({crowded}, get({ratios}, _level), 1) AS _parts", "_cx", "_cy", "_right AS _edges_in")
+            .selectExpr("*", f"{parts} AS _dy")
+            .selectExpr(
+                *columns, "_parts", "IF(_parts > 1, _level - 1, _level) AS _level", "_size / _parts AS _size",
+                "_cx", "_cy * _parts + _dy AS _cy", "_edges_in",
+            )
+            .selectExpr(*place, "_parts", "_cx", "_cy", f"IF(_parts > 1, {in_row}, _edges_in) AS _row")
+            .selectExpr("*", f"{parts} AS _dx")
+            .selectExpr(*place, "_cx * _parts + _dx AS _cx", "_cy", "_row")
+        )
+        cells = tested(cells)
+    return cells.selectExpr(*columns, "_level", "_cx", "_cy", "IF(_crossed, _right, filter(_right, e -> false)) AS _edges")
 
 
 def point_in_polygon(

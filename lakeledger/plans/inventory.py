@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from .. import lookups
 from ..operators import inventory
+from ..sources.tables import kept
 
 
 def yearly_counts(counts: DataFrame, start: int, end: int) -> DataFrame:
@@ -20,6 +21,10 @@ def bar_table(counts: DataFrame, **style) -> DataFrame:
 
 
 def trend_table(counts: DataFrame, start: int, end: int) -> DataFrame:
-    """Yearly series per display type with the panel order of the bars."""
+    """Yearly series per display type with the panel order of the bars.
+
+    Both are made of one row a unit and year, kept in the shared folder so that the observations are read once.
+    """
+    counts = kept(counts, "unit-years")
     panels = bar_table(counts).select("display_charType", "panel_rank").distinct()
     return inventory.yearly_trend(counts, start, end).join(panels, "display_charType", "left")

@@ -59,6 +59,13 @@ def read_csv_if_exists(spark: SparkSession, path: str, schema: T.StructType) ->
         raise
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once: written to the shared folder and read from there."""
+    path = scratch_path(df.sparkSession, name)
+    write_snapshot(df, path)
+    return read_snapshot(df.sparkSession, path, df.schema)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder all executors share: ``spark.checkpoint.dir``, else the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")

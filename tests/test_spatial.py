@@ -154,3 +154,33 @@ def test_coverage_runs_over_states_in_order(spark, rows):
 def test_region_polygons_keep_vertices_without_region(spark, rows):
     vertices = spark.createDataFrame([("minnesota", 1), ("alaska", 2)], "region string, k int")
     assert rows(spatial.region_polygons(vertices), "region", "area") == [("alaska", None), ("minnesota", "Midwest")]
+
+
+def _outline(spark, rings):
+    rows = [(1, ring, k, float(x), float(y)) for ring, corners in rings for k, (x, y) in enumerate(corners)]
+    return spatial.polygons_from_vertices(spark.createDataFrame(rows, "poly_id int, ring int, k int, x double, y double"))
+
+
+def test_many_rings_and_long_coasts_are_linear(spark):
+    import math
+    import time
+
+    islands = [(i, [(i % 200 * 0.05, i // 200 * 0.05 + y) for y in (0, 0.02)] + [(i % 200 * 0.05 + 0.02, i // 200 * 0.05)]) for i in range(20_000)]
+    start = time.time()
+    assert _outline(spark, islands).selectExpr("size(rings) AS n").first().n == 20_000
+    coast = [(0, [(10 * math.cos(a) * (1 + 0.01 * (i % 2)), 10 * math.sin(a) * (1 + 0.01 * (i % 2))) for i in range(100_000) for a in [2 * math.pi * i / 100_000]])]
+    polygon = _outline(spark, coast)
+    points = spark.createDataFrame([(k, x, 0.1) for k, x in enumerate([0.0, 9.9, 10.5, -9.0, -11.0])], "wqx_id int, lon double, lat double")
+    hits = spatial.point_in_polygon(points, polygon).select("wqx_id").collect()
+    assert sorted(row.wqx_id for row in hits) == [0, 1, 3]
+    crowded = spatial.polygon_cells(polygon, spatial.DEGREES).selectExpr("max(size(_edges)) AS n").first().n
+    assert crowded < 20_000
+    assert time.time() - start < 120
+
+
+def test_metres_on_a_grid_of_degrees_are_an_error(spark):
+    square = _outline(spark, [(0, [(0, 0), (0, 20_000), (20_000, 20_000), (20_000, 0)])])
+    points = spark.createDataFrame([(1, 10.0, 10.0)], "wqx_id int, lon double, lat double")
+    with pytest.raises(Exception, match="too large for the grid"):
+        spatial.point_in_polygon(points, square).collect()
+    assert spatial.point_in_polygon(points, square, grid=spatial.METRES).count() == 1
