@@ -76,7 +76,8 @@ def fingerprints(texts: list[str]) -> list[str]:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     order = np.argsort(-lengths, kind="stable")
     joined = "".join(texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    # a walk that has ended stands behind its text: one more point for the last one
+    points = np.frombuffer((joined + "\0").encode("utf-32-le", "surrogatepass"), "<u4")
     starts = (np.cumsum(lengths) - lengths)[order]
     levels = np.array([sample_level(n) for n in lengths[order].tolist()], np.int64)
     longest = int(lengths.max(initial=0))
@@ -99,10 +100,9 @@ def fingerprints(texts: list[str]) -> list[str]:
                 shown.append((active[first:][inside], digits[inside].astype(np.uint8)))
             at += (here * STEPS.factor[step] + STEPS.offset[step]) >> np.uint32(31)
             np.minimum(at, stop, out=at)
-            np.minimum(at, len(points) - 1, out=at)
             step += 1
         STEPS.extend(step + 128)
-        walking = (at < stop) & ~((at == len(points) - 1) & (stop <= at))
+        walking = at < stop
         if not walking.all():
             active, at, stop = active[walking], at[walking], stop[walking]
             bounds = np.searchsorted(-levels[active], -np.arange(64), side="left").tolist()

@@ -228,17 +228,20 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", *, shin
     A null id is larger than all others. Of rows with one id in one group the smallest one by its columns, in order,
     stays; so repeated rows stay once.
     """
-    columns = docs.columns
-    found, root = _with_roots(without(docs, *ADDED), id, text, shingle, distance, columns)
-    first = found.where(quoted(id).eqNullSafe(F.col("component_id")))
+    names = docs.columns
+    columns = [f"c{k}" for k in range(len(names))]
+    inner = {name.lower(): column for name, column in zip(names, columns)}
+    id, text = inner[id.lower()], inner[text.lower()]
+    found, root = _with_roots(docs.toDF(*columns), id, text, shingle, distance, columns)
+    first = found.where(F.col(id).eqNullSafe(F.col("component_id")))
     # ids that come twice in a group are few or none; only their rows are aggregated
     crowded = cut(first.groupBy(root).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(root).alias(root + "_")))
     if crowded.isEmpty():
-        return first.select(*[quoted(name) for name in columns])
+        return first.select(*columns).toDF(*names)
     same = F.col(root) == F.col(root + "_")
-    least = first.join(crowded, same, "left_semi").groupBy(root).agg(F.min(F.struct(*[quoted(name) for name in columns])).alias("row"))
-    alone = first.join(crowded, same, "left_anti").select(*[quoted(name) for name in columns])
-    return alone.unionByName(least.select(*[F.col("row")[name].alias(name) for name in columns]))
+    least = first.join(crowded, same, "left_semi").groupBy(root).agg(F.min(F.struct(*columns)).alias("row"))
+    alone = first.join(crowded, same, "left_anti").select(*columns)
+    return alone.unionByName(least.select("row.*")).toDF(*names)
 
 
 def _with_roots(docs: DataFrame, id: str, text: str, shingle: int, distance: int, chosen: list[str]) -> tuple[DataFrame, str]:
