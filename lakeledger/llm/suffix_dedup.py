@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ from .words import _powers
 
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 #: Bytes of a gram.
-GRAM = 22
+GRAM = 18
 #: Bytes of text in a chunk, bytes of text whose grams go into one bucket, and whose contexts go into one block.
 CHUNK, BUCKET, BLOCK = 8 << 20, 32 << 20, 4 << 20
 #: Bytes of text whose grams are computed together, and bytes of contexts sorted together.
@@ -120,37 +121,48 @@ def _widened(blob: bytes) -> np.ndarray:
 # --- the transform -------------------------------------------------------------------------------------------
 
 
+def _order(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The stable order by (high, low), both below 2 ** 31: plain sorts of numbers that carry their places."""
+    place = np.arange(len(high))
+    by_low = np.sort(low << 32 | place) & 0xFFFFFFFF
+    return by_low[np.sort(high[by_low] << 32 | place) & 0xFFFFFFFF]
+
+
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes ordered by at least their first ``depth`` symbols (below 512), by prefix doubling of unsettled groups."""
     n = len(symbols)
     padded = np.zeros(n + 7, np.int64)
     padded[:n] = symbols
-    key = np.zeros(n, np.int64)
-    for k in range(7):
-        key = key << 9 | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    head = np.r_[True, key[order[1:]] != key[order[:-1]]]
-    known = 7
+    keys = []
+    for begin in (0, 3):
+        key = padded[begin : begin + n] << 18
+        key |= padded[begin + 1 : begin + 1 + n] << 9
+        key |= padded[begin + 2 : begin + 2 + n]
+        keys.append(key)
+    order = _order(*keys)
+    key = (keys[0] << 27 | keys[1])[order]
+    head = np.r_[True, key[1:] != key[:-1]]
+    known = 6
     rank = np.empty(n, np.int64)
-    while True:
-        group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        rank[order] = group
-        if known >= depth:
-            return order
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    while known < depth:
         open_ = ~head
         open_[:-1] |= ~head[1:]
         at = np.flatnonzero(open_)  # places of suffixes whose group is larger than one
         if not len(at):
-            return order
+            break
         suffix = order[at]
+        group = rank[suffix]
         following = suffix + known
         second = np.where(following < n, rank[np.minimum(following, n - 1)] + 1, 0)
-        key = group[at] << 32 | second
-        inner = np.argsort(key, kind="stable")
-        order[at] = suffix[inner]
-        key = key[inner]
-        head[at] = np.r_[True, key[1:] != key[:-1]]
+        inner = _order(group, second)
+        suffix, key = suffix[inner], group[inner] << 32 | second[inner]
+        order[at] = suffix
+        new = np.r_[True, key[1:] != key[:-1]]
+        head[at] = new
+        rank[suffix] = np.maximum.accumulate(np.where(new, at, 0))
         known *= 2
+    return order
 
 
 def prefix_classes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -234,12 +246,21 @@ def _merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
     return row[new], start[new], reach[last] - row[new] * wide
 
 
+def _squeezed(blob: bytes) -> bytes:
+    """Compressed for the way: contexts are text, and other columns are small numbers in 8 bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(blob)
+
+
 def _packed(*arrays: np.ndarray) -> list[bytes]:
-    return [np.ascontiguousarray(x, "<i8").tobytes() for x in arrays]
+    return [_squeezed(np.ascontiguousarray(x, "<i8").tobytes()) for x in arrays]
+
+
+def _expanded(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, "<i8")
+    return np.frombuffer(_expanded(blob), "<i8")
 
 
 def _batch(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -293,7 +314,7 @@ def _shared(table: pa.Table) -> pa.Table:
     counts = []
     for own, blob in zip(keys, table.column("several").to_pylist()):
         count = np.ones(len(own), np.int32)
-        at, n = _unpacked(blob).reshape(2, -1)
+        at, n = np.frombuffer(blob, "<i8").reshape(2, -1)
         count[at] = np.minimum(n, 1 << 20)
         counts.append(count)
     key, count = np.concatenate(keys), np.concatenate(counts)
@@ -364,7 +385,7 @@ def _contexts_of(width: int, length: int, blocks: int):
             owner, row, start = (np.array(x, np.int64) for x in zip(*holders))
             keys = np.array([entry[0] for entry in entries], np.uint64).view(np.int64)
             values = _packed(keys, [entry[1] for entry in entries], [len(x) for x in strings])
-            for name, value in zip(out, (block, chunk, *values, b"".join(strings), *_packed(row, start, owner))):
+            for name, value in zip(out, (block, chunk, *values, _squeezed(b"".join(strings)), *_packed(row, start, owner))):
                 out[name].append(value)
         return pa.Table.from_batches([_batch(out, PLACED)])
 
@@ -382,10 +403,10 @@ def _spans_of(length: int):
         keys, least, uses = [], [], []
         for k, row in enumerate(rows):
             sizes, holder, key = (_unpacked(row[name]) for name in ("sizes", "holder", "keys"))
-            ends = np.cumsum(sizes)
+            ends, text = np.cumsum(sizes), _expanded(row["context"])
             mine = []
             for begin, end, id_, hashed in zip((ends - sizes).tolist(), ends.tolist(), holder.tolist(), key.tolist()):
-                context = row["context"][begin:end]
+                context = text[begin:end]
                 number = place.setdefault(context, len(place))
                 if number == len(least):
                     least.append(id_)
@@ -436,7 +457,8 @@ def _result_of(names: list[str], text_at: int, width: int, with_kept: bool):
     def result(docs: pa.Table, spans: pa.Table) -> pa.Table:
         """A chunk's rows with what is left of each."""
         order, texts, _ = _rows(docs, width)
-        columns = [_unpacked(b"".join(spans.column(name).to_pylist())) for name in ("row", "start", "stop")]
+        parts = [[_unpacked(x) for x in spans.column(name).to_pylist()] for name in ("row", "start", "stop")]
+        columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in parts]
         row, start, stop = _merged(*columns)
         bounds = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
         counted = np.zeros((3, len(texts)), np.int64)
