@@ -22,6 +22,7 @@ HEADLINE = (
     "count_grid", "records_share", "yearly_trend", "trend_panels", "target_sites", "select_sites", "constituent_counts",
     "paged_rows", "normalize_results", "extract_by_state", "site_locations", "point_in_polygon", "assign_polygon",
     "sites_in_waterbodies", "huc_counts", "huc_bins_auto", "site_density_panel", "weekly_median_geo", "tukey_smooth",
+    "incremental_counts", "secchi_pipeline", "secchi_pipeline_funnel", "geo_pipeline",
 )
 
 
