@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import grouped, quoted, text_or_empty, unused, without
+from .support import grouped, quoted, text_or_empty, tidied, unused, without
 from .words import WordIds
 
 ADDED = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
 #: Bytes of text encoded together: their new words share one pair index.
-TOGETHER = 12_000_000
+TOGETHER = 5_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -192,4 +192,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep_
     inner = T.StructType([T.StructField(f"c{k}", field.dataType) for k, field in enumerate([*kept.fields, *added])])
     source = docs.select(*[quoted(name).alias(f"c{k}") for k, name in enumerate(docs.columns)], text_or_empty(text).alias(body))
     names = [*docs.columns, *[field.name for field in added]]
-    return source.mapInArrow(encode, inner).select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(names)])
+    return source.mapInArrow(tidied(encode), inner).select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(names)])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .support import cut, quoted, stored, text_or_empty, unused, without
+from .support import cut, quoted, stored, text_or_empty, tidied, unused, without
 
 ADDED = ("fingerprint", "component_id")
 SEED = 42
@@ -119,7 +119,7 @@ def fingerprints(docs: DataFrame, name: str, text: str = "text", shingle: int =
                 yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(len(columns))])
 
     source = docs.select(*[quoted(x).alias(f"c{k}") for k, x in enumerate(docs.columns)], text_or_empty(text).alias(body))
-    return source.mapInArrow(compute, inner).select(*[F.col(f"c{k}").alias(x) for k, x in enumerate([*docs.columns, name])])
+    return source.mapInArrow(tidied(compute), inner).select(*[F.col(f"c{k}").alias(x) for k, x in enumerate([*docs.columns, name])])
 
 
 # --- links ---------------------------------------------------------------------------------------------------
@@ -252,8 +252,8 @@ def _with_roots(docs: DataFrame, id: str, text: str, shingle: int, distance: int
     source = stored(fingerprints(docs, value, text, shingle).select(*[quoted(name) for name in chosen], value))
     known = cut(source.groupBy(value).agg(F.min(quoted(id)).alias(least)))
 
-    keys = known.select(value).mapInArrow(_keyed, "key long, print long")
-    links = keys.repartition("key").sortWithinPartitions("key", "print").mapInArrow(_linker(distance), "a long, b long")
+    keys = known.select(value).mapInArrow(tidied(_keyed), "key long, print long")
+    links = keys.repartition("key").sortWithinPartitions("key", "print").mapInArrow(tidied(_linker(distance)), "a long, b long")
     roots = connected_components(links.distinct()).select(F.col("node").alias(node), F.col("root").alias(root))
     rooted = known.join(roots, F.col(value) == F.col(node), "left").select(value, least, F.coalesce(root, value).alias(root))
     smallest = rooted.groupBy(F.col(root).alias(node)).agg(F.min(least).alias("component_id"))

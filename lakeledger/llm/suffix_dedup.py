@@ -21,16 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import quoted, unused, without
+from .support import give_back, quoted, without
 from .words import _powers
 
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 #: Bytes of a gram.
 GRAM = 18
 #: Bytes of text in a chunk, bytes of text whose grams go into one bucket, and whose contexts go into one block.
-CHUNK, BUCKET, BLOCK = 8 << 20, 32 << 20, 4 << 20
+CHUNK, BUCKET, BLOCK = 4 << 20, 16 << 20, 2 << 20
 #: Bytes of text whose grams are computed together, and bytes of contexts sorted together.
-PIECE, SORTED = 1 << 20, 1 << 20
+PIECE, SORTED = 1 << 19, 1 << 19
 #: Documents with one gram beyond which its strings are dealt out one by one, each by its own hash.
 HOT = 50_000
 NULL_ID = np.iinfo(np.int64).min
@@ -81,7 +81,7 @@ class Contexts:
         n = len(data)
         lengths = np.array([len(piece) for *_, piece in group], np.int64)
         ends = np.cumsum(lengths)
-        power, inverse = _powers(1 << max(20, n.bit_length()), BASE)
+        power, inverse = _powers(1 << max(19, n.bit_length()), BASE)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
         grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
@@ -274,6 +274,24 @@ PLACED = {"block": pa.int32(), "chunk": pa.int32(), "keys": pa.binary(), "holder
 SPANS = {"chunk": pa.int32(), "row": pa.binary(), "start": pa.binary(), "stop": pa.binary()}
 
 
+def _tidied(work):
+    """The same function over groups, giving memory back after each."""
+
+    def of_one(table: pa.Table) -> pa.Table:
+        try:
+            return work(table)
+        finally:
+            give_back()
+
+    def of_two(docs: pa.Table, other: pa.Table) -> pa.Table:
+        try:
+            return work(docs, other)
+        finally:
+            give_back()
+
+    return of_one if work.__code__.co_argcount == 1 else of_two
+
+
 def _schema(kinds: dict[str, pa.DataType]) -> T.StructType:
     types = {pa.int32(): T.IntegerType(), pa.binary(): T.BinaryType()}
     return T.StructType([T.StructField(name, types[kind]) for name, kind in kinds.items()])
@@ -517,15 +535,15 @@ def remove_repeats(
         F.pmod(F.xxhash64(quoted(id), value), F.lit(chunks)).cast("int").alias(chunk),
     )
     by_chunk = source.groupBy(chunk)
-    grams = by_chunk.applyInArrow(_grams_of(width, length, buckets), _schema(GRAMS))
-    shared = grams.groupBy("bucket").applyInArrow(_shared, _schema(SHARED))
-    placed = by_chunk.cogroup(shared.groupBy(chunk)).applyInArrow(_contexts_of(width, length, blocks), _schema(PLACED))
-    spans = placed.groupBy("block").applyInArrow(_spans_of(length), _schema(SPANS))
+    grams = by_chunk.applyInArrow(_tidied(_grams_of(width, length, buckets)), _schema(GRAMS))
+    shared = grams.groupBy("bucket").applyInArrow(_tidied(_shared), _schema(SHARED))
+    placed = by_chunk.cogroup(shared.groupBy(chunk)).applyInArrow(_tidied(_contexts_of(width, length, blocks)), _schema(PLACED))
+    spans = placed.groupBy("block").applyInArrow(_tidied(_spans_of(length)), _schema(SPANS))
     fields = [docs.schema[name].dataType for name in names] + [T.StringType()] * replace_text
     fields += [T.LongType()] * 3 + [T.StringType()]
     schema = T.StructType([T.StructField(f"c{k}", kind) for k, kind in enumerate(fields)])
     result = _result_of([f"c{k}" for k in range(width)], width + 1, width, replace_text)
-    found = by_chunk.cogroup(spans.groupBy(chunk)).applyInArrow(result, schema)
+    found = by_chunk.cogroup(spans.groupBy(chunk)).applyInArrow(_tidied(result), schema)
     named = [*names, *([text] if replace_text else []), *ADDED]
     found = found.toDF(*named)
     original = [name for name in docs.columns if replace_text or name in names]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -63,6 +66,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Returns memory that this worker has freed to the system: workers are kept, and several share an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc do so by themselves
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function over batches, giving memory back when its partition ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def grouped(batches: Iterator[pa.RecordBatch], weight: str, limit: int) -> Iterator[list[pa.RecordBatch]]:
     """Record batches cut and gathered so that the strings of column ``weight`` hold about ``limit`` bytes at a time."""
     held, size = [], 0

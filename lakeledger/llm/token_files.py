@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import grouped, quoted, shuffle_partitions, stored, text_or_empty
+from .support import grouped, quoted, shuffle_partitions, stored, text_or_empty, tidied
 from .words import WordIds
 
 MAGIC = b"IDPLANE1"
@@ -130,7 +130,7 @@ def encoded(docs: DataFrame, vocabulary: str, end: int | None, id: str = "doc_id
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("tie", T.LongType()), T.StructField("ids", T.BinaryType())])
     source = docs.select(quoted(id).alias("id"), F.xxhash64(text_or_empty(text)).alias("tie"), text_or_empty(text).alias("text"))
-    return source.mapInArrow(encode, schema)
+    return source.mapInArrow(tidied(encode), schema)
 
 
 def write_token_files(
