@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def page_starts(lo: Column, hi: Column, stride: str, keep_empty: bool = False) -> Column:
@@ -69,8 +70,12 @@ def read_paged(
         raise ValueError(f"bounds must be 'closed' or 'half_open', not {bounds!r}")
     calendar = _calendar(results.sparkSession, lo, hi, stride, bounds, keep_empty)
     first, last = F.lit(lo).cast("date"), F.lit(hi).cast("date")
+    if isinstance(results.schema[date].dataType, T.DateType):
+        inside = F.col(date).between(first, last)
+    else:
+        inside = (F.col(date) >= first) & (F.col(date) < F.date_add(last, 1))
     return (
-        results.where((F.col(date) >= first) & (F.col(date) < F.date_add(last, 1)))
+        results.where(inside)
         .join(F.broadcast(calendar), F.col(date).cast("date") == F.col("_day"))
         .select(*results.columns, "page_start", "page_end")
     )
