@@ -95,7 +95,7 @@ def mix(
     # nodes of null and of empty names share a path
     budgets = cut(budgets.groupBy(limit).agg(F.max(epochs).alias(epochs), F.sum(need).alias(need)))
 
-    small = rows.select(key, size, quoted(id).alias(mark)).join(budgets, F.col(key) == F.col(limit))
+    small = rows.select(key, size, quoted(id).alias(mark)).join(_sized(budgets), F.col(key) == F.col(limit))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epochs).cast("string"), F.coalesce(F.col(mark).cast("string"), F.lit(""))))
     small = small.select(key, size, digest.alias(mark), F.substring(digest, 1, SLICE_DIGITS).alias(part))
     sums = small.groupBy(key, part).agg(F.sum(size).alias("n"))
