@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .support import cut, grouped, quoted, shuffle_partitions, text_or_empty, unused, without
+from .support import cut, grouped, quoted, shuffle_partitions, text_or_empty, tidied, unused, without
 
 #: Samples a fingerprint aims at; it has up to twice as many.
 SAMPLES = 128
 #: Sampled characters in a band.
 BAND = 4
 #: Walks that advance together; fewer are followed one by one.
-TOGETHER = 24
+TOGETHER = 40
 #: Bytes of text walked over at a time.
 GROUP = 6_000_000
 
@@ -193,7 +193,7 @@ def edit_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
     source = docs.select(*[quoted(x).alias(f"c{k}") for k, x in enumerate(docs.columns)], text_or_empty(text).alias(body))
     names = [*docs.columns, "fingerprint"]
-    return source.mapInArrow(compute, inner).select(*[F.col(f"c{k}").alias(x) for k, x in enumerate(names)])
+    return source.mapInArrow(tidied(compute), inner).select(*[F.col(f"c{k}").alias(x) for k, x in enumerate(names)])
 
 
 def fingerprint_groups(fingerprinted: DataFrame, min_likeness: float = 0.8, fingerprint: str = "fingerprint") -> DataFrame:
@@ -263,7 +263,7 @@ def with_successors(docs: DataFrame, id: str = "doc_id", text: str = "text", mos
     rows = dealt.withColumn("copy", copies)
     rows = rows.withColumn("to", F.explode(F.when(F.col("copy").isNull(), F.array(target)).otherwise(F.array(target, again))))
     rows = rows.select("to.part", "to.extra", "id", "text", "tie")
-    return rows.repartition(n, "part").sortWithinPartitions("part", "extra", F.col("id").desc_nulls_last(), "tie").drop("tie")
+    return rows.repartitionByRange(n, "part").sortWithinPartitions("part", "extra", F.col("id").desc_nulls_last(), "tie").drop("tie")
 
 
 def edited_likeness(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,4 +308,4 @@ def edited_likeness(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
             yield compare(rows)
             last = rows[-1:]
 
-    return with_successors(docs, id, text).mapInArrow(stream, schema).toDF(*names)
+    return with_successors(docs, id, text).mapInArrow(tidied(stream), schema).toDF(*names)
