@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -66,9 +66,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def give_back() -> None:
-    """Returns memory that this worker has freed to the system: workers are kept, and several share an executor."""
-    gc.collect()
+_calls = count(1)
+
+
+def give_back(every: int = 1) -> None:
+    """Returns memory that this worker has freed to the system: workers are kept, and several share an executor.
+
+    ``every``: does so once in so many calls only.
+    """
+    if next(_calls) % every:
+        return
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc do so by themselves
         ctypes.CDLL(None).malloc_trim(0)
