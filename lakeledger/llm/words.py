@@ -191,7 +191,7 @@ class WordIds:
     """Token ids of words: every distinct word is encoded once by ``encode``, which takes a list of new words."""
 
     #: Distinct words after which the table starts anew.
-    MOST = 250_000
+    MOST = 500_000
 
     def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], special: Iterable[str] = ()):
         self.encode, self.special = encode, tuple(special)
