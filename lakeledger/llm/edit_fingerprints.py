@@ -22,7 +22,7 @@ BAND = 4
 #: Walks that advance together; fewer are followed one by one.
 TOGETHER = 40
 #: Bytes of text walked over at a time.
-GROUP = 6_000_000
+GROUP = 16_000_000
 
 
 class _Steps:
