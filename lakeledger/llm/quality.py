@@ -52,13 +52,24 @@ def quality_rules(
     guard_words: int = 50,
     max_class_distance: float = 0.25,
     max_word_distance: float = 0.45,
+    bare_share: float | None = None,
+    bare_share_short: float = 0.98,
+    short_words: int = 120,
 ) -> DataFrame:
     """``docs`` with base counts, two Jensen-Shannon distances and the verdict ``kept``.
 
     References: for each language the histogram of character classes and that of common words, summed over all its
     documents. A document is judged against its language's by the Jensen-Shannon distance (base 2, 0 to 1), by classes
     if it has ``guard_chars`` characters that are no blanks, by words if it has ``guard_words`` words; a shorter one
-    has a null distance and passes. ``base_failed``: fewer than ``min_words`` words, or more than
+    has a null distance and passes.
+
+    The word distance of a text without any common word depends on its language's reference alone and is far below 1
+    (0.31 where 18 percent of the words are common), so no fixed limit above it rejects such a text. ``bare_share``
+    puts a second limit at this share of that distance, and at ``bare_share_short`` of it for texts of fewer than
+    ``short_words`` words, whose common words vary by chance; a text beyond either limit is rejected. A reference
+    without common words sets no such limit. None (the default) leaves ``max_word_distance`` alone, as the SQL has it.
+
+    ``base_failed``: fewer than ``min_words`` words, or more than
     ``max_repeat_percent`` percent of the words in five-word windows found twice or more.
 
     A null text is empty (0 words, so it fails); a null language is the empty name. Repeated rows are judged one by
@@ -115,12 +126,16 @@ def quality_rules(
             | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
         }
     )
-    judged = judged.withColumn(
-        "kept",
+    passes = (
         ~F.col("base_failed")
         & (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance)
-        & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance),
+        & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
     )
+    if bare_share is not None:
+        share = F.when(F.col("n_words") < short_words, bare_share_short).otherwise(bare_share)
+        bare = _bare_distance(F.col(ref)["named"])
+        passes &= F.coalesce((bare <= 0) | (F.col("word_distance") <= share * bare), F.lit(True))
+    judged = judged.withColumn("kept", passes)
     return judged.select(*kept, *ADDED)
 
 
@@ -261,3 +276,9 @@ def _word_distance(hist: Column, n: Column, reference: Column) -> Column:
 
     zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
     return _root(F.aggregate(pairs, zero, add, finish))
+
+
+def _bare_distance(named: Column) -> Column:
+    """The word distance of a text without common words from a reference of which ``named`` are common words."""
+    other = F.greatest(1 - named, F.lit(0.0))
+    return _root((_half(F.lit(1.0), other) + _half(other, F.lit(1.0)) + named) / 2)
