@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from .support import quoted
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Examples of a conversation whose contexts are joined under one key.
+BLOCK = 32
 #: A control string in a text, or one that is escaped already, gets one more backslash behind its opening mark.
 _CONTROL = r"<\|(\\*)(im_start|im_end)\|>"
 _ESCAPED = r"<\|\\(\\*)(im_start|im_end)\|>"
@@ -39,7 +41,8 @@ def format_chat(
     text, the end mark not included) is trained. ``example`` numbers them from 0; it is null for other turns.
 
     An example's context is the prefix of segments before it, so no context is stored again for every reply: a
-    conversation of n turns takes n rows, not n * n / 2 copies, however long it is. ``example_texts`` joins them.
+    conversation of n turns takes n rows, not n * n / 2 copies, however long it is. ``expand_examples`` writes the
+    contexts of all examples out, ``example_texts`` those of chosen ones.
 
     Turns are ordered by turn (null first), role and text, so repeated turns all stay, in a defined order. Null texts
     and roles are empty. A null conversation id is a conversation like any other. Columns besides the four are not used.
@@ -85,6 +88,31 @@ def example_texts(formatted: DataFrame, examples: DataFrame) -> DataFrame:
     return texts.select("conv", "example", F.array_join("s.segment", "").alias("text"), "loss_start", "loss_end")
 
 
+def expand_examples(formatted: DataFrame) -> DataFrame:
+    """One row for each example and segment of its text: conv, example, position, segment, start, last, loss_start, loss_end.
+
+    An example's text is its segments in the order of position, up to its reply's, ``last``; loss_start and loss_end
+    are offsets in that text. Each partition has an example's rows beside each other and in order.
+
+    No text is one row. BLOCK examples of a conversation are one key of the join, so the contexts of a long
+    conversation are spread over many tasks; a segment is shuffled once a block, not once an example.
+    """
+    own = Window.partitionBy("conv")
+    before = F.count("example").over(own.orderBy("position").rowsBetween(Window.unboundedPreceding, -1))
+    parts = formatted.select("conv", "position", "segment", "start", before.alias("before"), F.count("example").over(own).alias("total"))
+    # the segment belongs to all examples that end at or behind it
+    block = F.explode(F.sequence(F.floor(F.col("before") / BLOCK), F.floor((F.col("total") - 1) / BLOCK)))
+    parts = parts.where("before < total").select("conv", "position", "segment", "start", block.alias("block"))
+    wanted = formatted.where("example is not null").select(
+        F.col("conv").alias("own"), F.floor(F.col("example") / BLOCK).alias("own_block"), "example",
+        F.col("position").alias("last"), "loss_start", "loss_end",
+    )
+    same = F.col("conv").eqNullSafe(F.col("own")) & (F.col("block") == F.col("own_block"))
+    rows = parts.join(wanted, same & (F.col("position") <= F.col("last")))
+    rows = rows.select("conv", "example", "position", "segment", "start", "last", "loss_start", "loss_end")
+    return rows.sortWithinPartitions("conv", "example", "position")
+
+
 def read_chat(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation, read from its formatted segments and loss spans alone.
 
@@ -94,20 +122,54 @@ def read_chat(formatted: DataFrame) -> DataFrame:
 
     Segments are parsed where they lie; only a digest needs a conversation's turns in order, and reads them as a stream.
     """
-    inner = r"(?s)^<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n$"
     end = F.length(F.lit(END + "\n"))
     loss = F.substring("segment", (F.col("loss_start") - F.col("start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
     parsed = formatted.select(
-        "conv", "position",
-        unescape(F.regexp_extract("segment", inner, 1)).alias("role"), unescape(F.regexp_extract("segment", inner, 2)).alias("text"),
+        "conv", "position", *_parsed(),
         F.when(F.col("example").isNotNull(), unescape(loss)).alias("loss"),
         F.length("segment").cast("long").alias("chars"),
         F.when(F.col("example").isNotNull(), F.col("loss_end") + end).alias("expanded"),
     )
+    return _digested(parsed)
+
+
+def read_examples(formatted: DataFrame, examples: DataFrame) -> DataFrame:
+    """The columns of ``read_chat``, with all that concerns examples read from their texts, as ``expand_examples`` gives them.
+
+    loss_chars and loss_sha256 are of what lies between loss_start and loss_end of each example's text, n_examples counts
+    the examples found, formatted_chars their code points with their contexts. expanded_chars is what their offsets
+    say that should be, so the two are equal if nothing is missing. Turns are read from ``formatted``, as those behind
+    the last reply are in no example.
+    """
+    end = F.length(F.lit(END + "\n"))
+    chars = F.length("segment").cast("long")
+    low = F.greatest(F.col("loss_start") - F.col("start"), F.lit(0))
+    high = F.least(F.col("loss_end") - F.col("start"), chars)
+    piece = F.when(high > low, F.struct("position", F.substring("segment", (low + 1).cast("int"), (high - low).cast("int")).alias("piece")))
+    # only what is trained is gathered: the context's segments give no piece
+    read = examples.groupBy("conv", "example", "last", "loss_end").agg(
+        F.array_sort(F.collect_list(piece))["piece"].alias("pieces"), F.sum(chars).alias("chars")
+    )
+    read = read.select(
+        "conv", F.col("last").alias("position"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"),
+        unescape(F.array_join("pieces", "")).alias("loss"), "chars", (F.col("loss_end") + end).alias("expanded"),
+    )
+    nothing = [F.lit(None).cast("string").alias("loss"), F.lit(0).cast("long").alias("chars"), F.lit(None).cast("long").alias("expanded")]
+    return _digested(formatted.select("conv", "position", *_parsed(), *nothing).unionByName(read))
+
+
+def _parsed() -> list[Column]:
+    """role and text of a segment."""
+    inner = r"(?s)^<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n$"
+    return [unescape(F.regexp_extract("segment", inner, k)).alias(name) for k, name in ((1, "role"), (2, "text"))]
+
+
+def _digested(parsed: DataFrame) -> DataFrame:
+    """A row a conversation from rows of (conv, position, role, text, loss, chars, expanded); a null role is no turn, a null loss no example."""
     rows = parsed.repartition("conv").sortWithinPartitions("conv", "position")
     schema = T.StructType(
         [
-            T.StructField("conv", formatted.schema["conv"].dataType), T.StructField("n_turns", T.LongType()),
+            T.StructField("conv", parsed.schema["conv"].dataType), T.StructField("n_turns", T.LongType()),
             T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()),
             T.StructField("loss_sha256", T.StringType()), T.StructField("n_examples", T.LongType()),
             T.StructField("formatted_chars", T.LongType()), T.StructField("expanded_chars", T.LongType()),
@@ -134,8 +196,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held is not None:
                     done.append(close())
                 held = [batch.column(0).slice(at, 1), 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-            held[1] += 1
-            held[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+            if role is not None:
+                held[1] += 1
+                held[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             if loss is not None:
                 held[3] += len(loss)
                 held[4].update(loss.encode("utf-8", "surrogatepass"))
