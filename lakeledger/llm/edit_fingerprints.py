@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +21,10 @@ from .support import cut, grouped, quoted, shuffle_partitions, text_or_empty, ti
 SAMPLES = 128
 #: Sampled characters in a band.
 BAND = 4
+#: Fingerprints of fewer digits are also cut into pieces of one digit less than a band.
+SHORT = 16
+#: Fingerprints of a band that are compared in one cell, and with as many of another cell.
+CELL = 1024
 #: Walks that advance together; fewer are followed one by one.
 TOGETHER = 40
 #: Bytes of text walked over at a time.
@@ -196,41 +202,107 @@ def edit_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return source.mapInArrow(tidied(compute), inner).select(*[F.col(f"c{k}").alias(x) for k, x in enumerate(names)])
 
 
+def _keys(fingerprint: str, least_share: float) -> list[tuple[str, int, int]]:
+    """(key, level, spare) of bands; two fingerprints of at least this share of equal digits have more than ``spare`` in common.
+
+    Of n digits at most (1 - share) * n differ, and each breaks one band. Where few digits leave no whole band for sure,
+    pieces of one digit less are keys too.
+    """
+    own, keys = int(fingerprint[:2], 16), defaultdict(list)
+    for key in bands(fingerprint):
+        keys[int(key[:2], 16)].append(key)
+    found = []
+    for level in (own, own + 1):
+        digits = _at_level(fingerprint, level).tobytes().decode()
+        sure = (least_share - 1 + 1 / BAND) * len(digits) - (BAND - 1) / BAND
+        if len(digits) < SHORT:
+            keys[level] += [f"{level:02x}s{k}.{digits[k : k + BAND - 1]}" for k in range(0, len(digits) - BAND + 2, BAND - 1)]
+        found += [(key, level, max(0, math.ceil(sure - 1e-9) - 1)) for key in keys[level]]
+    return found
+
+
+def _links(values: list[str], sides: list[int], level: int, min_likeness: float) -> list[tuple[str, str]]:
+    """Links among fingerprints that share a band of this level (of two sides: across), less those that others imply."""
+    digits = [_at_level(value, level) for value in values]
+    lengths = np.fromiter(map(len, digits), np.int64, len(values))
+    own = np.fromiter((int(value[:2], 16) for value in values), np.int64, len(values))
+    side = np.array(sides)
+    across = len(set(sides)) > 1
+    table = np.zeros((len(values), int(lengths.max(initial=0))), np.uint8)
+    for k, row in enumerate(digits):
+        table[k, : len(row)] = row
+    group = np.arange(len(values))
+    links = []
+    for k in range(len(values) - 1):
+        # two texts of a lower level are compared under that level's bands
+        fit = (np.maximum(own[k + 1 :], own[k]) == level) & (group[k + 1 :] != group[k])
+        others = np.flatnonzero(fit & (side[k + 1 :] != side[k]) if across else fit) + k + 1
+        if not len(others):
+            continue
+        n = np.maximum(lengths[others], lengths[k])
+        equal = (table[others] == table[k]).sum(axis=1) - (table.shape[1] - n)
+        near = np.maximum(0.0, (equal / n - 1 / 16) / (15 / 16)) >= min_likeness
+        for other in others[near].tolist():
+            if group[other] != group[k]:
+                links.append((values[k], values[other]))
+                group[group == group[other]] = group[k]
+    return links
+
+
 def fingerprint_groups(fingerprinted: DataFrame, min_likeness: float = 0.8, fingerprint: str = "fingerprint") -> DataFrame:
     """(fingerprint, group): each distinct fingerprint and the smallest one it is linked with, over links.
 
-    Distinct fingerprints that share a band are candidates: each one with the band's smallest and with the one before
-    it in order, so candidates grow with the rows of a band, not with their pairs. Candidates of at least
-    ``min_likeness`` are links; groups are the connected components. Like every banding it can miss a link.
+    Distinct fingerprints that share a band are candidates, all pairs of them. Candidates of at least ``min_likeness``
+    are links; groups are the connected components. From a likeness of 0.8 on, two fingerprints have about a quarter of
+    their bands in common at least, so no link is missed; far below, banding can miss one.
+
+    For the same reason a fingerprint leaves out its most crowded bands, one less than it surely shares with any other
+    that is like it: of common bands the least crowded stays on both sides. Bands that are still crowded are compared
+    in cells of two times CELL fingerprints, so that one band is spread over many tasks; the comparisons of such a band
+    grow with the square of its fingerprints. Texts whose levels differ by two or more are never candidates: one is at
+    least twice as long as the other.
     """
     known = cut(fingerprinted.select(quoted(fingerprint).alias("f")).where("f is not null").distinct())
+    least_share = min_likeness * 15 / 16 + 1 / 16
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                keys = bands(value)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([value] * len(keys), pa.string())], ["band", "f"])
+                keys = _keys(value, least_share)
+                columns = [[x[k] for x in keys] for k in range(3)]
+                kinds = [pa.string(), pa.int32(), pa.int32()]
+                arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([value] * len(keys), pa.string())], ["band", "level", "spare", "f"])
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = least = last = None
-        for batch in batches:
-            pairs = []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if key != band:
-                    band, least, last = key, value, value
-                    continue
-                pairs += [(value, least)] if least == last else [(value, least), (value, last)]
-                last = value
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.string()) for k in (0, 1)], ["a", "b"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            yield batch.filter(pa.array([likeness(a, b) >= min_likeness for a, b in values], pa.bool_()))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, values, sides = None, [], []
 
-    rows = known.mapInArrow(spread, "band string, f string").repartition("band").sortWithinPartitions("band", "f")
-    pairs = rows.mapInArrow(pair, "a string, b string").where("a <> b").distinct()
-    roots = connected_components(pairs.mapInArrow(verify, "a string, b string")).withColumnRenamed("node", "f")
+        def linked() -> pa.RecordBatch:
+            links = _links(values, sides, cell[1], min_likeness)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for *key, side, value in zip(*(column.to_pylist() for column in batch.columns)):
+                if key != cell:
+                    if len(values) > 1:
+                        yield linked()
+                    cell, values, sides = key, [], []
+                values.append(value)
+                sides.append(side)
+        if len(values) > 1:
+            yield linked()
+
+    rows = cut(known.mapInArrow(spread, "band string, level int, spare int, f string"))
+    crowds = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("band", "crowd")
+    rows = rows.join(crowds, F.col("band") == F.col("crowd"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("f", "level").orderBy(F.desc("n"), "band")))
+    blocks = F.ceil(F.col("n") / CELL)
+    dealt = ranked.where("rank > spare and n > 1").select("band", "level", "f", blocks.alias("blocks"), F.pmod(F.xxhash64("f"), blocks).alias("side"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = dealt.select("band", "level", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "f")
+    cells = cells.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "f")
+    links = cells.mapInArrow(tidied(compare), "a string, b string").distinct()
+    roots = connected_components(links).withColumnRenamed("node", "f")
     return known.join(roots, "f", "left").select(F.col("f").alias("fingerprint"), F.coalesce("root", "f").alias("group"))
 
 
