@@ -110,13 +110,14 @@ def _node(url: Column) -> Column:
 
 
 def _edges(pages: DataFrame) -> DataFrame:
-    """(a, b): a page and the target of its canonical link or of its refresh."""
+    """(a, b): a page and the target of each of its canonical links and refreshes."""
     lower = F.lower("html")
-    links = F.array(
-        F.when(lower.contains("canonical"), F.regexp_extract("html", _CANONICAL, 1)),
-        F.when(lower.contains("refresh"), F.regexp_extract("html", _REFRESH, 1)),
+    nothing = F.array().cast("array<string>")
+    links = F.concat(
+        F.when(lower.contains("canonical"), F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(1))).otherwise(nothing),
+        F.when(lower.contains("refresh"), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(1))).otherwise(nothing),
     )
-    targets = pages.select("url", F.explode(F.filter(links, lambda x: x != "")).alias("link"))
+    targets = pages.select("url", F.explode(F.array_distinct(F.filter(links, lambda x: x != ""))).alias("link"))
     link = F.regexp_replace("link", "&amp;", "&")
     base = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract("url", r"(?s)^.*?://[^/?#]*(/[^?#]*/|/)", 1)
