@@ -31,7 +31,7 @@ def _points(star: Star) -> DataFrame:
 
 
 def _polygons(star: Star) -> DataFrame:
-    return spatial.polygons_from_vertices(star.vertices(), keep=["ftype"])
+    return spatial.polygon_edges(star.vertices(), keep=["ftype"])
 
 
 def _allowed(star: Star) -> DataFrame:

@@ -1,9 +1,13 @@
 """Points in polygons, and what is counted from it.
 
 The join is an equi-join on grid cells followed by an exact test. Each polygon is listed under the cells of one grid
-level, chosen so that it covers few cells however large it is; a point looks up its one cell per level, so a pair
-of point and polygon comes up at most once. A cell of a polygon carries only the edges that can decide a point in
-that cell, and none where the whole cell lies inside; cells wholly outside are dropped before the join.
+level, chosen so that it has few cells for its corners; a point looks up its one cell per level, so a pair of point and
+polygon comes up at most once.
+
+Edges are rows, dealt to the cells they cross. A cell keeps only those, and one bit: whether its lower left corner is
+inside, the parity of the crossings to the left along its row of cells. A point is inside if the path from that corner to
+it, along the bottom of the cell and then straight up, turns the bit to true. Cells that have no edge and are not inside
+are dropped before the join.
 """
 
 from __future__ import annotations
@@ -22,24 +26,14 @@ from ..functions.projection import equal_area_xy
 class Grid:
     """Cell sizes in coordinate units, finest first.
 
-    A polygon is listed at the finest size at which it covers at most ``max_cells`` cells, else at the coarsest. One that
-    covers more than ``most_cells`` even there has coordinates of another kind than the grid and is an error. Cells of
-    more than ``max_edges`` edges are divided into those of the next finer size where that divides them exactly, which in
-    floating point it does if the ratio is a power of two.
+    A polygon is listed at the finest size at which its box has at most ``max_cells`` cells, or no more cells than the
+    polygon has edges and no edge crosses more than two on average; else at the coarsest. One whose box has more than
+    ``most_cells`` even there, and more than it has edges, has coordinates of another kind than the grid and is an error.
     """
 
     sizes: tuple[float, ...]
     max_cells: int = 256
     most_cells: int = 4096
-    max_edges: int = 256
-
-    def ratios(self) -> list[int]:
-        """Into how many cells a side one of each size can be divided; 1 if it cannot."""
-        found = [1]
-        for finer, size in zip(self.sizes, self.sizes[1:]):
-            ratio = round(size / finer)
-            found.append(ratio if ratio & (ratio - 1) == 0 and finer * ratio == size else 1)
-        return found
 
 
 DEGREES = Grid((0.05, 0.8, 12.8))
@@ -71,6 +65,28 @@ def polygons_from_vertices(vertices: DataFrame, keep: Sequence[str] = (), x: str
     )
 
 
+def polygon_edges(vertices: DataFrame, keep: Sequence[str] = (), x: str = "x", y: str = "y") -> DataFrame:
+    """(poly_id, kept attributes, x1, y1, x2, y2): one row an edge, from (poly_id, ring, k, x, y).
+
+    A ring's numbers ``k`` have no gaps; a ring that is not closed is closed by its last edge. Every corner meets the next
+    one by a join, so a ring of any length is spread over many tasks; no outline is gathered. Functions of this module
+    take these rows wherever they take polygons.
+    """
+    place = ["poly_id", *keep, "ring"]
+    ends = vertices.groupBy(*place).agg(F.min("k").alias("_first"), F.max("k").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    gap = "raise_error('ring ' || ring || ' of polygon ' || poly_id || ': corners are not numbered without gaps')"
+    ends = ends.selectExpr(*place, f"IF(_last - _first + 1 = _n, _first, {gap}) AS _first", "_last")
+    same = [F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}")) for name in place]
+    corners = vertices.alias("a").join(ends.alias("b"), same).selectExpr(
+        *[f"a.`{name}`" for name in place], f"a.`{x}` AS x1", f"a.`{y}` AS y1", "IF(k = _last, _first, k + 1) AS _next"
+    )
+    following = vertices.selectExpr(*[f"`{name}`" for name in place], "k AS _next", f"`{x}` AS x2", f"`{y}` AS y2")
+    same = [F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}")) for name in [*place, "_next"]]
+    return corners.alias("a").join(following.alias("b"), same).selectExpr(
+        *[f"a.`{name}`" for name in ("poly_id", *keep)], "x1", "y1", "x2", "y2"
+    )
+
+
 # The geometry below is SQL text over column names: it is all lambdas, which read better so than nested calls.
 
 # All edges of all rings; a ring that is not closed is closed by its last edge.
@@ -78,15 +94,43 @@ EDGES = """
     flatten(transform(rings, r -> transform(r, (p, i) ->
         struct(p.x AS x1, p.y AS y1, get(r, (i + 1) % size(r)).x AS x2, get(r, (i + 1) % size(r)).y AS y2))))"""
 
+# Parts of a cell that a border counts as its own, so that rounding can only list an edge once too often, never lose it.
+WIDENED = 1e-8
+NO_EDGE = "CAST(NULL AS struct<x1: double, y1: double, x2: double, y2: double>)"
+
 
-def _odd_crossings(edges: str, x: str, y: str) -> str:
-    """Does a ray towards growing x cross an odd number of edges? Even-odd over all rings makes holes outside.
+def _crossing(e: str, along: str, at: str, of: str) -> str:
+    """The coordinate ``of`` (x or y) at which an edge crosses the line on which ``along`` is ``at``; exact at its ends.
 
-    A level edge never spans the ray's height, but ANSI mode would still refuse to divide by its own: try_divide.
+    ANSI mode would refuse to divide by the height of a level edge, which never crosses: try_divide.
     """
-    return f"""
-        size(filter({edges}, e -> (e.y1 > {y}) <> (e.y2 > {y})
-            AND {x} < (e.x2 - e.x1) * try_divide({y} - e.y1, e.y2 - e.y1) + e.x1)) % 2 = 1"""
+    slope = f"({e}{of}2 - {e}{of}1) * try_divide({at} - {e}{along}1, {e}{along}2 - {e}{along}1)"
+    return f"CASE WHEN {at} = {e}{along}1 THEN {e}{of}1 WHEN {at} = {e}{along}2 THEN {e}{of}2 ELSE {e}{of}1 + {slope} END"
+
+
+def _spans(e: str, along: str, at: str) -> str:
+    """Is one end of the edge beyond a line and the other not? Ends on the line count as not beyond."""
+    return f"({e}{along}1 > {at}) <> ({e}{along}2 > {at})"
+
+
+def _column(e: str) -> str:
+    """The column of cells in which an edge crosses the bottom of the row of cells _cy."""
+    return f"CAST(floor(greatest({_crossing(e, 'y', '(_cy * _size)', 'x')}, bbox.xmin) / _size) AS BIGINT)"
+
+
+def _odd_turns(x: str, y: str) -> str:
+    """Does the path from a cell's lower left corner to a point in it cross an odd number of the cell's edges?
+
+    The path runs just above the cell's bottom to just right of the point's x, then up. An edge that passes the bend itself
+    is to the left of it if it leans to the left going up.
+    """
+    bottom = "(_cy * _size)"
+    at = _crossing("e.", "y", bottom, "x")
+    level = f"""{_spans('e.', 'y', bottom)} AND {_column('e.')} >= _cx
+            AND ({at} < {x} OR ({at} = {x} AND (e.x2 - e.x1) * (e.y2 - e.y1) <= 0))"""
+    at = _crossing("e.", "x", x, "y")
+    up = f"{_spans('e.', 'x', x)} AND {at} > {bottom} AND {at} < {y}"
+    return f"aggregate(_edges, false, (odd, e) -> odd <> (({level}) <> ({up})))"
 
 
 def _on_edge(edges: str, x: str, y: str) -> str:
@@ -106,66 +150,67 @@ def _cell_range(axis: str, size: str | float) -> tuple[str, str]:
 
 
 def _level(grid: Grid) -> str:
-    """Index of the finest cell size at which the polygon covers few enough cells, else of the coarsest, else an error."""
+    """Index of the finest cell size that suits a polygon, else of the coarsest, else an error (see ``Grid``)."""
     cases = []
-    last = len(grid.sizes) - 1
-    for i, size, most in [*((i, size, grid.max_cells) for i, size in enumerate(grid.sizes)), (last, grid.sizes[-1], grid.most_cells)]:
+    for i, size in enumerate(grid.sizes):
         (x0, x1), (y0, y1) = _cell_range("x", size), _cell_range("y", size)
-        cases.append(f"WHEN ({x1} - {x0} + 1) * ({y1} - {y0} + 1) <= {most} THEN {i}")
+        cells = f"({x1} - {x0} + 1) * ({y1} - {y0} + 1)"
+        most = grid.most_cells if i + 1 == len(grid.sizes) else grid.max_cells
+        few = f"{cells} <= {grid.max_cells}" if i + 1 < len(grid.sizes) else f"{cells} <= greatest({most}, _n)"
+        cases.append(f"WHEN {few} OR ({cells} <= _n AND _extent <= _n * {float(size)!r}D) THEN {i}")
     message = "'polygon ' || poly_id || ' is too large for the grid: coordinates of another kind?'"
-    return f"CASE {' '.join(cases)} WHEN bbox.xmin IS NULL OR bbox.ymin IS NULL THEN NULL ELSE raise_error({message}) END"
+    return f"CASE WHEN bbox.xmin IS NULL OR bbox.ymin IS NULL THEN NULL {' '.join(cases)} ELSE raise_error({message}) END"
 
 
-def polygon_cells(polygons: DataFrame, grid: Grid, keep: Sequence[str] = ()) -> DataFrame:
-    """Polygons listed under the cells they may contain points in, with the edges that matter there."""
-    sizes = ", ".join(f"{float(size)!r}D" for size in grid.sizes)
-    columns = ["poly_id", *keep, "bbox"]
+def _edge_rows(polygons: DataFrame, keep: Sequence[str]) -> DataFrame:
+    names = [f"`{name}`" for name in ("poly_id", *keep)]
+    if "rings" in polygons.columns:
+        return polygons.selectExpr(*names, f"inline({EDGES})")
+    return polygons.selectExpr(*names, "x1", "y1", "x2", "y2")
 
-    # Cell borders are widened a little so that rounding can only keep an edge, never lose one.
-    def low(c: str) -> str:
-        return f"({c} - 1e-9D) * _size"
 
-    def high(c: str) -> str:
-        return f"({c} + 1 + 1e-9D) * _size"
+def polygon_cells(polygons: DataFrame, grid: Grid, keep: Sequence[str] = ()) -> DataFrame:
+    """Polygons listed under the cells they may contain points in: the cell's edges, and is its lower left corner inside?
 
-    in_row = f"filter(_edges_in, e -> greatest(e.y1, e.y2) >= {low('_cy')} AND least(e.y1, e.y2) <= {high('_cy')})"
-    rightward = f"filter(_row, e -> greatest(e.x1, e.x2) >= {low('_cx')})"
-    crossed = f"exists(_right, e -> least(e.x1, e.x2) <= {high('_cx')})"
-    middle = _odd_crossings("_right", "((_cx + 0.5D) * _size)", "((_cy + 0.5D) * _size)")
+    Edges are dealt to cells row by row. All rows of cells of a polygon are put together by one shuffle; the window that
+    sums crossings runs over the cells of one row, of which there are no more than the grid allows.
+    """
+    sizes = ", ".join(f"{float(size)!r}D" for size in grid.sizes)
+    edges = _edge_rows(polygons, keep).where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL")
+    boxes = edges.groupBy("poly_id").agg(
+        *[F.first(name).alias(name) for name in keep],
+        F.expr("struct(min(least(x1, x2)) AS xmin, min(least(y1, y2)) AS ymin, max(greatest(x1, x2)) AS xmax, max(greatest(y1, y2)) AS ymax)").alias("bbox"),
+        F.count(F.lit(1)).alias("_n"), F.sum(F.expr("abs(x2 - x1) + abs(y2 - y1)")).alias("_extent"),
+    )
+    boxes = boxes.selectExpr("poly_id", *[f"`{name}`" for name in keep], "bbox", f"{_level(grid)} AS _level")
+    boxes = boxes.selectExpr("*", f"get(array({sizes}), _level) AS _size")
+    rows = (
+        edges.select("poly_id", "x1", "y1", "x2", "y2")
+        .join(boxes.select("poly_id", "bbox", "_size"), "poly_id")
+        .selectExpr("*", f"explode(sequence({_cell(f'(least(y1, y2) - {WIDENED}D * _size)', '_size')}, {_cell(f'(greatest(y1, y2) + {WIDENED}D * _size)', '_size')})) AS _cy")
+    )
+    # within a row of cells an edge has the columns between its crossings of the row's borders, or all if it is nearly level
+    low, high = (f"{end}(greatest(y1, y2), greatest(least(y1, y2), ((_cy + {side}) * _size)))" for end, side in (("least", "0"), ("least", "1")))
+    level = "abs(y2 - y1) < 1e-3D * _size"
+    ends = [f"IF({level}, {edge}, {_crossing('', 'y', at, 'x')})" for edge, at in (("x1", low), ("x2", high))]
+    slack = f"{WIDENED}D * (_size + abs(x2 - x1))"
+    columns = [_cell(f"({end}({ends[0]}, {ends[1]}) {sign} {slack})", "_size") for end, sign in (("least", "-"), ("greatest", "+"))]
+    listed = f"transform(sequence({columns[0]}, {columns[1]}), c -> struct(c AS _cx, struct(x1, y1, x2, y2) AS _edge, 0L AS _turns))"
+    turn = f"filter(array(struct({_column('')} AS _cx, {NO_EDGE} AS _edge, 1L AS _turns)), t -> {_spans('', 'y', '(_cy * _size)')})"
+    dealt = rows.selectExpr("poly_id", "_cy", f"inline(concat({listed}, {turn}))")
     (x0, x1), (y0, y1) = _cell_range("x", "_size"), _cell_range("y", "_size")
-    place = [*columns, "_level", "_size"]
-
-    def tested(rows: DataFrame) -> DataFrame:
-        """Cells with the edges right of their left border; those without any point inside are gone."""
-        found = rows.selectExpr(*place, "_cx", "_cy", f"{rightward} AS _right")
-        return found.selectExpr("*", f"{crossed} AS _crossed").where(f"_crossed OR {middle}")
-
-    cells = (
-        polygons.selectExpr(*columns, f"{EDGES} AS _edges_in", f"{_level(grid)} AS _level")
-        .selectExpr("*", f"get(array({sizes}), _level) AS _size")
-        .selectExpr("*", f"explode(sequence({y0}, {y1})) AS _cy")
-        .selectExpr(*place, "_cy", f"{in_row} AS _row")
-        .selectExpr("*", f"explode(sequence({x0}, {x1})) AS _cx")
+    empty = boxes.where("_size IS NOT NULL").selectExpr("poly_id", f"explode(sequence({y0}, {y1})) AS _cy", f"sequence({x0}, {x1}) AS _all").selectExpr(
+        "poly_id", "_cy", "explode(_all) AS _cx", f"{NO_EDGE} AS _edge", "0L AS _turns"
+    )
+    cells = dealt.union(empty).repartition("poly_id", "_cy").groupBy("poly_id", "_cy", "_cx").agg(
+        F.collect_list("_edge").alias("_edges"), F.sum("_turns").alias("_turns")
+    )
+    before = Window.partitionBy("poly_id", "_cy").orderBy("_cx").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_inside", F.coalesce(F.sum("_turns").over(before), F.lit(0)) % 2 == 1)
+    cells = cells.where("_inside OR size(_edges) > 0").drop("_turns")
+    return cells.join(boxes, "poly_id").selectExpr(
+        "poly_id", *[f"`{name}`" for name in keep], "bbox", "_level", "_size", "_cx", "_cy", "_inside", "_edges"
     )
-    cells = tested(cells)
-    ratios = f"array({', '.join(map(str, grid.ratios()))})"
-    parts = "explode(sequence(0, _parts - 1))"
-    for _ in grid.sizes[1:]:
-        # crowded cells are divided, others stay as they are: one row each
-        crowded = f"_crossed AND size(_right) > {grid.max_edges}"
-        cells = (
-            cells.selectExpr(*place, f"IF({crowded}, get({ratios}, _level), 1) AS _parts", "_cx", "_cy", "_right AS _edges_in")
-            .selectExpr("*", f"{parts} AS _dy")
-            .selectExpr(
-                *columns, "_parts", "IF(_parts > 1, _level - 1, _level) AS _level", "_size / _parts AS _size",
-                "_cx", "_cy * _parts + _dy AS _cy", "_edges_in",
-            )
-            .selectExpr(*place, "_parts", "_cx", "_cy", f"IF(_parts > 1, {in_row}, _edges_in) AS _row")
-            .selectExpr("*", f"{parts} AS _dx")
-            .selectExpr(*place, "_cx * _parts + _dx AS _cx", "_cy", "_row")
-        )
-        cells = tested(cells)
-    return cells.selectExpr(*columns, "_level", "_cx", "_cy", "IF(_crossed, _right, filter(_right, e -> false)) AS _edges")
 
 
 def point_in_polygon(
@@ -186,18 +231,18 @@ def point_in_polygon(
         for i, size in enumerate(grid.sizes)
     )
     probing = points.where(f"`{x}` IS NOT NULL AND `{y}` IS NOT NULL").selectExpr("*", f"inline(array({probes}))")
-    cells = polygon_cells(polygons, grid, keep)
-    qx, qy = f"p.`{x}`", f"p.`{y}`"
+    cells = polygon_cells(polygons, grid, keep).withColumnsRenamed({name: f"_c_{name}" for name in keep})
+    qx, qy = f"`{x}`", f"`{y}`"
     matches = f"""
-        p._level = c._level AND p._cx = c._cx AND p._cy = c._cy
-        AND {qx} > c.bbox.xmin AND {qx} < c.bbox.xmax AND {qy} > c.bbox.ymin AND {qy} < c.bbox.ymax
-        AND (size(c._edges) = 0
-             OR ({_odd_crossings("c._edges", qx, qy)} AND NOT {_on_edge("c._edges", qx, qy)}))"""
-    return (
+        p._level = c._level AND p._cx = c._cell_x AND p._cy = c._cell_y
+        AND p.{qx} > c.bbox.xmin AND p.{qx} < c.bbox.xmax AND p.{qy} > c.bbox.ymin AND p.{qy} < c.bbox.ymax"""
+    joined = (
         probing.alias("p")
-        .join(cells.alias("c"), F.expr(matches))
-        .selectExpr(*[f"p.`{name}`" for name in points.columns], "c.poly_id", *[f"c.`{name}`" for name in keep])
+        .join(cells.withColumnsRenamed({"_cx": "_cell_x", "_cy": "_cell_y", "poly_id": "_poly"}).alias("c"), F.expr(matches))
+        .drop("_cell_x", "_cell_y")
     )
+    tested = joined.where(f"size(_edges) = 0 OR (_inside <> {_odd_turns(qx, qy)} AND NOT {_on_edge('_edges', qx, qy)})")
+    return tested.selectExpr(*[f"`{name}`" for name in points.columns], "_poly AS poly_id", *[f"`_c_{name}` AS `{name}`" for name in keep])
 
 
 def assign_polygon(
@@ -249,7 +294,7 @@ def count_per_polygon(
     """Points per polygon, zero included."""
     hits = point_in_polygon(points.select(x, y), polygons, x, y, grid)
     counts = hits.groupBy("poly_id").agg(F.count(F.lit(1)).alias("n_sites"))
-    return polygons.select("poly_id").join(counts, "poly_id", "left").fillna(0, ["n_sites"])
+    return polygons.select("poly_id").distinct().join(counts, "poly_id", "left").fillna(0, ["n_sites"])
 
 
 def _nearest_bin(count: str, edges: str) -> Column:
@@ -300,7 +345,7 @@ def site_density_panel(
         .groupBy("target", "poly_id")
         .agg(F.count(F.lit(1)).alias("n_sites"))
     )
-    every = polygons.select("poly_id", F.explode(F.array(*map(F.lit, targets))).alias("target"))
+    every = polygons.select("poly_id").distinct().select("poly_id", F.explode(F.array(*map(F.lit, targets))).alias("target"))
     filled = every.join(counts, ["target", "poly_id"], "left").fillna(0, ["n_sites"])
     return log_bin(filled, bins)
 

@@ -25,7 +25,7 @@ def projected_sites(sites: DataFrame) -> DataFrame:
 def projected_polygons(vertices: DataFrame) -> DataFrame:
     """Polygons with their corners in metres, from corners in degrees."""
     moved = spatial.project_2163(vertices, "x", "y", "px", "py")
-    return spatial.polygons_from_vertices(moved, x="px", y="py")
+    return spatial.polygon_edges(moved, x="px", y="py")
 
 
 def density_panel(

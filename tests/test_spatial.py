@@ -161,21 +161,74 @@ def _outline(spark, rings):
     return spatial.polygons_from_vertices(spark.createDataFrame(rows, "poly_id int, ring int, k int, x double, y double"))
 
 
-def test_many_rings_and_long_coasts_are_linear(spark):
-    import math
-    import time
+def _coast(spark, corners):
+    """The corners of one jagged ring about the origin, as rows made by Spark."""
+    turn = f"(2 * pi() * id / {corners})"
+    reach = "(10D + 0.1D * (id % 2))"
+    return spark.range(0, corners, 1, 8).selectExpr(
+        "1 AS poly_id", "0 AS ring", "CAST(id AS INT) AS k", f"{reach} * cos{turn} AS x", f"{reach} * sin{turn} AS y"
+    )
+
+
+def test_stored_edges_follow_the_corners_of_a_long_coast(spark):
+    most = {}
+    for corners in (10_000, 40_000):
+        edges = spatial.polygon_edges(_coast(spark, corners))
+        assert edges.count() == corners
+        cells = spatial.polygon_cells(edges, spatial.DEGREES)
+        stored, most[corners], n = cells.selectExpr("sum(size(_edges))", "max(size(_edges))", "count(*)").first()
+        assert stored <= 2 * corners and n <= max(corners, spatial.DEGREES.max_cells)
+    assert most[40_000] < 40_000 / 10
+    probe = points(spark, (0, 0.1), (9.9, 0.1), (10.5, 0.1), (-9, 0.1), (-11, 0.1), (7, 7), (7.2, 7.2))
+    assert [name for name, _ in hits(probe, edges)] == ["P0", "P1", "P3", "P5"]
+
+
+def test_a_ring_is_spread_over_tasks_and_its_gaps_are_errors(spark):
+    with_settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in with_settings}
+    try:
+        for name, value in with_settings.items():
+            spark.conf.set(name, value)
+        edges = spatial.polygon_edges(_coast(spark, 100_000))
+        sizes = [r.n for r in edges.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == 100_000 and max(sizes) < 40_000
+    gap = _coast(spark, 10).where("k <> 4")
+    with pytest.raises(Exception, match="without gaps"):
+        spatial.polygon_edges(gap).collect()
+
+
+@pytest.mark.parametrize("grid", [spatial.Grid((0.5, 4.0)), spatial.Grid((1.0,), max_cells=4), spatial.Grid((0.25, 8.0), max_cells=4)])
+def test_corners_edges_and_points_on_the_lattice_of_cells(spark, grid):
+    rng = random.Random(3)
+    shapes = {}
+    for poly in range(30):
+        corners = [(rng.randint(-6, 6), rng.randint(-6, 6)) for _ in range(rng.randint(3, 9))]
+        shapes[poly] = [corners]
+    vertices = spark.createDataFrame([v for poly, rings in shapes.items() for v in ring(poly, rings[0])], VERTEX_SCHEMA)
+    probes = [(x / 2, y / 2) for x in range(-13, 14) for y in range(-13, 14)]
+
+    def on_edge(corners, x, y):
+        return any(
+            min(a[0], b[0]) <= x <= max(a[0], b[0]) and min(a[1], b[1]) <= y <= max(a[1], b[1])
+            and (b[0] - a[0]) * (y - a[1]) == (x - a[0]) * (b[1] - a[1])
+            for a, b in zip(corners, corners[1:] + corners[:1])
+        )
+
+    expected = sorted(
+        (f"P{i}", poly) for i, (x, y) in enumerate(probes) for poly, rings in shapes.items()
+        if crossing_parity(rings, x, y) and not on_edge(rings[0], x, y)
+    )
+    found = hits(points(spark, *probes), spatial.polygon_edges(vertices, ["ftype"]), grid=grid, keep=["ftype"])
+    assert found == expected and len(found) > 1000
+    assert hits(points(spark, *probes), spatial.polygons_from_vertices(vertices, ["ftype"]), grid=grid) == expected
+
 
+def test_many_rings(spark):
     islands = [(i, [(i % 200 * 0.05, i // 200 * 0.05 + y) for y in (0, 0.02)] + [(i % 200 * 0.05 + 0.02, i // 200 * 0.05)]) for i in range(20_000)]
-    start = time.time()
     assert _outline(spark, islands).selectExpr("size(rings) AS n").first().n == 20_000
-    coast = [(0, [(10 * math.cos(a) * (1 + 0.01 * (i % 2)), 10 * math.sin(a) * (1 + 0.01 * (i % 2))) for i in range(100_000) for a in [2 * math.pi * i / 100_000]])]
-    polygon = _outline(spark, coast)
-    points = spark.createDataFrame([(k, x, 0.1) for k, x in enumerate([0.0, 9.9, 10.5, -9.0, -11.0])], "wqx_id int, lon double, lat double")
-    hits = spatial.point_in_polygon(points, polygon).select("wqx_id").collect()
-    assert sorted(row.wqx_id for row in hits) == [0, 1, 3]
-    crowded = spatial.polygon_cells(polygon, spatial.DEGREES).selectExpr("max(size(_edges)) AS n").first().n
-    assert crowded < 20_000
-    assert time.time() - start < 120
 
 
 def test_metres_on_a_grid_of_degrees_are_an_error(spark):
