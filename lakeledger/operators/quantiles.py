@@ -1,9 +1,9 @@
 """Exact quantiles per group that never gather a group in one place.
 
-Values are first counted: (group, value, n), with map-side combining. An approximate sketch of each group's distinct
-values then cuts the group into about a thousand slices of similar size; exact weights of the slices tell which of
-them hold the wanted ranks, and only those slices are sorted. A group with a third of all rows is thus spread over
-the cluster, and the sketch only decides where to cut: the result is exact wherever the cuts fall.
+Values are first counted: (group, value, n), with map-side combining. Values are then binned by a fixed rule that follows
+their order, and one aggregate weighs the bins of all groups: a few thousand bins an octave, so a bin holds a small share of
+a group's values whatever the group holds. Only values of bins that hold a wanted rank go on and are sorted. The bins decide
+where to look, never what the answer is.
 """
 
 from __future__ import annotations
@@ -13,10 +13,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import sorted_position
-
-CUTS = 1023
-SKETCH_ACCURACY = 4 * (CUTS + 1)
+#: Bins for each doubling of a value.
+BINS = 4096
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -46,42 +44,34 @@ def _ranks(prob: float) -> tuple[str, str, str]:
     return place, f"floor({place})", f"ceil({place})"
 
 
-def _slices(v: DataFrame) -> DataFrame:
-    """Each group cut into slices of consecutive values: exact weight, least and greatest value."""
-    # One text literal: a thousand separate literals would be walked by every rule of the optimizer.
-    grid = ",".join(repr((i + 1) / (CUTS + 1)) for i in range(CUTS))
-    cuts = F.expr(f"percentile_approx(_v, cast(split('{grid}', ',') as array<double>), {SKETCH_ACCURACY})")
-    groups = v.groupBy("_g").agg(cuts.alias("_cuts"), F.sum("_n").alias("_total"))
-    return (
-        v.join(groups, "_g")
-        .selectExpr("_g", "_total", "_v", "_n", f"{sorted_position('_cuts', '_v', CUTS)} AS _slice")
-        .groupBy("_g", "_total", "_slice")
-        .agg(F.sum("_n").alias("_weight"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
-    )
+def _bin() -> str:
+    """The number of a value's bin: it never falls as the value grows. Zero is a bin of its own, infinities have the last ones."""
 
+    def of(size: str) -> str:
+        return f"CAST(floor(greatest(-1100D, least(1100D, log2({size}))) * {BINS}) AS BIGINT) + {1200 * BINS}"
 
-def _candidates(v: DataFrame, probs: Iterable[float]) -> DataFrame:
-    """The values of the slices that hold a wanted rank, with the weight before their slice.
+    return f"CASE WHEN _v > 0 THEN {of('_v')} WHEN _v < 0 THEN - ({of('- _v')}) ELSE 0L END"
 
-    Values are taken by the slice's bounds, so only facts about the data pass from one step to the next.
-    """
+
+def _candidates(v: DataFrame, probs: Iterable[float]) -> DataFrame:
+    """The values of the bins that hold a wanted rank, with the weight before their bin."""
     ranks = ", ".join(rank for p in probs for rank in _ranks(p)[1:])
-    # At most CUTS + 1 slices per group, so this window is small whatever the group holds.
-    upto = "sum(_weight) OVER (PARTITION BY _g ORDER BY _slice ROWS UNBOUNDED PRECEDING)"
+    binned = v.selectExpr("*", f"{_bin()} AS _bin")
+    # the window runs over the bins of a group: tens of thousands at most in ordinary data
     wanted = (
-        _slices(v)
-        .selectExpr("_g", "_total", "_from", "_to", "_weight", f"{upto} - _weight AS _before")
+        binned.groupBy("_g", "_bin")
+        .agg(F.sum("_n").alias("_weight"))
+        .selectExpr(
+            "_g", "_bin", "_weight", "sum(_weight) OVER (PARTITION BY _g) AS _total",
+            "sum(_weight) OVER (PARTITION BY _g ORDER BY _bin ROWS UNBOUNDED PRECEDING) - _weight AS _before",
+        )
         .selectExpr(
-            "_g", "_total", "_from", "_to", "_before",
+            "_g", "_bin", "_total", "_before",
             f"filter(array_distinct(array({ranks})), r -> r >= _before AND r < _before + _weight) AS _ranks",
         )
         .where("size(_ranks) > 0")
     )
-    return (
-        v.alias("v")
-        .join(wanted.alias("w"), F.expr("v._g = w._g AND v._v BETWEEN w._from AND w._to"))
-        .selectExpr("v._g", "_v", "_n", "_total", "_from", "_before", "_ranks")
-    )
+    return binned.join(wanted, ["_g", "_bin"])
 
 
 def exact_quantiles(counts: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
@@ -94,7 +84,7 @@ def exact_quantiles(counts: DataFrame, keys: Sequence[str], value: str, probs: M
     # A struct is equal to itself when its fields are null, so null keys group and join like any other.
     group = ", ".join(f"`{name}`" for name in keys)
     v = counts.selectExpr(f"struct({group}) AS _g", f"CAST(`{value}` AS DOUBLE) AS _v", "n AS _n")
-    upto = "_before + sum(_n) OVER (PARTITION BY _g, _from ORDER BY _v ROWS UNBOUNDED PRECEDING)"
+    upto = "_before + sum(_n) OVER (PARTITION BY _g, _bin ORDER BY _v ROWS UNBOUNDED PRECEDING)"
 
     def value_at(rank: str) -> str:
         return f"max(IF({rank} >= _upto - _n AND {rank} < _upto, _v, NULL))"
@@ -106,6 +96,7 @@ def exact_quantiles(counts: DataFrame, keys: Sequence[str], value: str, probs: M
     ]
     picked = (
         _candidates(v, probs.values())
+        .repartition("_g")  # serves the window and the aggregate
         .selectExpr("_g", "_v", "_n", "_total", "_ranks", f"{upto} AS _upto")
         .where("exists(_ranks, r -> r >= _upto - _n AND r < _upto)")
         .groupBy("_g", "_total")

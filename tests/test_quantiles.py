@@ -44,14 +44,32 @@ def test_matches_numpy_on_many_distinct_values_and_heavy_ties(spark):
         assert np.allclose(found[group], expected, rtol=1e-12, atol=0)
 
 
-def test_exact_wherever_the_cuts_fall(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "CUTS", 3)
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 1)
+@pytest.mark.parametrize("bins", [1, 3, 4096])
+def test_exact_wherever_the_bins_begin(spark, monkeypatch, bins):
+    monkeypatch.setattr(quantiles, "BINS", bins)
     rng = random.Random(7)
     data = [("a", rng.random()) for _ in range(2000)]
     assert np.allclose(run(spark, data)["a"], np.quantile([v for _, v in data], [0.25, 0.5, 0.75]), rtol=1e-12)
 
 
+def test_bins_follow_the_order_of_values(spark):
+    rng = random.Random(3)
+    values = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, math.inf, -math.inf, 1.0, math.nextafter(1.0, 2), math.nextafter(1.0, 0)]
+    values += [rng.choice([-1, 1]) * 2.0**k for k in range(-1074, 1024, 7)] + [rng.gauss(0, 10) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "_v double").selectExpr("_v", f"{quantiles._bin()} AS b")
+    bins = [r.b for r in sorted(df.collect(), key=lambda r: r._v)]
+    assert bins == sorted(bins) and len(set(bins)) > 1500
+    spread = {"lo": 0.0, "med": 0.5, "hi": 1.0}
+    assert run(spark, [("a", v) for v in (-math.inf, -3.0, -2.0, 0.0, math.inf)], spread) == {"a": (-math.inf, -2.0, math.inf)}
+
+
+def test_few_exchanges(spark):
+    counts = quantiles.value_counts(spark.range(1000).selectExpr("id % 3 AS g", "CAST(id AS DOUBLE) AS v"), ["g"], "v")
+    plan = quantiles.exact_quantiles(counts, ["g"], "v", QUARTERS)._jdf.queryExecution().executedPlan().toString()
+    shuffles = {line.split("plan_id=")[1] for line in plan.splitlines() if "Exchange hashpartitioning" in line}
+    assert len(shuffles) <= 5 and "percentile" not in plan
+
+
 def test_agrees_with_percentile_and_ignores_partitioning(spark):
     df = spark.range(30000).select(
         (F.col("id") % 7).cast("string").alias("g"), (F.hash("id") % 9973).cast("double").alias("v")

@@ -97,13 +97,13 @@ def test_quantiles_of_a_hot_group(spark, hot):
     assert all(found[g] == pytest.approx(expected[g], rel=1e-12) for g in found)
 
 
-def test_only_one_slice_of_a_hot_group_is_sorted(spark):
+def test_only_one_bin_of_a_hot_group_is_sorted(spark):
     df = spark.range(0, 200_000, 1, 8).select(
         F.struct(F.lit("a").alias("g")).alias("_g"), F.col("id").cast("double").alias("_v"), F.lit(1).cast("long").alias("_n")
     )
     sorted_rows = quantiles._candidates(df, [0.5]).count()
-    # A slice is a thousandth of the values, give or take the error of the sketch; the median may touch two.
-    assert 1 <= sorted_rows < 200_000 / quantiles.CUTS * 4
+    # A bin is a four-thousandth of an octave, which has half of these values; the median may touch two.
+    assert 1 <= sorted_rows < 200_000 / quantiles.BINS * 4
 
 
 def test_points_piled_up_in_one_cell(spark):
