@@ -362,6 +362,14 @@ ORACLE: dict[str, str] = {
     "paged_rows": f"select r.*, page_start, page_end from fx_results r join {_PAGES} on Date between page_start and page_end",
     "paged_rows_half_open": f"""select r.*, page_start, page_end from fx_results r join {_PAGES}
         on Date >= page_start and (Date < page_end or (Date = page_end and page_end = period_end))""",
+    "paged_rows_hourly": """select event_id, minute, value, s as page_start, s + interval 1 hour as page_end
+        from (select event_id, date_trunc('minute', ts) as minute, value from events) join
+         (select unnest(range(min(ts)::date::timestamp, max(ts)::date::timestamp + interval 1 day, interval 1 hour)) as s from events)
+        on minute between s and s + interval 1 hour""",
+    "csv_rejects": """select case s_suppkey % 10 when 3 then concat('n', s_suppkey, ',', s_name, ',', s_nationkey)
+         when 5 then concat(s_suppkey, ',', s_name) when 7 then concat('"', s_suppkey, ',', s_name, ',', s_nationkey)
+         else concat(s_suppkey, ',', s_name, ',', s_nationkey) end as line,
+        case s_suppkey % 10 when 3 then 'value' when 5 then 'fields' when 7 then 'quote' end as reason from supplier""",
     "normalize_results": f"select {RESULT_FIELDS} from fx_results",
     "retrieve_secchi": f"""select r.{RESULT_FIELDS.replace("units, ", "").replace(", ", ", r.")},
         replace(r.units, ' ', '') as units, r.value * u.factor as secchi

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import lookups
 from ..operators import inventory, paging, quality, seasonal, selection, spatial, summaries
@@ -108,6 +109,13 @@ def paged_rows_half_open(star: Star) -> DataFrame:
     return paging.read_paged(star.results(), *star.period(), bounds="half_open")
 
 
+@query
+def paged_rows_hourly(star: Star) -> DataFrame:
+    events = star.table("events").select("event_id", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute"), "value")
+    lo, hi = events.agg(F.min(F.to_date("minute")).cast("string"), F.date_add(F.max(F.to_date("minute")), 1).cast("string")).first()
+    return paging.read_paged(events, lo, hi, "1 hour", date="minute")
+
+
 @query
 def normalize_results(star: Star) -> DataFrame:
     return selection.normalize_results(star.raw_results(), star.sites())
@@ -174,6 +182,24 @@ def csv_roundtrip(star: Star) -> DataFrame:
     return tables.read_csv(star.spark, path)
 
 
+#: Lines of a supplier table of which some are malformed: in a number, in length, in a quote.
+SUPPLIER_LINE = """CASE s_suppkey % 10
+    WHEN 3 THEN concat_ws(',', concat('n', s_suppkey), s_name, s_nationkey)
+    WHEN 5 THEN concat_ws(',', s_suppkey, s_name)
+    WHEN 7 THEN concat_ws(',', concat('"', s_suppkey), s_name, s_nationkey)
+    ELSE concat_ws(',', s_suppkey, s_name, s_nationkey) END"""
+
+
+@query
+def csv_rejects(star: Star) -> DataFrame:
+    path = tables.scratch_path(star.spark, "supplier-csv")
+    star.table("supplier").selectExpr(f"{SUPPLIER_LINE} AS line").write.text(path)
+    schema = T.StructType().add("s_suppkey", "long").add("s_name", "string").add("s_nationkey", "long")
+    good, rejects = tables.read_csv_checked(star.spark, path, schema, header=False)
+    fitting = good.select(F.concat_ws(",", *schema.names).alias("line"), F.lit(None).cast("string").alias("reason"))
+    return fitting.unionByName(rejects.select("line", "reason"))
+
+
 @query
 def parquet_roundtrip(star: Star) -> DataFrame:
     path = tables.scratch_path(star.spark, "counts-parquet")

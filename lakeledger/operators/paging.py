@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import sorted_position
+
 
 def page_starts(lo: Column, hi: Column, stride: str, keep_empty: bool = False) -> Column:
     """First day of each page: ``lo`` stepped by ``stride`` (as in ``'5 years'``) up to ``hi``.
@@ -36,18 +40,8 @@ def page_windows(
     )
 
 
-def _calendar(spark, lo: str, hi: str, stride: str, bounds: str, keep_empty: bool) -> DataFrame:
-    """(day, page_start, page_end) for every day of the period; a shared boundary day is listed for both pages."""
-    period = spark.sql("SELECT CAST(:lo AS DATE) AS lo, CAST(:hi AS DATE) AS hi", args={"lo": lo, "hi": hi})
-    pages = page_windows(period, stride, keep_empty=keep_empty)
-    # the period's last day belongs to the page that runs up to it, not to an empty one that starts on it
-    shared = (F.col("_day") < F.col("end")) | ((F.col("end") == F.col("hi")) & (F.col("start") < F.col("hi")))
-    if bounds == "closed":
-        shared = F.lit(True)
-    days = F.explode(F.sequence("start", "end"))
-    return pages.select(days.alias("_day"), "start", "end", "hi").where(shared).select(
-        "_day", F.col("start").alias("page_start"), F.col("end").alias("page_end")
-    )
+#: Strides of these units cut a day into pages.
+_SHORT = re.compile(r"hour|minute|second", re.IGNORECASE)
 
 
 def read_paged(
@@ -61,21 +55,47 @@ def read_paged(
 ) -> DataFrame:
     """Rows of the period with the page they are read on.
 
-    ``closed`` pages share their boundary day, whose rows appear on both; ``half_open`` pages partition the period.
-    The range condition becomes an equality with a calendar that has a row per day, so its size is set by the period
-    alone and it can always be broadcast; the period itself reaches the scan as a plain filter. A timestamp counts by
-    its day, so the last day is whole.
+    ``closed`` pages share their boundaries, whose rows appear on both; ``half_open`` pages partition the period, whose end
+    belongs to the last page. A timestamp counts by its day, so the last day is whole; where the stride is shorter than a
+    day, or ``lo`` or ``hi`` has a time, it counts by itself.
+
+    The starts of pages are one constant array, in which each row looks up its page by a binary search: nothing is joined,
+    and neither a long period nor a short stride unfolds. The period reaches the scan as a plain filter.
     """
     if bounds not in ("closed", "half_open"):
         raise ValueError(f"bounds must be 'closed' or 'half_open', not {bounds!r}")
-    calendar = _calendar(results.sparkSession, lo, hi, stride, bounds, keep_empty)
-    first, last = F.lit(lo).cast("date"), F.lit(hi).cast("date")
-    if isinstance(results.schema[date].dataType, T.DateType):
+    kind = results.schema[date].dataType
+    by_day = isinstance(kind, T.DateType) or not (_SHORT.search(stride) or ":" in lo + hi)
+    if isinstance(kind, T.DateType) and _SHORT.search(stride):
+        raise ValueError(f"a date has no pages of {stride!r}")
+    unit = "date" if by_day else kind.simpleString()
+    first, last = (F.lit(end).cast(unit) for end in (lo, hi))
+    if isinstance(kind, T.DateType) or not by_day:
         inside = F.col(date).between(first, last)
     else:
         inside = (F.col(date) >= first) & (F.col(date) < F.date_add(last, 1))
-    return (
+    starts = page_starts(first, last, stride, keep_empty)
+    pages = results.sparkSession.range(1).select(F.size(starts)).first()[0]
+    # the last page that has a length: the period's end belongs to it
+    longest = pages - 1 if pages and not keep_empty else F.size(F.filter(starts, lambda start: start < last)) - 1
+    place = (
         results.where(inside)
-        .join(F.broadcast(calendar), F.col(date).cast("date") == F.col("_day"))
-        .select(*results.columns, "page_start", "page_end")
+        .withColumns({"_starts": starts, "_at": F.col(date).cast(unit)})
+        .withColumn("_below", F.expr(sorted_position("_starts", "_at", max(pages, 1))))
     )
+    on_start = F.coalesce(F.get("_starts", "_below") == F.col("_at"), F.lit(False))
+    place = place.withColumn("_page", F.col("_below") - F.when(on_start, 0).otherwise(1))
+
+    def page(number: Column) -> Column:
+        end = F.coalesce(F.get("_starts", number + 1), last)
+        return F.struct(F.get("_starts", number).alias("page_start"), end.alias("page_end"))
+
+    if bounds == "closed":
+        both = on_start & (F.col("_page") > 0)
+        found = F.when(both, F.array(page(F.col("_page") - 1), page(F.col("_page")))).otherwise(F.array(page(F.col("_page"))))
+        placed = place.where("_page >= 0").select(*results.columns, F.inline(found))
+    else:
+        own = F.when(F.col("_at") == last, longest).otherwise(F.col("_page"))
+        placed = place.withColumn("_page", own).where("_page >= 0").select(*results.columns, page(F.col("_page")).alias("_p"))
+        placed = placed.select(*results.columns, "_p.page_start", "_p.page_end")
+    return placed

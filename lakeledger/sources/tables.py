@@ -17,6 +17,37 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = COUNT_SCHEMA
     return spark.read.csv(path, schema=schema, header=True, nullValue="NA")
 
 
+def read_csv_checked(
+    spark: SparkSession, path: str, schema: T.StructType = COUNT_SCHEMA, *, header: bool = True, max_rejects: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of a CSV table that fit its schema, and the lines that do not: (file, line, reason).
+
+    reason: ``quote`` for a line whose quotes do not pair, ``fields`` for one with too few or too many fields, ``value`` for one
+    with a field that is not of its column's type. A field that is missing by rule (``NA``) is no fault. Every line but
+    empty ones and, with ``header``, those that are the names of the schema, is in one of the two. More than ``max_rejects`` of them are an error.
+    """
+    names = [field.name for field in schema.fields]
+    raw = "_rejected_line"
+    while raw in names:
+        raw = "_" + raw
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line")).where("trim(line) <> ''")
+    if header:
+        lines = lines.where(F.replace("line", F.lit('"'), F.lit("")) != ",".join(names))
+    # each line is parsed whole, whatever columns are asked for later: a reader would test only those
+    declared = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in [*schema.fields, T.StructField(raw, T.StringType())])
+    parsed = lines.withColumn("row", F.from_csv("line", declared, {"nullValue": "NA", "columnNameOfCorruptRecord": raw}))
+    rejected = F.col("row").isNull() | F.col(f"row.{raw}").isNotNull()
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    fields = F.size(F.split(F.regexp_replace("line", '"[^"]*"', ""), ","))
+    reason = F.when(quotes % 2 == 1, "quote").when(fields != len(names), "fields").otherwise("value")
+    rejects = parsed.where(rejected).select("file", "line", reason.alias("reason"))
+    if max_rejects is not None:
+        found = rejects.limit(max_rejects + 1).count()
+        if found > max_rejects:
+            raise ValueError(f"more than {max_rejects} lines of {path} do not fit the schema")
+    return parsed.where(~rejected).select(*[F.col(f"row.`{name}`") for name in names]), rejects
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """CSV with a header line and ``NA`` for nulls; a field is quoted only where it holds a separator.
 
@@ -67,6 +98,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder all executors share: ``spark.checkpoint.dir``, else the warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh path below the folder all executors share: ``spark.checkpoint.dir``, else the warehouse.
+
+    A cluster that names neither has no such folder, as the warehouse is then on the driver's machine: an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+        if shared.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir: name a folder that driver and executors share")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -38,8 +38,10 @@ def test_filters_and_columns_reach_the_scan(stored):
     assert "characteristicName,Phosphorus" in text
 
 
-def test_paging_is_a_hash_join(stored):
-    assert "BroadcastHashJoin" in plan(paging.read_paged(stored, "1996-01-01", "1998-01-01", "1 year"))
+def test_paging_joins_nothing_and_does_not_unfold_the_period(stored):
+    for bounds in ("closed", "half_open"):
+        text = plan(paging.read_paged(stored, "1996-01-01", "1998-01-01", "1 year", bounds))
+        assert "Join" not in text and "Exchange" not in text
 
 
 def test_cleaning_reads_only_what_it_needs(stored):

@@ -142,6 +142,49 @@ def test_day_strides(spark):
     assert found == {"2000-01-01": 365, "2000-12-31": 365, "2001-12-31": 2}
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_hour_strides(spark, kind):
+    df = spark.range(0, 96).selectExpr(f"cast(timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id as int) * 30) as {kind}) as ts")
+
+    def read(bounds, **options):
+        found = paging.read_paged(df, "2024-01-01", "2024-01-02 12:00:00", "6 hours", bounds, date="ts", **options)
+        return [(str(r.ts), str(r.page_start), str(r.page_end)) for r in found.orderBy("ts", "page_start").collect()]
+
+    half_open = read("half_open")
+    assert len(half_open) == 73 and len({x[1] for x in half_open}) == 6
+    assert half_open[-1] == ("2024-01-02 12:00:00", "2024-01-02 06:00:00", "2024-01-02 12:00:00")
+    assert half_open[12] == ("2024-01-01 06:00:00", "2024-01-01 06:00:00", "2024-01-01 12:00:00")
+    closed = read("closed")
+    assert len(closed) == 73 + 5  # the five inner boundaries are read twice
+    assert ("2024-01-01 06:00:00", "2024-01-01 00:00:00", "2024-01-01 06:00:00") in closed
+    assert len(read("closed", keep_empty=True)) == 73 + 6
+    with pytest.raises(ValueError, match="no pages"):
+        paging.read_paged(spark.range(1).selectExpr("date'2024-01-01' AS Date"), "2024-01-01", "2024-01-02", "6 hours")
+
+
+def test_short_strides_of_a_long_period(spark):
+    df = spark.createDataFrame([(dt.datetime(1999, 12, 31, 23, 59, 59),), (dt.datetime(1950, 1, 1),), (dt.datetime(1949, 1, 1),)], "ts timestamp_ntz")
+    found = paging.read_paged(df, "1950-01-01", "2050-01-01", "1 hour", date="ts").collect()
+    assert sorted(str(r.page_start) for r in found) == ["1950-01-01 00:00:00", "1999-12-31 23:00:00"]
+
+
+def test_lines_that_do_not_fit_are_kept_apart(spark, rows, tmp_path):
+    from lakeledger.sources import tables
+
+    path = tmp_path / "counts.csv"
+    good = ["1,Lake,2.5", "2,NA,NA", '3,"Lake, Reservoir",1.0']
+    bad = [("x4,Lake,2.5", "value"), ("5,Lake", "fields"), ('"6,Lake,1.0', "quote"), ("7,Lake,1.0,more", "fields"), ("8,Lake,many", "value")]
+    path.write_text("\n".join(["id,kind,value", good[0], *[line for line, _ in bad], *good[1:]]) + "\n")
+    schema = spark.createDataFrame([], "id int, kind string, value double").schema
+    read, rejects = tables.read_csv_checked(spark, str(path), schema)
+    assert rows(read) == [(1, "Lake", 2.5), (2, None, None), (3, "Lake, Reservoir", 1.0)]
+    assert rows(read, "id") == [(1,), (2,), (3,)] and read.count() == 3
+    assert rows(rejects) == sorted(("counts.csv", line, reason) for line, reason in bad)
+    with pytest.raises(ValueError, match="more than 4"):
+        tables.read_csv_checked(spark, str(path), schema, max_rejects=4)
+    assert tables.read_csv_checked(spark, str(path), schema, max_rejects=5)[0].count() == 3
+
+
 def test_site_locations(spark, rows):
     df = spark.createDataFrame([("A", 1.0, 2.0), ("A", 3.0, None), ("B", None, 1.0)], "wqx_id string, dec_lat_va double, dec_lon_va double")
     assert rows(selection.site_locations(df)) == [("A", 2.0, 2.0)]
