@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import sorted_position
 from .components import connected_components
 from .support import cut, grouped, quoted, shuffle_partitions, text_or_empty, tidied, unused, without
 
@@ -25,10 +26,10 @@ BAND = 4
 SHORT = 16
 #: Fingerprints of a band that are compared in one cell, and with as many of another cell.
 CELL = 1024
-#: Walks that advance together; fewer are followed one by one.
-TOGETHER = 40
-#: Bytes of text walked over at a time.
-GROUP = 16_000_000
+#: Characters of each text over which walks advance before the table of moves is made anew, and the table's entries at most.
+BLOCK, MOVES = 512, 1 << 21
+#: Bytes of text walked over at a time, and bytes of text in a part of documents that follow each other.
+GROUP, PART = 8_000_000, 128 << 20
 
 
 class _Steps:
@@ -48,13 +49,18 @@ class _Steps:
         self.digit = (mixed[1] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         low = mixed[2] & (~mixed[2] + np.uint64(1))
         self.level = np.bitwise_count(low - np.uint64(1)).astype(np.int64)  # trailing zeros: half of the steps a level
-        self.level_list = self.level.tolist()
-        self.moves = list(zip(self.factor.tolist(), self.offset.tolist(), self.digit.tolist()))
+        self._of_level: dict[int, np.ndarray] = {}
+
+    def of_level(self, level: int) -> np.ndarray:
+        """The steps known so far of at least ``level``."""
+        if level not in self._of_level:
+            self._of_level[level] = np.flatnonzero(self.level >= level)
+        return self._of_level[level]
 
     def sampled(self, level: int, among: int) -> np.ndarray:
         """The first steps of at least ``level``, enough for 2 * ``among`` digits."""
         self.extend((among + 64) << level + 1)
-        return np.flatnonzero(self.level >= level)
+        return self.of_level(level)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,67 +86,90 @@ def fingerprints(texts: list[str]) -> list[str]:
     so few edits leave most steps equal. Every text is walked to its end; steps are sampled, the same ones for all.
     """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    order = np.argsort(-lengths, kind="stable")
-    joined = "".join(texts)
-    # a walk that has ended stands behind its text: one more point for the last one
-    points = np.frombuffer((joined + "\0").encode("utf-32-le", "surrogatepass"), "<u4")
-    starts = (np.cumsum(lengths) - lengths)[order]
-    levels = np.array([sample_level(n) for n in lengths[order].tolist()], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    starts = np.cumsum(lengths) - lengths
+    arrivals = _arrivals(points, starts, lengths)
+    found = []
+    for k, (start, n) in enumerate(zip(starts.tolist(), lengths.tolist())):
+        level = sample_level(n)
+        own = arrivals[start + k : start + k + n + 1]
+        steps = STEPS.of_level(level)
+        steps = steps[: np.searchsorted(steps, own[-1])]
+        here = points[start : start + n][np.searchsorted(own, steps.astype(own.dtype), side="right") - 1]
+        digits = (here * STEPS.digit[steps] + STEPS.offset[steps]) >> np.uint32(28)
+        found.append(f"{level:02x}{_HEX[digits].tobytes().decode()}")
+    return found
+
+
+def _arrivals(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each text the steps at which its walk arrives at its characters and, one more, at its end."""
     longest = int(lengths.max(initial=0))
-    STEPS.extend(4 * longest + 64)
-    active = np.flatnonzero(lengths[order] > 0)
-    at = starts[active].copy()
-    stop = starts[active] + lengths[order][active]
-    shown: list[tuple[np.ndarray, np.ndarray]] = []  # (indices of texts, digits) of sampled steps, in order
-    step = 0
-    # texts in descending length: those that sample a step are the last ones
-    bounds = np.searchsorted(-levels[active], -np.arange(64), side="left").tolist()
-    while len(active) >= TOGETHER:
-        for _ in range(64):
-            here = points[at]
-            level = min(STEPS.level_list[step], 63)
-            first = bounds[level]
-            if first < len(active):
-                inside = at[first:] < stop[first:]
-                digits = (here[first:] * STEPS.digit[step] + STEPS.offset[step]) >> np.uint32(28)
-                shown.append((active[first:][inside], digits[inside].astype(np.uint8)))
-            at += (here * STEPS.factor[step] + STEPS.offset[step]) >> np.uint32(31)
-            np.minimum(at, stop, out=at)
-            step += 1
-        STEPS.extend(step + 128)
-        walking = at < stop
-        if not walking.all():
-            active, at, stop = active[walking], at[walking], stop[walking]
-            bounds = np.searchsorted(-levels[active], -np.arange(64), side="left").tolist()
-    heads = np.concatenate([x for x, _ in shown]) if shown else np.empty(0, np.int64)
-    tails = np.concatenate([x for _, x in shown]) if shown else np.empty(0, np.uint8)
-    grouping = np.argsort(heads, kind="stable")
-    digits = _HEX[tails[grouping]].tobytes()
-    ends = np.searchsorted(heads[grouping], np.arange(len(texts) + 1))
-    found = [digits[ends[k] : ends[k + 1]].decode() for k in range(len(texts))]
-    for k, place, end in zip(active.tolist(), at.tolist(), stop.tolist()):
-        found[k] += _walk(points[place:end].tolist(), int(levels[k]), step)
-    result = [""] * len(texts)
-    for k, text in enumerate(order.tolist()):
-        result[text] = f"{levels[k]:02x}{found[k]}"
-    return result
-
-
-def _walk(points: list[int], level: int, step: int) -> str:
-    at, n, shown = 0, len(points), []
-    while at < n:
-        STEPS.extend(step + 4096)
-        moves, levels = STEPS.moves, STEPS.level_list
-        for step in range(step, min(step + 4096, STEPS.size)):
-            point = points[at]
-            factor, offset, digit = moves[step]
-            if levels[step] >= level:
-                shown.append("0123456789abcdef"[(point * digit + offset & 0xFFFFFFFF) >> 28])
-            at += (point * factor + offset & 0xFFFFFFFF) >> 31
-            if at == n:
+    STEPS.extend(4 * longest + 4096)
+    order = np.argsort(-lengths, kind="stable")
+    out = np.zeros(len(points) + len(lengths), np.int32 if longest < 1 << 28 else np.int64)
+    places = starts + np.arange(len(starts))
+    tasks = [(order[: np.count_nonzero(lengths)], 0)]
+    while tasks:
+        chosen, begin = tasks.pop()
+        while len(chosen):
+            width = BLOCK
+            while not _advance(points, starts[chosen], lengths[chosen], places[chosen], begin, width, out):
+                if width > 32:
+                    width //= 2
+                else:  # too many characters, or walks too far apart, for one table
+                    half = len(chosen) // 2
+                    tasks.append((chosen[half:], begin))
+                    chosen = chosen[:half]
+            begin += width
+            chosen = chosen[: np.searchsorted(-lengths[chosen], -begin, side="left")]
+    return out
+
+
+def _advance(
+    points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, places: np.ndarray, begin: int, width: int, out: np.ndarray
+) -> bool:
+    """Walks over ``width`` characters of all texts (longest first, longer than ``begin``); False if the table would be too large.
+
+    The table says, for a character and the step at which a walk arrives there, at which step the walk moves on.
+    """
+    m = len(starts)
+    at = begin + np.arange(width)
+    inside = at < lengths[:, None]
+    block = points[np.where(inside, starts[:, None] + at, starts[:, None] + begin)]
+    seen = np.zeros(int(block.max()) + 1, bool)
+    seen[block] = True
+    alphabet = np.flatnonzero(seen)
+    arrived = out[places + begin].astype(np.int64)
+    low, high = int(arrived.min()), int(arrived.max())
+    steps = high - low + 2 * width + 8 * math.isqrt(width) + 64
+    number = np.zeros(len(seen), np.int64)
+    # walks that are still on their way: those of texts that hold so many characters
+    walking = inside.sum(axis=0).tolist()
+    while True:
+        if m > 1 and len(alphabet) * (steps + 1) > MOVES:
+            return False
+        STEPS.extend(low + steps + 1)
+        span = slice(low, low + steps)
+        moves = (alphabet.astype(np.uint32)[:, None] * STEPS.factor[span] + STEPS.offset[span]) >> np.uint32(31)
+        table = np.full((len(alphabet), steps + 1), steps, np.int64)
+        np.copyto(table[:, :-1], np.arange(1, steps + 1), where=moves.astype(bool))
+        table = np.ascontiguousarray(np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1]).reshape(-1)
+        number[alphabet] = np.arange(len(alphabet)) * (steps + 1)
+        base = np.ascontiguousarray(number[block].T)
+        walk = np.empty((width + 1, m), np.int64)
+        walk[0] = arrived - low
+        index = np.empty(m, np.int64)
+        for p, n in enumerate(walking):
+            if not n:
                 break
-        step += 1
-    return "".join(shown)
+            np.add(base[p, :n], walk[p, :n], out=index[:n])
+            table.take(index[:n], out=walk[p + 1, :n], mode="clip")
+        moved = walk[1:].T[inside]
+        if int(moved.max()) < steps:
+            break
+        steps *= 2  # a walk stayed longer than the table goes
+    out[(places[:, None] + at + 1)[inside]] = moved + low
+    return True
 
 
 def _at_level(fingerprint: str, level: int) -> np.ndarray:
@@ -306,36 +335,38 @@ def fingerprint_groups(fingerprinted: DataFrame, min_likeness: float = 0.8, fing
     return known.join(roots, "f", "left").select(F.col("f").alias("fingerprint"), F.coalesce("root", "f").alias("group"))
 
 
-def with_successors(docs: DataFrame, id: str = "doc_id", text: str = "text", most_parts: int = 4096) -> DataFrame:
+def with_successors(docs: DataFrame, id: str = "doc_id", text: str = "text", part_bytes: int = PART) -> DataFrame:
     """(part, extra, id, text): partitions in which each row is followed by its successor in descending id.
 
-    Rows are dealt out by ranges of ids into parts; the first row of each part comes again, marked ``extra``, at the end
-    of the part before (of the last part before the first, so the order is a circle). Bounds and first ids, one a part,
-    are all that reaches the driver. Null ids come last; rows of equal id follow a hash of their text.
+    Rows are dealt out by ranges of ids into parts of about ``part_bytes`` of text; the first row of each part comes again,
+    marked ``extra``, at the end of the part before (of the last part before the first, so the order is a circle). Bounds and
+    first rows, a few numbers a part, are all that reaches the driver. Null ids come last; rows of equal id, which are
+    one part, follow a hash of their text.
     """
     source = docs.select(quoted(id).cast("long").alias("id"), text_or_empty(text).alias("text"))
     source = source.withColumn("tie", F.xxhash64("text"))
-    n = min(shuffle_partitions(docs.sparkSession), most_parts)
-    bounds = sorted({int(x) for x in source.select("id").approxQuantile("id", [k / n for k in range(1, n)], 0.2 / n)})
-    below = F.array(*[F.lit(x) for x in bounds]).cast("array<bigint>")
-    # part 0 has the largest ids
-    part = F.coalesce(F.size(F.filter(below, lambda bound: bound > F.col("id"))), F.lit(len(bounds) + 1))
-    dealt = source.withColumn("part", part)
-    firsts = dealt.groupBy("part").agg(F.max("id").alias("id")).collect()
-    tops = dealt.join(F.broadcast(dealt.sparkSession.createDataFrame([tuple(x) for x in firsts] or [(0, 0)], "part int, top long")), "part")
-    ties = tops.where(F.col("id").eqNullSafe(F.col("top"))).groupBy("part").agg(F.min("tie").alias("tie"))
-    heads = sorted((x.part, x.tie) for x in ties.collect())
-    top = {x.part: x.id for x in firsts}
-    copies = F.lit(None).cast("int")
-    for k, (number, tie) in enumerate(heads):
-        is_head = (F.col("part") == number) & F.col("id").eqNullSafe(F.lit(top[number]).cast("long")) & (F.col("tie") == tie)
-        copies = F.when(is_head, heads[k - 1][0]).otherwise(copies)
+    total = docs.agg(F.sum(F.octet_length(text_or_empty(text)))).first()[0] or 0
+    n = max(1, -(-total // part_bytes))
+    cuts = [k / n for k in range(1, n)]
+    bounds = sorted({int(x) for x in source.select("id").approxQuantile("id", cuts, 0.2 / n)}) if cuts else []
+    # part 0 has the largest ids; a row lies above the bounds that are less than its id
+    bound = source.withColumn("bounds", F.array(*[F.lit(x) for x in bounds]).cast("array<bigint>"))
+    below = F.expr(sorted_position("bounds", "id", len(bounds))) if bounds else F.lit(0)
+    part = F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(F.lit(len(bounds)) - below)
+    dealt = bound.withColumn("part", part).drop("bounds")
+    # a part's first row; the complement of an id falls as the id grows
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), F.bitwise_not("id").alias("from_top"), "tie"))
+    found = sorted((x.part, x["first"]["from_top"], x["first"]["tie"]) for x in dealt.groupBy("part").agg(first.alias("first")).collect())
+    heads = [(number, top, tie, found[k - 1][0]) for k, (number, top, tie) in enumerate(found)]
+    table = docs.sparkSession.createDataFrame(heads, "at int, top long, head_tie long, copy int")
+    is_head = (F.col("part") == F.col("at")) & F.bitwise_not("id").eqNullSafe(F.col("top")) & (F.col("tie") == F.col("head_tie"))
+    rows = dealt.join(F.broadcast(table), is_head, "left")
     target = F.struct(F.col("part").alias("part"), F.lit(0).alias("extra"))
     again = F.struct(F.col("copy").alias("part"), F.lit(1).alias("extra"))
-    rows = dealt.withColumn("copy", copies)
     rows = rows.withColumn("to", F.explode(F.when(F.col("copy").isNull(), F.array(target)).otherwise(F.array(target, again))))
     rows = rows.select("to.part", "to.extra", "id", "text", "tie")
-    return rows.repartitionByRange(n, "part").sortWithinPartitions("part", "extra", F.col("id").desc_nulls_last(), "tie").drop("tie")
+    rows = rows.repartition(max(n, shuffle_partitions(docs.sparkSession)), "part")
+    return rows.sortWithinPartitions("part", "extra", F.col("id").desc_nulls_last(), "tie").drop("tie")
 
 
 def edited_likeness(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
