@@ -341,12 +341,15 @@ def _shared(table: pa.Table) -> pa.Table:
     total = np.repeat(np.add.reduceat(count.astype(np.int64), begin), np.diff(np.r_[begin, len(key)]))
     take = total > 1
     key, source, hot = key[take], source[take], total[take] > HOT
+    order = np.argsort(source, kind="stable")
+    key, source, hot = key[order], source[order], hot[order]
+    bounds = np.searchsorted(source, np.arange(len(keys) + 1)).tolist()
     out = {name: [] for name in SHARED}
-    for k in np.unique(source).tolist():
-        mine = source == k
-        out["chunk"].append(chunks[k])
-        out["keys"].append(key[mine].astype("<u8").tobytes())
-        out["hot"].append(hot[mine].tobytes())
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        if b > a:
+            out["chunk"].append(chunks[k])
+            out["keys"].append(key[a:b].astype("<u8").tobytes())
+            out["hot"].append(hot[a:b].tobytes())
     return pa.Table.from_batches([_batch(out, SHARED)])
 
 
@@ -416,39 +419,51 @@ def _spans_of(length: int):
         if rows and rows[0]["block"] < 0:
             return table.select(list(SPANS))
         place: dict[bytes, int] = {}
-        keys, least, uses = [], [], []
-        for k, row in enumerate(rows):
-            sizes, holder, key = (_unpacked(row[name]) for name in ("sizes", "holder", "keys"))
-            ends, text = np.cumsum(sizes), _expanded(row["context"])
-            mine = []
-            for begin, end, id_, hashed in zip((ends - sizes).tolist(), ends.tolist(), holder.tolist(), key.tolist()):
-                context = text[begin:end]
-                number = place.setdefault(context, len(place))
-                if number == len(least):
-                    least.append(id_)
-                    keys.append(hashed)
-                least[number] = min(least[number], id_)
-                mine.append(number)
-            uses.append((k, holder, np.array(mine, np.int64)))
+        number, holder, key, entries = [], [], [], []
+        for row in rows:
+            sizes, text = _unpacked(row["sizes"]), _expanded(row["context"])
+            ends = np.cumsum(sizes)
+            found = [place.setdefault(text[x:y], len(place)) for x, y in zip((ends - sizes).tolist(), ends.tolist())]
+            number.append(np.array(found, np.int64))
+            holder.append(_unpacked(row["holder"]))
+            key.append(_unpacked(row["keys"]))
+            entries.append([_unpacked(row[name]) for name in ("row", "start", "stop")])
         strings = list(place)
-        holders = np.array(least, np.int64)
-        smallest: list[np.ndarray] = [None] * len(strings)
-        for part in _parts(np.array(keys, np.int64), np.fromiter(map(len, strings), np.int64, len(strings))):
-            found = smallest_holders([strings[k] for k in part], holders[part], length)
-            for k, values in zip(part, found):
-                smallest[k] = values
-        for k, holder, mine in uses:
-            row, start, owner = (_unpacked(rows[k][name]) for name in ("row", "start", "stop"))
-            found = [[], [], []]
-            for r, s, o in zip(row.tolist(), start.tolist(), owner.tolist()):
-                hit = np.flatnonzero(smallest[mine[o]] < holder[o])
-                if len(hit):
-                    found[0].append(np.full(len(hit), r))
-                    found[1].append(s + hit)
-                    found[2].append(s + hit + length)
-            if found[0]:
-                merged = _merged(*(np.concatenate(x).astype(np.int64) for x in found))
-                for name, value in zip(out, (rows[k]["chunk"], *_packed(*merged))):
+        numbers = np.concatenate(number)
+        keys, least = np.empty(len(strings), np.int64), np.full(len(strings), np.iinfo(np.int64).max)
+        keys[numbers] = np.concatenate(key)
+        np.minimum.at(least, numbers, np.concatenate(holder))
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        values: list[np.ndarray] = [None] * len(strings)
+        for part in _parts(keys, sizes):
+            for k, found in zip(part, smallest_holders([strings[k] for k in part], least[part], length)):
+                values[k] = found
+        smallest = np.concatenate(values)
+        count = sizes - length + 1
+        begin = np.cumsum(count) - count
+        # of all uses of contexts those of which a string has a smaller holder, whole or in part
+        which = np.repeat(np.arange(len(rows)), [len(x[0]) for x in entries])
+        row, start = (np.concatenate([x[k] for x in entries]) for k in (0, 1))
+        used = np.concatenate([mine[x[2]] for mine, x in zip(number, entries)])
+        own = np.concatenate([mine[x[2]] for mine, x in zip(holder, entries)])
+        some = np.minimum.reduceat(smallest, begin)[used] < own
+        which, row, start, used, own = which[some], row[some], start[some], used[some], own[some]
+        every = np.maximum.reduceat(smallest, begin)[used] < own
+        n = count[used[~every]]
+        ends = np.cumsum(n)
+        inner = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
+        hit = smallest[inner + np.repeat(begin[used[~every]], n)] < np.repeat(own[~every], n)
+        first = (np.repeat(start[~every], n) + inner)[hit]
+        wide = int(row.max(initial=0)) + 1
+        at = which * wide + row
+        at, start, stop = _merged(
+            np.r_[at[every], np.repeat(at[~every], n)[hit]], np.r_[start[every], first],
+            np.r_[start[every] + sizes[used[every]], first + length],
+        )
+        bounds = np.searchsorted(at, np.arange(len(rows) + 1) * wide).tolist()
+        for k, (x, y) in enumerate(zip(bounds, bounds[1:])):
+            if y > x:
+                for name, value in zip(out, (rows[k]["chunk"], *_packed(at[x:y] - k * wide, start[x:y], stop[x:y]))):
                     out[name].append(value)
         return pa.Table.from_batches([_batch(out, SPANS)])
 
@@ -530,7 +545,7 @@ def remove_repeats(
     value = quoted(text).cast("string")
     source = docs.select(
         *columns, quoted(id).cast("long").alias(key), value.alias(body),
-        F.pmod(F.xxhash64(quoted(id), value), F.lit(chunks)).cast("int").alias(chunk),
+        F.pmod(F.xxhash64(quoted(id), value, F.spark_partition_id()), F.lit(chunks)).cast("int").alias(chunk),
     )
     by_chunk = source.groupBy(chunk)
     grams = by_chunk.applyInArrow(_tidied(_grams_of(width, length, buckets)), _schema(GRAMS))
