@@ -16,6 +16,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -56,9 +57,7 @@ class Tokens:
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of tokens one after another."""
-        sizes = self.length[ids]
-        ends = np.cumsum(sizes)
-        return self.octets[np.repeat(self.start[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return self.octets[_spread(self.start[ids], self.length[ids])]
 
 
 def check_byte_vocabulary(path: str) -> None:
@@ -122,7 +121,7 @@ class SegmentIds:
         if len(self.numbers) > MOST:
             self._clear()
         numbers = self.numbers
-        found, counts = [], []
+        found = []
         for text in texts:
             segments = re.findall(" +[^ ]*", text)
             found.append(np.fromiter([numbers.setdefault(x, len(numbers)) for x in segments], np.int64, len(segments)))
@@ -131,12 +130,12 @@ class SegmentIds:
             fresh = list(numbers)[known:]
             encoded = self.model.encode([x[1:] for x in fresh], num_threads=1)
             encoded = [[self.mark] if x == " " else ids for x, ids in zip(fresh, encoded)]
-            self.flat = np.concatenate([self.flat, *[np.array(x, np.int32) for x in encoded]])
+            self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(encoded), np.int32)]
             self.at = np.r_[self.at, self.at[-1] + np.cumsum([len(x) for x in encoded])]
         number = np.concatenate(found) if found else np.empty(0, np.int64)
         sizes = self.at[number + 1] - self.at[number]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.at[number] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids = self.flat[_spread(self.at[number], sizes)]
         counts = np.diff(np.r_[0, ends][np.cumsum([0, *map(len, found)])])
         return ids, counts
 
@@ -149,95 +148,128 @@ def _piece_vocabulary(path: str) -> SegmentIds:
 # --- windows -------------------------------------------------------------------------------------------------
 
 
-def aligned(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[list[tuple[int, int]], list[str]]:
-    """Links (pairs of ids whose bytes overlap) and groups of a window; sizes are in bytes and have the same sum."""
-    links, groups = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = a_sizes[0], b_sizes[0]
-    while True:
-        links.append((a[i], b[j]))
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a and step_b:
-            groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-            first_a, first_b = i + 1, j + 1
-            if first_a == len(a):
-                return links, groups
-        if step_a:
-            i += 1
-            end_a += a_sizes[i]
-        if step_b:
-            j += 1
-            end_b += b_sizes[j]
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices of spans that start at ``starts``, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+@lru_cache(maxsize=2)
+def _written(size: int) -> list[Tokens]:
+    """Ids below ``size`` in decimals, with what follows an id: another one of its side, the other side, another group."""
+    return [Tokens([b"%d%b" % (k, mark) for k in range(size)]) for mark in (b",", b"|", b";")]
+
+
+class Aligned:
+    """The links and groups of windows one after another; each window has the same bytes on both sides.
+
+    Every byte offset at which a token ends closes the overlap of one token of each side, and no two overlaps of the same
+    tokens exist: so links are ends, and groups are ends of both.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, a_tokens: Tokens, b_tokens: Tokens, ends: np.ndarray):
+        """ends: of windows, in tokens of ``a``."""
+        end_a, end_b = np.cumsum(a_tokens.length[a]), np.cumsum(b_tokens.length[b])
+        marks = np.zeros(int(end_a[-1]) + 1 if len(a) else 1, np.uint8)
+        marks[end_a] = 1
+        marks[end_b] |= 2
+        place = np.flatnonzero(marks)
+        kind = marks[place]
+        in_a, in_b = (np.cumsum(kind & side > 0) - (kind & side > 0) for side in (1, 2))
+        self.pairs = a[in_a].astype(np.int64) << 32 | b[in_b].astype(np.int64)
+        last = np.searchsorted(place, end_a[ends - 1])
+        self.n_links = np.diff(np.r_[0, last + 1])
+        self.n_groups = np.diff(np.r_[0, np.cumsum(kind == 3)[last]])
+        # tokens by group, side and order: within a group the a tokens come first
+        shared = place[kind == 3]
+        group = np.r_[np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)]
+        order = np.argsort(group, kind="stable")
+        side, group = (order >= len(a)).astype(np.int8), group[order]
+        mark = np.zeros(len(order), np.int8)
+        mark[:-1][side[1:] != side[:-1]] = 1
+        mark[np.r_[np.flatnonzero(group[1:] != group[:-1]), len(order) - 1] if len(order) else []] = 2
+        ids = np.r_[a, b][order]
+        tables = _written(1 << int(max(len(a_tokens.length), len(b_tokens.length)) - 1).bit_length())
+        width = len(tables[0].length)
+        coded = ids.astype(np.int64) + mark.astype(np.int64) * width
+        size = np.concatenate([x.length for x in tables])[coded]
+        shift = np.cumsum([0, *(len(x.octets) for x in tables[:-1])])
+        start = np.concatenate([x.start + k for x, k in zip(tables, shift.tolist())])[coded]
+        written = np.concatenate([x.octets for x in tables])[_spread(start, size)].tobytes()
+        tokens = np.cumsum(np.bincount(np.searchsorted(shared[np.cumsum(self.n_groups) - 1], shared[group]), minlength=len(ends)))
+        stops = np.cumsum(size)[tokens - 1].tolist() if len(ends) else []
+        self.groups = [written[x : y - 1] for x, y in zip([0, *stops], stops)]
 
 
 class Windows:
-    """The distinct windows of a chunk by their tuples of ids, and the distinct pairs they link."""
+    """The distinct windows of a chunk by their tuples of ids, each aligned once, and the distinct pairs they link."""
 
     def __init__(self, a: Tokens, b: Tokens):
-        self.a, self.b = a, b
-        self.numbers: dict[tuple[bytes, bytes], int] = {}
+        self.tokens = (a, b)
+        self.known: dict[int, int] = {}
         self.pairs: dict[int, int] = {}
-        self.groups: list[str] = []
-        self.n_groups: list[int] = []
-        self.n_links: list[int] = []
-        self.bounds = [0]
-        self.linked: list[int] = []
-        self.times: list[int] = []
-        self.docs = np.zeros(0, np.int64)
-
-    def number(self, a: np.ndarray, b: np.ndarray) -> int:
-        key = (a.tobytes(), b.tobytes())
-        found = self.numbers.get(key)
-        if found is not None:
-            return found
-        links, groups = aligned(a.tolist(), b.tolist(), self.a.length[a].tolist(), self.b.length[b].tolist())
-        times: dict[int, int] = {}
-        for x, y in links:
-            pair = self.pairs.setdefault(x << 32 | y, len(self.pairs))
-            times[pair] = times.get(pair, 0) + 1
-        self.linked += times
-        self.times += times.values()
-        self.bounds.append(len(self.linked))
-        self.groups.append(";".join(groups))
-        self.n_groups.append(len(groups))
-        self.n_links.append(len(links))
-        self.numbers[key] = len(self.numbers)
-        return len(self.numbers) - 1
+        self.groups: list[bytes] = []
+        empty = np.empty(0, np.int64)
+        self.n_groups, self.linked, self.docs, self.bounds = empty, empty, empty, np.zeros(1, np.int64)
+        #: The ids of the windows on both sides, and where each window starts.
+        self.ids = [np.empty(0, np.int32), np.empty(0, np.int32)]
+        self.starts = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
 
     def numbered(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
         """The numbers of windows, given ids and each window's first place among them."""
-        spans = [(ids, at, np.r_[at[1:], len(ids)]) for ids, at in ((a, at_a), (b, at_b))]
+        spans = [(ids, at, np.diff(np.r_[at, len(ids)])) for ids, at in ((a, at_a), (b, at_b))]
         key = np.zeros(len(at_a), np.uint64)
-        for (ids, start, stop), base in zip(spans, BASES):
+        for (ids, start, size), base in zip(spans, BASES):
             power, inverse = _powers(1 << max(20, len(ids).bit_length()), base)
             mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
             mixed ^= mixed >> np.uint64(31)
             sums = np.zeros(len(ids) + 1, np.uint64)
             np.cumsum(mixed * power[: len(ids)], out=sums[1:])
-            key = (key ^ (key >> np.uint64(29))) * np.uint64(base) + (sums[stop] - sums[start]) * inverse[start]
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(base) + (sums[start + size] - sums[start]) * inverse[start]
         codes, distinct = pd.factorize(key)
         sample = np.zeros(len(distinct), np.int64)
         sample[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)  # the first window of each code
+        known, before = self.known, len(self.groups)
+        numbers = np.fromiter([known.setdefault(x, len(known)) for x in distinct.tolist()], np.int64, len(distinct))
+        fresh = numbers >= before
+        self._add([(ids, start[sample[fresh]], size[sample[fresh]]) for ids, start, size in spans])
+        numbers = numbers[codes]
         same = np.ones(len(codes), bool)
-        for ids, start, stop in spans:  # windows that share a hash only are told apart
-            size = stop - start
-            like = size == size[sample[codes]]
+        for (ids, start, size), held, begin in zip(spans, self.ids, self.starts):
+            like = np.diff(begin)[numbers] == size
             same &= like
-            shift = np.where(like, start[sample[codes]] - start, 0)
-            unlike = ids[np.repeat(shift, size) + np.arange(len(ids))] != ids
+            places = np.repeat(np.where(like, begin[numbers] - start, 0), size) + np.arange(len(ids))
+            unlike = held[np.minimum(places, len(held) - 1)] != ids
             same &= ~np.logical_or.reduceat(unlike, start)
-        own = [self.number(*(ids[start[k] : stop[k]] for ids, start, stop in spans)) for k in sample.tolist()]
-        numbers = np.array(own, np.int64)[codes]
-        for k in np.flatnonzero(~same).tolist():
-            numbers[k] = self.number(*(ids[start[k] : stop[k]] for ids, start, stop in spans))
+        others = np.flatnonzero(~same)  # windows that share a hash only: each is a window of its own
+        if len(others):
+            numbers[others] = len(self.groups) + np.arange(len(others))
+            self._add([(ids, start[others], size[others]) for ids, start, size in spans])
+            for k in range(len(others)):
+                known[-1 - len(known)] = len(known)
         return numbers
 
+    def _add(self, spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Aligns new windows."""
+        if not len(spans[0][1]):
+            return
+        new = [ids[_spread(start, size)] for ids, start, size in spans]
+        found = Aligned(*new, *self.tokens, np.cumsum(spans[0][2]))
+        for k, (ids, (_, _, size)) in enumerate(zip(new, spans)):
+            self.ids[k] = np.r_[self.ids[k], ids]
+            self.starts[k] = np.r_[self.starts[k], self.starts[k][-1] + np.cumsum(size)]
+        codes, distinct = pd.factorize(found.pairs)
+        pairs = self.pairs
+        number = np.fromiter([pairs.setdefault(x, len(pairs)) for x in distinct.tolist()], np.int64, len(distinct))
+        self.linked = np.r_[self.linked, number[codes]]
+        self.bounds = np.r_[self.bounds, self.bounds[-1] + np.cumsum(found.n_links)]
+        self.n_groups = np.r_[self.n_groups, found.n_groups]
+        self.groups += found.groups
+
     def count(self, owner: np.ndarray, number: np.ndarray) -> None:
         """Counts a document for each pair that its windows, of distinct (owner, number), link."""
-        bounds, linked = np.array(self.bounds, np.int64), np.array(self.linked, np.int64)
-        sizes = np.diff(bounds)[number]
-        ends = np.cumsum(sizes)
-        pair = linked[np.repeat(bounds[number] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        sizes = np.diff(self.bounds)[number]
+        pair = self.linked[_spread(self.bounds[number], sizes)]
         held = np.sort(np.repeat(owner, sizes) * len(self.pairs) + pair)
         held = held[np.r_[True, held[1:] != held[:-1]][: len(held)]] % max(len(self.pairs), 1)
         counted = np.bincount(held, minlength=len(self.pairs))
@@ -307,18 +339,18 @@ def _align_group(texts: list[str | None], words: WordIds, a_tokens: Tokens, segm
     number = windows.numbered(a, b, at_a, at_b)
     text_ends = np.cumsum(a_counts[good])
     owner = np.searchsorted(text_ends, at_a, side="right")
-    for name, values in (("n_groups", windows.n_groups), ("n_links", windows.n_links)):
-        out[name][rows] = np.bincount(owner, np.array(values, np.int64)[number], len(rows)).astype(np.int64)
+    for name, values in (("n_groups", windows.n_groups), ("n_links", np.diff(windows.bounds))):
+        out[name][rows] = np.bincount(owner, values[number], len(rows)).astype(np.int64)
     bounds = np.searchsorted(owner, np.arange(len(rows) + 1)).tolist()
     listed, groups = number.tolist(), windows.groups
-    wide = len(windows.numbers)
+    wide = len(windows.groups)
     held, times = np.unique(owner * wide + number, return_counts=True)
     holder, held = held // wide, held % wide
     windows.count(holder, held)
     edges = np.searchsorted(holder, np.arange(len(rows) + 1)).tolist()
     for k, row in enumerate(rows.tolist()):
-        text = ";".join([groups[x] for x in listed[bounds[k] : bounds[k + 1]]])
-        out["groups_sha256"][row] = hashlib.sha256(text.encode()).hexdigest()
+        text = b";".join([groups[x] for x in listed[bounds[k] : bounds[k + 1]]])
+        out["groups_sha256"][row] = hashlib.sha256(text).hexdigest()
         out["windows"][row] = held[edges[k] : edges[k + 1]].astype("<u4").tobytes()
         out["times"][row] = times[edges[k] : edges[k + 1]].astype("<u4").tobytes()
     return out
@@ -336,8 +368,7 @@ def _aligner(kind: pa.DataType, byte_vocabulary: str, piece_vocabulary: str):
             pairs = np.fromiter(windows.pairs, np.int64, len(windows.pairs))
             values = {
                 "chunk": chunk, "pairs": _squeezed(np.concatenate([pairs >> 32, pairs & 0xFFFFFFFF])), "docs": _squeezed(windows.docs, "<i8"),
-                "bounds": _squeezed(np.array(windows.bounds)), "windows": _squeezed(np.array(windows.linked, np.int64)),
-                "times": _squeezed(np.array(windows.times, np.int64)),
+                "bounds": _squeezed(windows.bounds), "windows": _squeezed(windows.linked),
             }
             columns = [pa.nulls(1, kind), *[pa.array([values.get(name)], of) for name, of in ROWS.items()]]
             return pa.RecordBatch.from_arrays(columns, ["id", *ROWS])
@@ -355,11 +386,11 @@ def _aligner(kind: pa.DataType, byte_vocabulary: str, piece_vocabulary: str):
             ]
             yield pa.RecordBatch.from_arrays([ids, *columns], ["id", *ROWS])
             size += texts.nbytes
-            if size > CHUNK or len(windows.numbers) > WINDOWS:
+            if size > CHUNK or len(windows.groups) > WINDOWS:
                 yield dictionary()
                 windows, size = Windows(a_tokens, segments.tokens), 0
                 chunk += 1
-        if windows.numbers:
+        if windows.groups:
             yield dictionary()
 
     return rows_of
@@ -385,13 +416,13 @@ def _summed(kept: list[str]):
         docs = rows.filter(rows.column("pairs").is_null())
         sums = [[0] * docs.num_rows, [0] * docs.num_rows]
         if dictionary.num_rows:
-            bounds, linked, times = (_expanded(dictionary.column(x)[0].as_py()).astype(np.int64) for x in ("bounds", "windows", "times"))
+            bounds, linked = (_expanded(dictionary.column(x)[0].as_py()).astype(np.int64) for x in ("bounds", "windows"))
             order = counts.column("pair").to_numpy()
             of_window = []
             for name in ("best", "count"):
                 by_pair = np.zeros(len(order), np.int64)
                 by_pair[order] = counts.column(name).to_numpy().astype(np.int64)
-                total = np.r_[0, np.cumsum(by_pair[linked] * times)]
+                total = np.r_[0, np.cumsum(by_pair[linked])]
                 of_window.append(total[bounds[1:]] - total[bounds[:-1]])
             held, repeated = (docs.column(name).to_pylist() for name in ("windows", "times"))
             for k, (blob, number) in enumerate(zip(held, repeated)):
