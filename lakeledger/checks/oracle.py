@@ -393,12 +393,23 @@ ORACLE: dict[str, str] = {
          count(*) as numResults from fx_results group by all) c
         on c.characteristicType = u.characteristicType and c.siteType = u.siteType and c.y = years.y""",
     "incremental_counts_extended": _GRID,
+    "incremental_counts_changed": """select g.characteristicType, g.siteType, g.startDate, g.endDate, g.numSites, g.numResults,
+        exists (select 1 from fx_results r where r.characteristicType = g.characteristicType and r.siteType = g.siteType
+         and (r.characteristicType = 'Nutrient' and r.siteType = 'Stream'
+          and year(r.Date) = (select max(year(l_shipdate)) from lineitem)
+          or r.characteristicType = 'Physical' and r.siteType = 'Well'
+          and year(r.Date) = (select min(year(l_shipdate)) from lineitem))) as recounted
+        from grid g""",
+    "merged_counts": """select characteristicType, siteType, year(Date) as startYear, count(distinct wqx_id) as numSites,
+        count(*) as numResults from fx_results group by all""",
     "target_sites_config": """select distinct t.target, r.wqx_id from (values ('phosphorus_lakes', 'Phosphorus', true),
         ('phosphorus_all', 'Phosphorus', false), ('ph_lakes', 'pH', true)) as t(target, characteristicName, lakes)
         join fx_results r using (characteristicName)
         where not t.lakes or r.siteType = 'Lake, Reservoir, Impoundment'""",
     "csv_roundtrip": _GRID,
     "parquet_roundtrip": _GRID,
+    "region_from_snapshot": """select Date, value, wqx_id, dec_lon_va, dec_lat_va from fx_results
+        where dec_lon_va between -112 and -96 and dec_lat_va between 30 and 38""",
     "category_counts": """select display_charType, display_siteType, cast(sum(numSites) as bigint) as numSites,
         cast(sum(numResults) as bigint) as numResults from shown where numResults is not null
         group by display_charType, display_siteType""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import lookups
-from ..operators import inventory, paging, quality, seasonal, selection, spatial, summaries
+from ..operators import inventory, merging, paging, quality, seasonal, selection, spatial, summaries
 from ..plans import constituents, geography, secchi
 from ..plans import inventory as inventory_plan
 from ..schema import COUNT_SCHEMA
@@ -175,6 +175,34 @@ def incremental_counts_extended(star: Star) -> DataFrame:
     return tables.read_csv(star.spark, table)
 
 
+@query
+def incremental_counts_changed(star: Star) -> DataFrame:
+    """Counts after facts of one unit came late and facts of another were withdrawn, and which units were counted anew."""
+    cache = tables.scratch_path(star.spark, "count-units")
+    results = star.results()
+    first, last = star.years()
+    year = F.year("Date")
+    late = (F.col("characteristicType") == "Nutrient") & (F.col("siteType") == "Stream") & (year == last)
+    withdrawn = (F.col("characteristicType") == "Physical") & (F.col("siteType") == "Well") & (year == first)
+    inventory.refresh_counts(results.where(~late).union(results.where(withdrawn)), cache, first, last)
+    again = inventory.refresh_counts(results, cache, first, last).withColumn("recounted", F.lit(True))
+    counts = tables.read_snapshot(star.spark, cache, COUNT_SCHEMA)
+    return counts.join(F.broadcast(again), inventory.UNIT, "left").fillna(False, ["recounted"])
+
+
+@query
+def merged_counts(star: Star) -> DataFrame:
+    """Counts of three batches that were counted one by one; two share a year."""
+    state = tables.scratch_path(star.spark, "count-state")
+    results = star.results()
+    first, last = star.years()
+    border, month = f"{(first + last) // 2}-07-01", f"{(first + last) // 2}-08-01"
+    merging.append_counts(results.where(F.col("Date") < border), state, "history")
+    merging.append_counts(results.where((F.col("Date") >= border) & (F.col("Date") < month)), state, "month")
+    merging.append_counts(results.where(F.col("Date") >= month), state, "rest")
+    return merging.merged_counts(star.spark, state)
+
+
 @query
 def csv_roundtrip(star: Star) -> DataFrame:
     path = tables.scratch_path(star.spark, "counts-csv")
@@ -207,6 +235,15 @@ def parquet_roundtrip(star: Star) -> DataFrame:
     return tables.read_snapshot(star.spark, path, COUNT_SCHEMA)
 
 
+@query
+def region_from_snapshot(star: Star) -> DataFrame:
+    """Results of a box, read from a snapshot along a curve through place and time."""
+    path = tables.scratch_path(star.spark, "results-clustered")
+    results = star.results().select("Date", "value", "wqx_id", "dec_lon_va", "dec_lat_va")
+    tables.write_clustered(results, path, ["dec_lon_va", "dec_lat_va", "Date"], files=64)
+    return tables.read_region(star.spark, path, {"dec_lon_va": (-112.0, -96.0), "dec_lat_va": (30.0, 38.0)}, results.schema)
+
+
 # --- projections, filters, scalar expressions -----------------------------------------------------------------
 
 

@@ -6,11 +6,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import lookups
 from ..functions.text import count_label
 from ..schema import COUNT_SCHEMA
-from ..sources.tables import read_csv_if_exists, read_if_exists, write_csv
+from ..sources.tables import kept, read_csv_if_exists, read_if_exists, write_csv
 
 UNIT = ["characteristicType", "siteType"]
 
@@ -88,15 +89,8 @@ def incremental_counts(
         span = cached.agg(F.min(F.year("startDate")), F.max(F.year("startDate"))).first()
         first, last = min([start, *span[:1]], default=start), max([end, *span[1:]], default=end)
     if cached is None or not todo.isEmpty():
-        dated = results.where((F.col("Date") >= F.make_date(F.lit(first), F.lit(1), F.lit(1))) & (F.col("Date") < F.make_date(F.lit(last + 1), F.lit(1), F.lit(1))))
-        counts = summary_counts(dated.join(F.broadcast(todo), UNIT, "left_semi"))
-        write = (
-            count_grid(counts, todo, first, last)
-            .repartition(*UNIT)
-            .write.option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*UNIT)
-        )
-        write.parquet(cache_path, mode="overwrite")
+        counts = summary_counts(_in_years(results, first, last).join(F.broadcast(todo), UNIT, "left_semi"))
+        _replace_units(count_grid(counts, todo, first, last), cache_path)
 
     complete = read_if_exists(spark, cache_path, COUNT_SCHEMA).where(period).join(F.broadcast(units), UNIT, "left_semi")
     if not incomplete_units(units, complete, start, end).isEmpty():
@@ -105,6 +99,79 @@ def incremental_counts(
     return True
 
 
+def _in_years(results: DataFrame, first: int, last: int) -> DataFrame:
+    start, end = (F.make_date(F.lit(year), F.lit(1), F.lit(1)) for year in (first, last + 1))
+    return results.where((F.col("Date") >= start) & (F.col("Date") < end))
+
+
+def _replace_units(rows: DataFrame, path: str) -> None:
+    write = rows.repartition(*UNIT).write.option("partitionOverwriteMode", "dynamic").partitionBy(*UNIT)
+    write.parquet(path, mode="overwrite")
+
+
+DIGEST_SCHEMA = T.StructType([
+    T.StructField("characteristicType", T.StringType()), T.StructField("siteType", T.StringType()),
+    T.StructField("startYear", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("digest", T.DecimalType(38, 0)),
+])
+
+
+def unit_digests(results: DataFrame, columns: Iterable[str] = ("wqx_id",)) -> DataFrame:
+    """Per unit and year the number of results and the sum of a hash of ``columns``, whatever order the rows come in.
+
+    The default names what counts depend on beside unit and year. Where a null stands is part of the hash. Two sets of
+    rows with one number and one sum are taken for equal: a chance of about 1 in 2^64 for each unit and year.
+    """
+    fields = [F.col(name) for name in columns]
+    row = F.xxhash64(*fields, *[field.isNull() for field in fields]).cast("decimal(28,0)")
+    return results.groupBy(*UNIT, F.year("Date").alias("startYear")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(row).cast("decimal(38,0)").alias("digest")
+    )
+
+
+def refresh_counts(
+    results: DataFrame,
+    cache_path: str,
+    start: int,
+    end: int,
+    char_types: Iterable[str] = lookups.CHARACTERISTIC_TYPES,
+    site_types: Iterable[str] = lookups.SITE_TYPES,
+) -> DataFrame:
+    """Bring the cache of counts at ``cache_path`` up to date and return the units that were counted anew.
+
+    The cache is that of ``incremental_counts``, with the digests of its input beside it (``-digests``): each run appends
+    by how much they changed, and their sum is what was counted. Units are counted of which a year ``start..end`` is missing,
+    which have no digest, or of which facts came late or were withdrawn: of these the digests differ. They take one pass
+    over (unit, date, site) that leaves a row a unit and year and task; other units are neither counted nor written. Counts
+    are written before digests, so a run cut off between them counts the same units again. Years the cache has beyond the
+    request stay in it and are kept up to date with the rest.
+    """
+    spark = results.sparkSession
+    units = lookups.required_units(spark, char_types, site_types)
+    digest_path = f"{cache_path.rstrip('/')}-digests"
+    cached = read_if_exists(spark, cache_path, COUNT_SCHEMA)
+    stored = read_if_exists(spark, digest_path, DIGEST_SCHEMA)
+    first, last, todo = start, end, units
+    if cached is not None:
+        span = cached.agg(F.min(F.year("startDate")), F.max(F.year("startDate"))).first()
+        first, last = min([start, *[y for y in span[:1] if y is not None]]), max([end, *[y for y in span[1:] if y is not None]])
+        todo = incomplete_units(units, cached, first, last)
+    asked = _in_years(results, first, last).join(F.broadcast(units), UNIT, "left_semi")
+    deltas, unknown = unit_digests(asked), units
+    if stored is not None:
+        old = stored.join(F.broadcast(units), UNIT, "left_semi").select(*UNIT, "startYear", -F.col("n"), -F.col("digest"))
+        deltas = deltas.union(old).groupBy(*UNIT, "startYear").agg(F.sum("n").alias("n"), F.sum("digest").alias("digest"))
+        deltas, unknown = deltas.where("n <> 0 OR digest <> 0"), missing_units(units, stored)
+    # a unit without facts is known by a row of year 0
+    empty = unknown.select(*UNIT, F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("decimal(38,0)"))
+    deltas = kept(deltas.select(*DIGEST_SCHEMA.fieldNames()).union(empty).coalesce(1), "digests")
+    todo = kept(todo.union(deltas.select(*UNIT)).distinct().coalesce(1), "recounted")
+    if not todo.isEmpty():
+        counts = summary_counts(asked.join(F.broadcast(todo), UNIT, "left_semi"))
+        _replace_units(count_grid(counts, todo, first, last), cache_path)
+        deltas.coalesce(1).write.parquet(digest_path, mode="append")
+    return todo
+
+
 def display_category(
     df: DataFrame, kinds: DataFrame | None = None, sites: DataFrame | None = None, strict: bool = True
 ) -> DataFrame:

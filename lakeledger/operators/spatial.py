@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import lookups
 from ..functions.projection import equal_area_xy
+from .ordered import running_total
 
 
 @dataclass(frozen=True)
@@ -276,16 +277,14 @@ def coverage_by_state(hits: DataFrame, states: DataFrame) -> DataFrame:
     first_seen = (
         pairs.groupBy("wqx_id").agg(F.min("state").alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n_new"))
     )
-    # One row per state: small by nature.
-    upto = Window.orderBy("state").rowsBetween(Window.unboundedPreceding, 0)
-    return (
+    every = (
         states.select("state")
         .distinct()
         .join(per_state, "state", "left")
         .join(first_seen, "state", "left")
         .fillna(0, ["n_sites", "n_new"])
-        .select("state", "n_sites", F.sum("n_new").over(upto).alias("n_sites_so_far"))
     )
+    return running_total(every, ["state"], "n_new", "n_sites_so_far").select("state", "n_sites", "n_sites_so_far")
 
 
 def count_per_polygon(

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from functools import reduce
+from math import isfinite
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import sorted_position
 from ..schema import COUNT_SCHEMA
 
 
@@ -70,6 +75,47 @@ def write_snapshot(df: DataFrame, path: str, mode: str = "error", partition_by:
     df.write.parquet(path, mode=mode, partitionBy=list(partition_by) or None)
 
 
+def _place(df: DataFrame, name: str) -> str:
+    """SQL for a column as a double that keeps its order."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DateType):
+        return f"cast(unix_date(`{name}`) AS double)"
+    if isinstance(kind, T.TimestampType):
+        return f"cast(unix_micros(`{name}`) AS double)"
+    if isinstance(kind, T.NumericType):
+        return f"cast(`{name}` AS double)"
+    raise TypeError(f"{name}: a number, a date or a timestamp is wanted")
+
+
+def write_clustered(df: DataFrame, path: str, by: Sequence[str], files: int, mode: str = "error", bits: int = 8) -> None:
+    """A snapshot of about ``files`` files in which rows that are near each other in all of ``by`` share a file.
+
+    Each column of ``by`` is cut into 2^bits slices of about equal numbers of rows (approximate percentiles in one aggregate; a
+    row of bounds reaches the driver), so crowded places get as many slices as they have rows. The bits of the slice
+    numbers take turns in one key, the place on a Z curve, by which rows are ranged and sorted; Parquet's minima and maxima then
+    let a filter on any of the columns skip files. Rows of one place are spread by a hash of the row, so only copies of one row
+    must share a task. Nulls lie in the first slice, NaN in the last. The columns are those of ``df``.
+    """
+    cuts = ", ".join(f"{i / (1 << bits)}D" for i in range(1, 1 << bits))
+    found = df.selectExpr(*[f"percentile_approx({_place(df, name)}, array({cuts}), 10000) AS c{j}" for j, name in enumerate(by)]).first()
+    ranks = []
+    for name, bounds in zip(by, found):
+        bounds = sorted({bound for bound in bounds or [] if isfinite(bound)})
+        literal = f"array({', '.join(f'{bound!r}D' for bound in bounds)})" if bounds else "cast(array() AS array<double>)"
+        ranks.append(sorted_position(literal, _place(df, name), len(bounds) + 1))
+    terms = [f"shiftleft(cast((shiftright(_rank{j}, {b}) & 1) AS bigint), {b * len(by) + j})" for b in range(bits) for j in range(len(by))]
+    spread = F.xxhash64(*[F.col(f"`{name}`") for name in df.columns])
+    keyed = df.selectExpr("*", *[f"{rank} AS _rank{j}" for j, rank in enumerate(ranks)]).selectExpr("*", f"{' + '.join(terms)} AS _curve")
+    ranged = keyed.withColumn("_spread", spread).repartitionByRange(files, "_curve", "_spread").sortWithinPartitions("_curve")
+    ranged.select(*[F.col(f"`{name}`") for name in df.columns]).write.parquet(path, mode=mode)
+
+
+def read_region(spark: SparkSession, path: str, bounds: dict[str, tuple], schema: T.StructType | None = None) -> DataFrame:
+    """Rows of a snapshot whose columns lie within ``bounds`` (column: lowest, highest), both included."""
+    inside = [F.col(f"`{name}`").between(low, high) for name, (low, high) in bounds.items()]
+    return read_snapshot(spark, path, schema).where(reduce(and_, inside, F.lit(True)))
+
+
 def read_if_exists(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     """The Parquet table at ``path``, or None where nothing has been written yet."""
     try:
