@@ -14,12 +14,31 @@ ADDED = ("n_tokens", "epoch", "take_tokens")
 SLICE_DIGITS = 4
 
 
+def _path(levels: Sequence[str]) -> Column:
+    """The name of a node: its names from the top, slashes and backslashes in them marked, joined by slashes."""
+    names = [F.coalesce(quoted(x).cast("string"), F.lit("")) for x in levels]
+    marked = [F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit("/"), F.lit("\\/")) for name in names]
+    return F.concat_ws("/", *marked)
+
+
+def _check_weights(weights: DataFrame) -> None:
+    weight = F.col("weight").cast("double")
+    odd = (weight < 0) | F.isnan(weight) | (weight == float("inf"))
+    nodes = weights.groupBy("level", "key").agg(F.count(F.lit(1)).alias("n"), F.max(odd).alias("odd"))
+    faults = nodes.where("n > 1 OR odd").orderBy("level", "key").limit(1).collect()
+    if faults:
+        level, key, n, _ = faults[0]
+        raise ValueError(f"{level} {key}: {'more than one weight' if n > 1 else 'a weight is a finite number of 0 or more'}")
+
+
 def leaf_budgets(leaves: DataFrame, weights: DataFrame, levels: Sequence[str], total: int, max_epochs: int = 1) -> DataFrame:
     """(levels..., tokens, budget): the tokens to take from each leaf of the tree ``levels`` spell out.
 
-    ``leaves``: (levels..., tokens), one row a leaf. ``weights``: (level, key, weight), key being the name of a node, its
-    path from the top joined by slashes; a node without a row weighs 1. A leaf can give ``max_epochs`` times its tokens,
-    a node what its leaves can.
+    ``leaves``: (levels..., tokens); rows of one leaf are added up. ``weights``: (level, key, weight), key being the name
+    of a node: its path from the top joined by slashes, in which a slash or backslash of a name follows a backslash, and
+    null is named by the empty text, as the empty name is. A node without a row, or with a null weight, weighs 1. A weight that is
+    negative or not finite, and two rows of one node, are a ValueError. A leaf can give ``max_epochs`` times its tokens, but nothing if a
+    node of its path weighs 0; a node can give what its leaves can.
 
     From the top down a node's budget is shared among its children by weight. A child that cannot fill its share gives
     all it has, and the shortage goes to its siblings by weight, again and again; only what no sibling can take is felt
@@ -27,19 +46,25 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame, levels: Sequence[str], t
     order of capacity a weight, the first one that is not exhausted sets it. Shares are rounded down, so a node's
     children may get fewer tokens than it by less than their number. Windows run over nodes, not over documents.
     """
-    paths = [F.concat_ws("/", *[F.coalesce(quoted(x).cast("string"), F.lit("")) for x in levels[: k + 1]]) for k in range(len(levels))]
-    tree = leaves.select(
-        *[quoted(x) for x in levels], F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"),
-        F.lit("").alias("path_0"), *[path.alias(f"path_{k + 1}") for k, path in enumerate(paths)],
+    _check_weights(weights)
+    paths = [_path(levels[: k + 1]) for k in range(len(levels))]
+    named = leaves.select("*", *[path.alias(f"path_{k + 1}") for k, path in enumerate(paths)])
+    tree = named.groupBy(*[f"path_{k + 1}" for k in range(len(levels))]).agg(
+        *[F.min(quoted(x)).alias(x) for x in levels], F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens")
     )
-    tree = tree.withColumn("give", F.col("tokens") * F.lit(max_epochs))
+    tree = tree.withColumn("path_0", F.lit(""))
+    open_ = F.lit(True)
+    for k, level in enumerate(levels):
+        own = weights.where(F.col("level") == level).select(F.col("key").alias(f"path_{k + 1}"), F.col("weight").cast("double").alias(f"weight_{k}"))
+        tree = tree.join(own, f"path_{k + 1}", "left").withColumn(f"weight_{k}", F.coalesce(f"weight_{k}", F.lit(1.0)))
+        open_ &= F.col(f"weight_{k}") > 0
+    tree = tree.withColumn("give", F.when(open_, F.col("tokens") * F.lit(max_epochs)).otherwise(0))
     whole = tree.agg(F.least(F.coalesce(F.sum("give"), F.lit(0)), F.lit(total).cast("long")).alias("budget"))
     budgets = whole.select(F.lit("").alias("parent"), "budget")
     for k in range(len(levels)):
-        nodes = tree.groupBy(f"path_{k}", f"path_{k + 1}").agg(F.sum("give").cast("double").alias("cap"))
-        nodes = nodes.select(F.col(f"path_{k}").alias("parent"), F.col(f"path_{k + 1}").alias("node"), "cap")
-        own = weights.where(F.col("level") == levels[k]).select(F.col("key").alias("node"), F.col("weight").cast("double"))
-        nodes = nodes.join(own, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        nodes = tree.groupBy(F.col(f"path_{k}").alias("parent"), F.col(f"path_{k + 1}").alias("node")).agg(
+            F.sum("give").cast("double").alias("cap"), F.max(f"weight_{k}").alias("weight")
+        )
         filled = nodes.join(budgets, "parent")
         order = Window.partitionBy("parent").orderBy(F.col("cap") / F.col("weight"), "node")
         every = Window.partitionBy("parent")
@@ -74,15 +99,15 @@ def mix(
 
     The order within an epoch is that of md5(seed:epoch:id); repeated ids follow their size. Its first SLICE_DIGITS hex
     digits cut a leaf into slices, which are summed; only rows of the slice in which the budget ends are put in order
-    one by one, so a leaf of a third of all rows is no group in one task. Null levels are nodes of their own (named by
-    the empty text); an empty table gives no rows. Columns named like an added one are replaced. Built-in functions only.
+    one by one, so a leaf of a third of all rows is no group in one task; rows of one id share a slice, so an id that
+    very many rows repeat is one group if the budget ends there. A null level and an empty one are one node; an empty table gives no rows. Columns named like an added one are replaced. Built-in functions only.
     """
     docs = without(docs, *ADDED)
     size, key, mark, part, need, epochs, limit, before = unused(
         docs, "size_", "key_", "mark_", "slice_", "need_", "epochs_", "limit_", "before_"
     )
     counted = F.ceil(F.octet_length(quoted(text).cast("string")) / 4) if tokens is None else tokens
-    leaf = F.concat_ws("/", *[F.coalesce(quoted(x).cast("string"), F.lit("")) for x in levels])
+    leaf = _path(levels)
     rows = docs.withColumns({size: F.coalesce(counted, F.lit(0)).cast("long"), key: leaf})
     leaves = cut(rows.groupBy(*[quoted(x) for x in levels]).agg(F.sum(size).alias("tokens")))
     if total is None:
@@ -92,8 +117,7 @@ def mix(
     # whole epochs of each leaf, and what the begun one still needs
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("long")
     budgets = budgets.select(leaf.alias(limit), full.alias(epochs), (F.col("budget") - full * F.col("tokens")).alias(need))
-    # nodes of null and of empty names share a path
-    budgets = cut(budgets.groupBy(limit).agg(F.max(epochs).alias(epochs), F.sum(need).alias(need)))
+    budgets = cut(budgets)
 
     small = rows.select(key, size, quoted(id).alias(mark)).join(_sized(budgets), F.col(key) == F.col(limit))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epochs).cast("string"), F.coalesce(F.col(mark).cast("string"), F.lit(""))))

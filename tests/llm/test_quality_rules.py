@@ -105,6 +105,41 @@ def test_budgets_fill_siblings_before_ancestors(spark, rows):
         assert found == wanted
 
 
+def test_budgets_of_odd_weights_and_names(spark):
+    def budgets(leaves, weights, total):
+        df = spark.createDataFrame(leaves, "top string, low string, tokens long")
+        w = spark.createDataFrame(weights, "level string, key string, weight double")
+        return sorted(((r.top, r.low, r.tokens, r.budget) for r in mixing.leaf_budgets(df, w, ["top", "low"], total).collect()), key=str)
+
+    # what a leaf of weight 0 cannot give goes to others, below it and beside its parent
+    leaves = [("a", "x", 1000), ("a", "y", 1000), ("b", "x", 1000)]
+    assert budgets(leaves, [("low", "a/x", 0.0)], 2000) == [("a", "x", 1000, 0), ("a", "y", 1000, 1000), ("b", "x", 1000, 1000)]
+    assert budgets(leaves, [("low", "a/x", 0.0)], 1200) == [("a", "x", 1000, 0), ("a", "y", 1000, 600), ("b", "x", 1000, 600)]
+    assert budgets(leaves, [("top", "a", 0.0)], 2000) == [("a", "x", 1000, 0), ("a", "y", 1000, 0), ("b", "x", 1000, 1000)]
+    assert [row[3] for row in budgets(leaves, [("top", "a", 0.0), ("top", "b", 0.0)], 2000)] == [0, 0, 0]
+    # names with slashes are nodes of their own, also where their plain paths are one
+    slashes = [("a/b", "c", 100), ("a", "b/c", 100), ("a\\", "b", 100)]
+    assert budgets(slashes, [], 150) == sorted(((top, low, n, 50) for top, low, n in slashes), key=str)
+    assert {row[0]: row[3] for row in budgets(slashes, [("top", "a\\/b", 0.0)], 150)} == {"a/b": 0, "a": 75, "a\\": 75}
+    # null and the empty name are one node, rows of one leaf are added up
+    assert budgets([("a", None, 100), ("a", "", 100), ("a", "x", 300), ("a", "x", 100)], [], 300) == [("a", "", 200, 150), ("a", "x", 400, 150)]
+    assert budgets([("a", None, None)], [("top", "a", None)], 10) == [("a", None, 0, 0)]
+    for faulty in ([("top", "a", 1.0), ("top", "a", 1.0)], [("top", "a", -1.0)], [("low", "a/x", float("nan"))]):
+        with pytest.raises(ValueError):
+            budgets(leaves, faulty, 100)
+
+
+def test_a_mixture_gives_its_whole_budget_beside_zero_weights(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "x/"[i // 2 % 2], "t" * 40) for i in range(400)], "doc_id long, top string, low string, text string")
+    weights = spark.createDataFrame([("low", "a/x", 0.0), ("top", "b", 3.0)], "level string, key string, weight double")
+    rows = mixing.mix(docs, weights, ["top", "low"], 2600).collect()
+    assert sum(row.take_tokens for row in rows) == 2600 and len({row.doc_id for row in rows}) == len(rows)
+    taken = {}
+    for row in rows:
+        taken[row.top, row.low] = taken.get((row.top, row.low), 0) + row.take_tokens
+    assert taken == {("a", "/"): 650, ("b", "x"): 975, ("b", "/"): 975}
+
+
 def test_mixture_takes_seeded_prefixes(spark, documents):
     import hashlib
 
