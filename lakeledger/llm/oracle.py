@@ -125,11 +125,13 @@ judged as (
  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
   case when {_TOTAL} - c1 >= 200 then sqrt(greatest(0, {_CLASS_TERMS})) else 0 end as by_class,
   case when n_words >= 50 then sqrt(greatest(0, coalesce(d, 0) +
-   ({_half("(1 - coalesce(p, 0))", "(1 - coalesce(q, 0))")} + {_half("(1 - coalesce(q, 0))", "(1 - coalesce(p, 0))")}) / 2)) else 0 end as by_words
+   ({_half("(1 - coalesce(p, 0))", "(1 - coalesce(q, 0))")} + {_half("(1 - coalesce(q, 0))", "(1 - coalesce(p, 0))")}) / 2)) else 0 end as by_words,
+  sqrt(greatest(0, (coalesce(q, 0) + {_half("1e0", "(1 - coalesce(q, 0))")} + {_half("(1 - coalesce(q, 0))", "1e0")}) / 2)) as bare
  from counted join sums using (lang) left join repeated using (n) left join by_word using (n))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
  n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
- not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and by_class <= 0.25 and by_words <= 0.45 as kept
+ not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and by_class <= 0.25 and by_words <= 0.45
+  and (bare <= 0 or by_words <= bare * case when n_words < 120 then 0.98e0 else 0.85e0 end) as kept
 from judged"""
 
 

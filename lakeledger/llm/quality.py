@@ -52,7 +52,7 @@ def quality_rules(
     guard_words: int = 50,
     max_class_distance: float = 0.25,
     max_word_distance: float = 0.45,
-    bare_share: float | None = None,
+    bare_share: float | None = 0.85,
     bare_share_short: float = 0.98,
     short_words: int = 120,
 ) -> DataFrame:
@@ -67,7 +67,7 @@ def quality_rules(
     (0.31 where 18 percent of the words are common), so no fixed limit above it rejects such a text. ``bare_share``
     puts a second limit at this share of that distance, and at ``bare_share_short`` of it for texts of fewer than
     ``short_words`` words, whose common words vary by chance; a text beyond either limit is rejected. A reference
-    without common words sets no such limit. None (the default) leaves ``max_word_distance`` alone, as the SQL has it.
+    without common words sets no such limit. None leaves ``max_word_distance`` alone.
 
     ``base_failed``: fewer than ``min_words`` words, or more than
     ``max_repeat_percent`` percent of the words in five-word windows found twice or more.

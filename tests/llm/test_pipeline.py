@@ -30,7 +30,8 @@ def passes(docs):
         if counts[0] >= 50:
             names = sorted(words[lang])
             p, q = [common[x] / counts[0] for x in names], [words[lang][x] / total[lang] for x in names]
-            if divergence([*p, 1 - sum(p)], [*q, 1 - sum(q)]) > 0.45:
+            by_word, bare = divergence([*p, 1 - sum(p)], [*q, 1 - sum(q)]), divergence([*[0] * len(q), 1], [*q, 1 - sum(q)])
+            if by_word > 0.45 or bare > 0 and by_word > bare * (0.98 if counts[0] < 120 else 0.85):
                 continue
         yield id_
 

@@ -52,16 +52,19 @@ def test_quality_rules(spark, documents):
         assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == counts
         failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
         by_class = by_word = None
+        bare = 0
         if sum(kinds) - kinds[1] >= 200:
             by_class = divergence([x / sum(kinds) for x in kinds], [x / sum(classes[lang]) for x in classes[lang]])
         if counts[0] >= 50:
             names = sorted(words[lang])
             p, q = [common[x] / counts[0] for x in names], [words[lang][x] / total[lang] for x in names]
             by_word = divergence([*p, 1 - sum(p)], [*q, 1 - sum(q)])
+            bare = divergence([*[0] * len(q), 1], [*q, 1 - sum(q)])
         for name, wanted in (("class_distance", by_class), ("word_distance", by_word)):
             assert (row[name] is None) == (wanted is None)
             assert wanted is None or row[name] == pytest.approx(wanted, abs=1e-9)
         kept = not failed and (by_class or 0) <= 0.25 and (by_word or 0) <= 0.45
+        kept = kept and (bare <= 0 or by_word <= bare * (0.98 if counts[0] < 120 else 0.85))
         assert (row.base_failed, row.kept) == (failed, kept)
         rejected += not failed and not kept
     assert rejected > 0

@@ -11,7 +11,7 @@ def test_texts_without_common_words_are_rejected(spark):
     salad = [(100, " ".join(f"word{j} thing{j * 7 % 61}" for j in range(100)), "en"), (101, " ".join(f"word{j}" for j in range(60)), "en")]
     bare = [(200, " ".join(f"word{j}" for j in range(150)), "xx"), (300, None, None)]
     df = spark.createDataFrame([*prose, *salad, *bare], "doc_id long, text string, lang string")
-    loose = {row.doc_id: row for row in quality.quality_rules(df, max_class_distance=1.0).collect()}
+    loose = {row.doc_id: row for row in quality.quality_rules(df, max_class_distance=1.0, bare_share=None).collect()}
     strict = {row.doc_id: row for row in quality.quality_rules(df, max_class_distance=1.0, **SHARES).collect()}
     assert all(loose[k].kept and not strict[k].kept for k in (100, 101))
     assert all(strict[k].kept for k in range(60))
