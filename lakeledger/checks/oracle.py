@@ -271,7 +271,7 @@ from raw_metres m join fx_states s on m.StateCode = s.STATE where s.area is not
 # --- weekly series by geography
 
 VIEWS["geo_depths"] = f"""
-select s.area, {_WEEK} as week, m.secchi
+select s.area, {_WEEK} as week, m.secchi, m.Date
 from all_metres m join (select wqx_id, min(poly_id) as poly_id from inside group by wqx_id) i on m.wqx_id = i.wqx_id
  join fx_states s on cast(s.STATE as int) = i.poly_id where s.area is not null"""
 VIEWS["named_depths"] = f"""
@@ -283,6 +283,9 @@ from (select * from all_metres where siteType = 'Lake, Reservoir, Impoundment'
 VIEWS["named_series"] = """
 select area, week, med as x, row_number() over (partition by area order by week) as i, count(*) over (partition by area) as n
 from (select area, week, quantile_cont(secchi, 0.5) as med from named_depths group by area, week)"""
+VIEWS["daily_series"] = """
+select area, Date, med as x, row_number() over (partition by area order by Date) as i, count(*) over (partition by area) as n
+from (select area, Date, quantile_cont(secchi, 0.5) as med from geo_depths group by area, Date)"""
 VIEWS["weekly"] = "select area, week, quantile_cont(secchi, 0.5) as med from geo_depths group by area, week"
 VIEWS["series"] = """
 select area, week, med as x, row_number() over (partition by area order by week) as i,
@@ -327,6 +330,12 @@ _TUKEY = f"""with recursive {{views}},
  smoothed as ({_end_rule("second_pass")})
 select s.area, s.week, round(s.x, 6) as med, round(t.x, 6) as smooth from series s join smoothed t using (area, i)"""
 
+#: Days need more passes than weeks do: 200 are far past the last change.
+_TUKEY_DAILY = (
+    _TUKEY.replace("pass < 27", "pass < 200").replace("pass = 27", "pass = 200").replace("s.week", "s.Date")
+    .replace("from series", "from daily_series")
+)
+
 RESULT_FIELDS = (
     "Date, value, units, wqx_id, dec_lat_va, dec_lon_va, StateCode, ActivityTypeCode, ActivityMediaName, "
     "ResultStatusIdentifier, MonitoringLocationTypeName"
@@ -514,6 +523,7 @@ ORACLE: dict[str, str] = {
         {_MED3.format("lag(x) over (partition by area order by i)", "x", "lead(x) over (partition by area order by i)")}
         end, 6) as smooth from series""",
     "tukey_smooth": _TUKEY,
+    "tukey_smooth_daily": _TUKEY_DAILY,
     "secchi_pipeline": """select week, area, round(quantile_cont(secchi, 0.5), 6) as med,
         round(quantile_cont(secchi, 0.25), 6) as q25, round(quantile_cont(secchi, 0.75), 6) as q75
         from raw_clean where week > 13 and week < 47 group by week, area""",

@@ -525,3 +525,10 @@ def smooth3(star: Star) -> DataFrame:
 @query
 def tukey_smooth(star: Star) -> DataFrame:
     return _rounded(geography.smoothed_by_geography(_weekly_by_geography(star)), 6, "med", "smooth")
+
+
+@query
+def tukey_smooth_daily(star: Star) -> DataFrame:
+    regions = star.states().select(F.col("STATE").cast("int").alias("poly_id"), "area")
+    daily = geography.daily_by_geography(star.results(), star.sites(), _polygons(star), regions, star.units())
+    return _rounded(daily, 6, "med", "smooth")

@@ -1,7 +1,8 @@
 """Tukey's 3RS3R running-median smoother over an array column (Tukey, Exploratory Data Analysis, 1977).
 
 The passes are higher-order functions over one series held in one array, so a series never leaves its row and
-thousands of series are smoothed side by side. A series is one value per calendar week (at most 53).
+thousands of series are smoothed side by side. A series is one value per calendar week (at most 53); longer ones are
+cut into blocks (``operators/long_series.py``), which use the same passes.
 """
 
 from pyspark.sql import Column
@@ -29,7 +30,7 @@ def _settle(series: Column) -> Column:
     return F.aggregate(passes, series, lambda state, _: running_three(state))
 
 
-def _fix_ends(settled: Column, source: Column) -> Column:
+def fix_ends(settled: Column, source: Column) -> Column:
     """Tukey's end rule: median of the end, its neighbour and the line through the next two."""
     last = F.size(settled) - 1
 
@@ -42,7 +43,7 @@ def _fix_ends(settled: Column, source: Column) -> Column:
     return F.transform(settled, fix)
 
 
-def _split_flats(series: Column) -> Column:
+def split_flats(series: Column) -> Column:
     """Replace each two-point peak or valley by what its outer neighbours extrapolate to."""
     size = F.size(series)
 
@@ -70,8 +71,8 @@ def stages_3rs3r(series: Column) -> list[tuple[str, Column]]:
     c = F.col
     return [
         ("_settled", _settle(series)),
-        ("_ended", _fix_ends(c("_settled"), series)),
-        ("_split", _split_flats(c("_ended"))),
+        ("_ended", fix_ends(c("_settled"), series)),
+        ("_split", split_flats(c("_ended"))),
         ("_settled2", _settle(c("_split"))),
-        ("_smooth", _fix_ends(c("_settled2"), c("_split"))),
+        ("_smooth", fix_ends(c("_settled2"), c("_split"))),
     ]

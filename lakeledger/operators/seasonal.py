@@ -16,16 +16,24 @@ def weekly_median_by_geography(results: DataFrame, assigned: DataFrame, regions:
 
     ``assigned`` holds (wqx_id, poly_id), ``regions`` (poly_id, area). A result counts once per region of its site.
     """
-    members = (
-        assigned.join(regions.select("poly_id", "area").where(F.col("area").isNotNull()), "poly_id")
-        .select("wqx_id", "area")
-        .distinct()
-    )
+    members = _members(assigned, regions)
     depths = results.select("wqx_id", "week", "secchi").join(members, "wqx_id")
     counts = roll_up(value_counts(depths, ["area", "week"], "secchi"), ["area", "week"], "secchi", away=["week"])
     return exact_quantiles(counts, ["area", "week"], "secchi", {"med": 0.5})
 
 
+def daily_median_by_geography(results: DataFrame, assigned: DataFrame, regions: DataFrame) -> DataFrame:
+    """Median depth per region and ``Date``; tables as for ``weekly_median_by_geography``."""
+    depths = results.select("wqx_id", "Date", "secchi").join(_members(assigned, regions), "wqx_id")
+    return exact_quantiles(value_counts(depths, ["area", "Date"], "secchi"), ["area", "Date"], "secchi", {"med": 0.5})
+
+
+def _members(assigned: DataFrame, regions: DataFrame) -> DataFrame:
+    """(wqx_id, area), once for each region of a site."""
+    named = regions.select("poly_id", "area").where(F.col("area").isNotNull())
+    return assigned.join(named, "poly_id").select("wqx_id", "area").distinct()
+
+
 def smooth3(series: DataFrame, keys: Sequence[str], position: str = "week", value: str = "med") -> DataFrame:
     """One pass of the running median of three; the ends of a series are copied."""
     w = Window.partitionBy(*keys).orderBy(position)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import lookups
-from ..operators import quality, seasonal, selection, spatial
+from ..operators import long_series, quality, seasonal, selection, spatial
 
 
 def lake_site_ids(results: DataFrame, waterbodies: DataFrame) -> DataFrame:
@@ -45,6 +45,16 @@ def seasonal_by_geography(
     return seasonal.weekly_median_by_geography(depths, spatial.assign_polygon(points, polygons), regions)
 
 
+def daily_by_geography(
+    results: DataFrame, sites: DataFrame, polygons: DataFrame, regions: DataFrame, factors: DataFrame | None = None
+) -> DataFrame:
+    """Median depth per region and day of all years with its smoothed line."""
+    depths = quality.convert_units(results, factors)
+    points = sites.select("wqx_id", F.col("dec_lon_va").alias("lon"), F.col("dec_lat_va").alias("lat"))
+    daily = seasonal.daily_median_by_geography(depths, spatial.assign_polygon(points, polygons), regions)
+    return long_series.tukey_smooth_long(daily, ["area"])
+
+
 def geography_from_results(
     results: DataFrame, sites: DataFrame, polygons: DataFrame, regions: DataFrame, factors: DataFrame | None = None
 ) -> DataFrame:
