@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .support import grouped, quoted, text_or_empty, tidied, unused, without
+from .vocabularies import check_merging
 from .words import WordIds
 
 ADDED = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -157,10 +158,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep_
     Texts of a partition are encoded together: each distinct word enters an index from pairs to all their positions;
     merges apply to all positions of a pair, in ascending rank; lists of the pairs that change are extended. A worker
     remembers words it has encoded, up to a fixed number. No shuffle; memory is bounded by a fixed amount of text plus
-    the longest document. Special tokens in a text become their ids; decoding keeps them.
+    the longest document. Special tokens in a text become their ids; decoding keeps them. A file with another rule to
+    split, normalize or merge is an error.
 
     A null text is empty and has no ids. Repeated rows are encoded alike. Columns named like an added one are replaced.
     """
+    check_merging(vocabulary)
     docs = without(docs, *ADDED)
     (body,) = unused(docs, "body_")
     kept = docs.schema

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .support import grouped, quoted, shuffle_partitions, stored, text_or_empty, tidied
+from .vocabularies import check_splitting
 from .words import WordIds
 
 MAGIC = b"IDPLANE1"
@@ -113,8 +114,9 @@ def encoded(docs: DataFrame, vocabulary: str, end: int | None, id: str = "doc_id
     """(id, tie, ids): each whole text's ids by the tokenizers library, with ``end`` appended, as binary (see ``_bytes``).
 
     The library encodes each distinct word of its byte-level splitting rule once. tie: a hash of the text, which orders
-    rows of equal id.
+    rows of equal id. A file with another splitting rule is an error.
     """
+    check_splitting(vocabulary)
     kind = docs.schema[id].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,7 +89,7 @@ class WordTable:
     """Distinct words seen so far, each with a number; a worker keeps it from batch to batch, up to a size."""
 
     def __init__(self, special: Iterable[str] = ()):
-        self.special = tuple(special)
+        self.special = tuple(sorted(special, key=len, reverse=True))  # the longest that fits is taken
         self.numbers: dict[str, int] = {}
 
     def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 """URL filters, connected components and chat formatting."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -72,8 +73,49 @@ def test_blocks_reach_aliases_but_not_what_is_allowed(spark):
     }
     assert {row.node_ for row in found} == {1}
     assert url_filters.url_filter(df.limit(0), rules).count() == 0
-    with pytest.raises(ValueError):
-        url_filters.url_filter(df, [("a", "/", "allow")] * 1001)
+    table = spark.createDataFrame([*rules, ("bad.org", "/", "block"), (None, "/", "block"), ("x.org", None, None)], "host string, path string, verdict string")
+    again = url_filters.url_filter(df, table, redirects=redirects).collect()
+    assert {row.page_id: (row.rule, row.verdict) for row in again} == verdicts and len(again) == len(pages)
+    assert url_filters.url_filter(df, table.limit(0)).where("verdict = 'block'").count() == 0
+
+
+def decided(url, rules):
+    """(rule, verdict) by trying every suffix and prefix in a dict of the rules."""
+    host, path = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url).groups()
+    labels, fits = host.split("."), []
+    for k in range(len(labels)):
+        for n in range(len(path) + 1):
+            for verdict in rules.get((".".join(labels[k:]), path[:n]), ()):
+                rule = ".".join(labels[k:]) + path[:n]
+                fits.append((-len(rule), verdict != "block", rule, verdict))
+    return min(fits)[2:] if fits else (None, "allow")
+
+
+def test_a_hundred_thousand_rules(spark):
+    rng = random.Random(6)
+    pages = [row.url for row in spark.read.parquet(f"{DIRECTORY}/pages.parquet").select("url").collect()]
+    hosts = sorted({re.match(r".*?://([^/?#]*)", url).group(1) for url in pages})
+    urls = pages + [f"http://{'a.' * rng.randrange(3)}h{rng.randrange(60_000)}.net/p{rng.randrange(9)}/é/x?q" for _ in range(3000)]
+    urls += ["http://a..net./x", "http:///only/path", "http://h1.net"] * 2
+    rules = [(f"h{k}.net", rng.choice(["", "/", "/p1", "/p2/", "/p3/é"]), rng.choice(["allow", "block"])) for k in range(100_000)]
+    rules += [(rng.choice(hosts), rng.choice(["/", "/en", "/a"]), "block") for _ in range(40)] + [("net", "/p4", "block"), ("", "/x", "block")]
+    rules += [("h7.net", f"/p{k}", v) for k in range(2000) for v in ("allow", "block")]
+    by = {}
+    for host, path, verdict in rules:
+        by.setdefault((host, path), set()).add(verdict)
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_filters.url_filter(df, rules, html=None).collect()
+    assert len(found) == len(urls)
+    for row in found:
+        assert (row.rule, row.verdict) == decided(urls[row.page_id], by), urls[row.page_id]
+
+
+def test_a_table_of_rules_decides_as_literals_do(spark):
+    pages = spark.read.parquet(f"{DIRECTORY}/pages.parquet")
+    table = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    found = url_filters.url_filter(pages, table)
+    wanted = url_filters.url_filter(pages, URL_RULES)
+    assert found.columns == wanted.columns and found.exceptAll(wanted).isEmpty() and found.count() == wanted.count()
 
 
 def test_chat_digests(spark):
