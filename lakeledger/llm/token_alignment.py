@@ -16,7 +16,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -32,10 +32,11 @@ from .support import give_back, grouped, quoted, stored, text_or_empty, tidied
 from .words import WordIds, _powers
 
 ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
-#: Bytes of text worked on together, and bytes of text or distinct windows after which a chunk ends.
-TOGETHER, CHUNK, WINDOWS = 4_000_000, 32_000_000, 200_000
-#: Distinct segments a worker remembers.
-MOST = 300_000
+#: Bytes of text worked on together (arrays take about 65 times as much for a moment, and workers share an executor), and
+#: bytes of text or distinct windows after which a chunk ends.
+TOGETHER, CHUNK, WINDOWS = 500_000, 32_000_000, 200_000
+#: Distinct words and distinct segments a worker remembers.
+MOST = 250_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 ROWS = {"chunk": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(),
@@ -88,7 +89,15 @@ def _byte_vocabulary(path: str) -> tuple[WordIds, Tokens]:
     values = [b""] * (max(vocabulary.values()) + 1)
     for token, k in vocabulary.items():
         values[k] = bytes(letters[x] for x in token) if all(x in letters for x in token) else token.encode()
-    return WordIds(encode), Tokens(values)
+    return WordIds(encode, most=MOST), Tokens(values)
+
+
+class Numbers(dict):
+    """Gives each key that is asked for the next number."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
 
 
 class SegmentIds:
@@ -112,7 +121,7 @@ class SegmentIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers = Numbers()
         self.flat = np.empty(0, np.int32)
         self.at = np.zeros(1, np.int64)
 
@@ -121,13 +130,14 @@ class SegmentIds:
         if len(self.numbers) > MOST:
             self._clear()
         numbers = self.numbers
+        number_of = numbers.__getitem__
         found = []
         for text in texts:
             segments = re.findall(" +[^ ]*", text)
-            found.append(np.fromiter([numbers.setdefault(x, len(numbers)) for x in segments], np.int64, len(segments)))
+            found.append(np.fromiter(map(number_of, segments), np.int64, len(segments)))
         known = len(self.at) - 1
         if len(numbers) > known:
-            fresh = list(numbers)[known:]
+            fresh = list(islice(numbers, known, None))
             encoded = self.model.encode([x[1:] for x in fresh], num_threads=1)
             encoded = [[self.mark] if x == " " else ids for x, ids in zip(fresh, encoded)]
             self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(encoded), np.int32)]
@@ -201,13 +211,39 @@ class Aligned:
         self.groups = [written[x : y - 1] for x, y in zip([0, *stops], stops)]
 
 
+class Numbered:
+    """Numbers of distinct 64-bit keys by the order in which they come, in two arrays that are sorted by key."""
+
+    def __init__(self, kind: type):
+        self.keys, self.numbers, self.size = np.empty(0, kind), np.empty(0, np.int32), 0
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of keys, each of which is given once."""
+        at = np.searchsorted(self.keys, keys)
+        old = np.zeros(len(keys), bool)
+        if len(self.keys):
+            old = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+        numbers = np.empty(len(keys), np.int64)
+        numbers[old] = self.numbers[at[old]]
+        fresh = np.flatnonzero(~old)
+        numbers[fresh] = self.size + np.arange(len(fresh))
+        fresh = fresh[np.argsort(keys[fresh])]
+        self.keys = np.insert(self.keys, at[fresh], keys[fresh])
+        self.numbers = np.insert(self.numbers, at[fresh], numbers[fresh])
+        self.size += len(fresh)
+        return numbers
+
+    def in_order(self) -> np.ndarray:
+        """The keys by number."""
+        return self.keys[np.argsort(self.numbers)]
+
+
 class Windows:
     """The distinct windows of a chunk by their tuples of ids, each aligned once, and the distinct pairs they link."""
 
     def __init__(self, a: Tokens, b: Tokens):
         self.tokens = (a, b)
-        self.known: dict[int, int] = {}
-        self.pairs: dict[int, int] = {}
+        self.known, self.pairs = Numbered(np.uint64), Numbered(np.int64)
         self.groups: list[bytes] = []
         empty = np.empty(0, np.int64)
         self.n_groups, self.linked, self.docs, self.bounds = empty, empty, empty, np.zeros(1, np.int64)
@@ -229,8 +265,8 @@ class Windows:
         codes, distinct = pd.factorize(key)
         sample = np.zeros(len(distinct), np.int64)
         sample[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)  # the first window of each code
-        known, before = self.known, len(self.groups)
-        numbers = np.fromiter([known.setdefault(x, len(known)) for x in distinct.tolist()], np.int64, len(distinct))
+        before = len(self.groups)
+        numbers = self.known(distinct)
         fresh = numbers >= before
         self._add([(ids, start[sample[fresh]], size[sample[fresh]]) for ids, start, size in spans])
         numbers = numbers[codes]
@@ -245,8 +281,7 @@ class Windows:
         if len(others):
             numbers[others] = len(self.groups) + np.arange(len(others))
             self._add([(ids, start[others], size[others]) for ids, start, size in spans])
-            for k in range(len(others)):
-                known[-1 - len(known)] = len(known)
+            self.known.size += len(others)
         return numbers
 
     def _add(self, spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
@@ -259,9 +294,7 @@ class Windows:
             self.ids[k] = np.r_[self.ids[k], ids]
             self.starts[k] = np.r_[self.starts[k], self.starts[k][-1] + np.cumsum(size)]
         codes, distinct = pd.factorize(found.pairs)
-        pairs = self.pairs
-        number = np.fromiter([pairs.setdefault(x, len(pairs)) for x in distinct.tolist()], np.int64, len(distinct))
-        self.linked = np.r_[self.linked, number[codes]]
+        self.linked = np.r_[self.linked, self.pairs(distinct)[codes]]
         self.bounds = np.r_[self.bounds, self.bounds[-1] + np.cumsum(found.n_links)]
         self.n_groups = np.r_[self.n_groups, found.n_groups]
         self.groups += found.groups
@@ -270,9 +303,9 @@ class Windows:
         """Counts a document for each pair that its windows, of distinct (owner, number), link."""
         sizes = np.diff(self.bounds)[number]
         pair = self.linked[_spread(self.bounds[number], sizes)]
-        held = np.sort(np.repeat(owner, sizes) * len(self.pairs) + pair)
-        held = held[np.r_[True, held[1:] != held[:-1]][: len(held)]] % max(len(self.pairs), 1)
-        counted = np.bincount(held, minlength=len(self.pairs))
+        held = np.sort(np.repeat(owner, sizes) * self.pairs.size + pair)
+        held = held[np.r_[True, held[1:] != held[:-1]][: len(held)]] % max(self.pairs.size, 1)
+        counted = np.bincount(held, minlength=self.pairs.size)
         counted[: len(self.docs)] += self.docs
         self.docs = counted
 
@@ -365,7 +398,7 @@ def _aligner(kind: pa.DataType, byte_vocabulary: str, piece_vocabulary: str):
         windows, size = Windows(a_tokens, segments.tokens), 0
 
         def dictionary() -> pa.RecordBatch:
-            pairs = np.fromiter(windows.pairs, np.int64, len(windows.pairs))
+            pairs = windows.pairs.in_order()
             values = {
                 "chunk": chunk, "pairs": _squeezed(np.concatenate([pairs >> 32, pairs & 0xFFFFFFFF])), "docs": _squeezed(windows.docs, "<i8"),
                 "bounds": _squeezed(windows.bounds), "windows": _squeezed(windows.linked),

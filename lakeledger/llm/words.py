@@ -190,11 +190,9 @@ def _hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
 class WordIds:
     """Token ids of words: every distinct word is encoded once by ``encode``, which takes a list of new words."""
 
-    #: Distinct words after which the table starts anew.
-    MOST = 500_000
-
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], special: Iterable[str] = ()):
-        self.encode, self.special = encode, tuple(special)
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], special: Iterable[str] = (), most: int = 500_000):
+        """most: distinct words after which the table starts anew."""
+        self.encode, self.special, self.most = encode, tuple(special), most
         self._clear()
 
     def _clear(self) -> None:
@@ -204,7 +202,7 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        if len(self.table.numbers) > self.MOST:
+        if len(self.table.numbers) > self.most:
             self._clear()
         numbers, owner = self.table.split(texts)
         fresh = list(islice(self.table.numbers, len(self.at) - 1, None))

@@ -2,10 +2,15 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -187,6 +192,34 @@ def test_alignment_of_odd_rows(spark, odd):
         token_alignment.align_tokens(odd, public_tokenizers.path("word_bpe_49k.json"), SPACE_PIECES)
 
 
+def test_keys_are_numbered_as_they_come():
+    numbered, known, rng = token_alignment.Numbered(np.uint64), {}, np.random.default_rng(5)
+    for _ in range(20):
+        keys = rng.permutation(np.unique(rng.integers(0, 400, 60).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        assert numbered(keys).tolist() == [known.setdefault(x, len(known)) for x in keys.tolist()]
+    assert numbered.in_order().tolist() == list(known) and numbered.size == len(known)
+
+
+def test_a_worker_aligns_much_text_in_little_memory(monkeypatch):
+    """Workers share an executor's 3000 MB with its heap: 2 MB of rare words, which hardly share a window."""
+    context = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(token_alignment, "TaskContext", context)
+    rng = np.random.default_rng(11)
+    letters = rng.integers(97, 123, 2_000_000, dtype=np.uint8)
+    letters[rng.random(len(letters)) < 0.16] = 32
+    texts = [letters[k : k + 3_000].tobytes().decode() for k in range(0, len(letters), 3_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    aligned = token_alignment._aligner(pa.int64(), BYTE_BPE, SPACE_PIECES)
+    assert sum(x.num_rows for x in aligned(iter([batch.slice(0, 1)]))) == 2  # vocabularies are loaded
+    tracemalloc.start()
+    try:
+        found = sum(pc.sum(rows.column("n_links")).as_py() or 0 for rows in aligned(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found > 1_000_000 and most < 200e6, (found, most)
+
+
 # --- windows of words -------------------------------------------------------------------------------------------
 
 
