@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,8 +19,10 @@ from .vocabularies import check_merging
 from .words import WordIds
 
 ADDED = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
-#: Bytes of text encoded together: their new words share one pair index.
-TOGETHER = 5_000_000
+#: Bytes of text encoded together: their new words share one pair index. Workers share an executor with its heap.
+TOGETHER = 1_000_000
+#: Distinct words a worker remembers, from one task and stage to the next.
+MOST = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -146,30 +148,11 @@ def _encoder(path: str) -> tuple[Vocabulary, WordIds]:
             found.insert(k, np.array([vocabulary.special[words[k]]], np.int32))
         return found
 
-    return vocabulary, WordIds(encode, vocabulary.special)
+    return vocabulary, WordIds(encode, vocabulary.special, most=MOST)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """``docs`` with the ids of each whole text, their number, and digests of the ids and of the text decoded from them.
-
-    ``vocabulary`` is the path of a byte-level BPE in the JSON form of the tokenizers library, on every machine.
-    ids array<int> (left out if not ``keep_ids``), n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256.
-
-    Texts of a partition are encoded together: each distinct word enters an index from pairs to all their positions;
-    merges apply to all positions of a pair, in ascending rank; lists of the pairs that change are extended. A worker
-    remembers words it has encoded, up to a fixed number. No shuffle; memory is bounded by a fixed amount of text plus
-    the longest document. Special tokens in a text become their ids; decoding keeps them. A file with another rule to
-    split, normalize or merge is an error.
-
-    A null text is empty and has no ids. Repeated rows are encoded alike. Columns named like an added one are replaced.
-    """
-    check_merging(vocabulary)
-    docs = without(docs, *ADDED)
-    (body,) = unused(docs, "body_")
-    kept = docs.schema
-    added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] if keep_ids else []
-    added += [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    width = len(kept)
+def _encoding(vocabulary: str, body: str, width: int, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the columns of ``encode_documents`` to the first ``width`` of batches; the next, ``body``, has the texts."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ids_of = _encoder(vocabulary)
@@ -192,7 +175,30 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep_
             columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
             yield pa.RecordBatch.from_arrays(columns, [*(f"c{k}" for k in range(len(columns)))])
 
+    return encode
+
+
+def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
+    """``docs`` with the ids of each whole text, their number, and digests of the ids and of the text decoded from them.
+
+    ``vocabulary`` is the path of a byte-level BPE in the JSON form of the tokenizers library, on every machine.
+    ids array<int> (left out if not ``keep_ids``), n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256.
+
+    A bounded amount of text is encoded together: each new word enters an index from pairs to all their positions;
+    merges apply to all positions of a pair, in ascending rank; lists of the pairs that change are extended. A worker
+    remembers words it has encoded, up to a fixed number. No shuffle; memory is bounded by a fixed amount of text plus
+    the longest document. Special tokens in a text become their ids; decoding keeps them. A file with another rule to
+    split, normalize or merge is an error.
+
+    A null text is empty and has no ids. Repeated rows are encoded alike. Columns named like an added one are replaced.
+    """
+    check_merging(vocabulary)
+    docs = without(docs, *ADDED)
+    (body,) = unused(docs, "body_")
+    kept = docs.schema
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] if keep_ids else []
+    added += [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     inner = T.StructType([T.StructField(f"c{k}", field.dataType) for k, field in enumerate([*kept.fields, *added])])
     source = docs.select(*[quoted(name).alias(f"c{k}") for k, name in enumerate(docs.columns)], text_or_empty(text).alias(body))
     names = [*docs.columns, *[field.name for field in added]]
-    return source.mapInArrow(tidied(encode), inner).select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(names)])
+    return source.mapInArrow(tidied(_encoding(vocabulary, body, len(kept), keep_ids)), inner).select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(names)])
