@@ -2,16 +2,19 @@
 
 A string of ``length`` bytes that two documents share has, in both, the same smallest gram (by hash) at the same place.
 Strings are therefore dealt out by that gram: a run of strings with one smallest gram, a context, goes where all
-contexts of the gram go, and a gram that one document alone has goes nowhere. In each block the contexts are suffix
-sorted and their common prefixes derived by breadth-first backward extension on the transform, up to ``length``.
+contexts of the gram go, and a gram that one document alone has goes nowhere. In each block the contexts that may have
+a string of another one are suffix sorted and their common prefixes derived by breadth-first backward extension on the
+transform, up to ``length``.
 
 Documents are worked on in chunks, dealt out by a hash of id and text. What leaves a chunk is aggregated in it: a gram
-or context that a third of all documents have leaves each chunk once.
+or context that a third of all documents have leaves each chunk once. A chunk has a row for each block, so chunks and
+blocks grow with the root of the text, as far as a worker holds them: else rows would grow with its square.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,10 @@ ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 GRAM = 18
 #: Bytes of text in a chunk, bytes of text whose grams go into one bucket, and whose contexts go into one block.
 CHUNK, BUCKET, BLOCK = 4 << 20, 16 << 20, 2 << 20
+#: Bytes of text from which chunks and blocks grow, and how many times they may.
+GROWS, CHUNK_TIMES, BLOCK_TIMES = 1 << 30, 2, 4
 #: Bytes of text whose grams are computed together, and bytes of contexts sorted together.
-PIECE, SORTED = 1 << 19, 1 << 19
+PIECE, SORTED = 1 << 16, 1 << 19
 #: Documents with one gram beyond which its strings are dealt out one by one, each by its own hash.
 HOT = 50_000
 NULL_ID = np.iinfo(np.int64).min
@@ -53,6 +58,12 @@ def _spans_hashed(sums: np.ndarray, starts: np.ndarray, length: int, inverse: np
     return _mixed((sums[starts + length] - sums[starts]) * inverse[starts])
 
 
+def _each(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each of several ranges, n of them."""
+    ends = np.cumsum(n)
+    return np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Contexts:
     """The contexts of a group of texts: gram hash, row, and first and last string start within the row's text."""
 
@@ -222,6 +233,27 @@ def smallest_holders(contexts: list[bytes], holders: np.ndarray, length: int) ->
     return np.split(least[kinds], bounds[:-1])
 
 
+def may_meet(contexts: list[bytes], length: int) -> np.ndarray:
+    """Whether each context may have a string of ``length`` bytes that another one has: no other can have one, by hashes."""
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    power, inverse = _powers(1 << max(19, len(data).bit_length()), BASE)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    counts = sizes - length + 1
+    hashes = _spans_hashed(sums, _each(np.cumsum(sizes) - sizes, counts), length, inverse)
+    # hash above, number of the context below: equal hashes of unlike contexts are neighbours
+    bits = np.uint64(len(contexts).bit_length())
+    tagged = np.sort((hashes >> bits << bits) | np.repeat(np.arange(len(contexts), dtype=np.uint64), counts))
+    apart = tagged[1:] ^ tagged[:-1]
+    both = np.flatnonzero((apart != 0) & (apart >> bits == 0))
+    found = np.zeros(len(contexts), bool)
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    found[(tagged[both] & low).astype(np.int64)] = True
+    found[(tagged[both + 1] & low).astype(np.int64)] = True
+    return found
+
+
 # --- the four steps ------------------------------------------------------------------------------------------
 
 
@@ -247,20 +279,25 @@ def _merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
 
 
 def _squeezed(blob: bytes) -> bytes:
-    """Compressed for the way: contexts are text, and other columns are small numbers in 8 bytes."""
     return zstandard.ZstdCompressor(level=1).compress(blob)
 
 
-def _packed(*arrays: np.ndarray) -> list[bytes]:
-    return [_squeezed(np.ascontiguousarray(x, "<i8").tobytes()) for x in arrays]
-
-
 def _expanded(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(_expanded(blob), "<i8")
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Columns of whole numbers, compressed for the way: their lengths, then all first bytes, all second ones, and so on."""
+    planes = np.concatenate(arrays).astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return _squeezed(np.array([len(arrays), *map(len, arrays)], "<i8").tobytes() + planes.tobytes())
+
+
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    data = np.frombuffer(_expanded(blob), np.uint8)
+    lengths = data[8 : 8 + 8 * int(data[:8].view("<i8")[0])].view("<i8")
+    values = np.ascontiguousarray(data[8 + 8 * len(lengths) :].reshape(8, -1).T).view("<i8").reshape(-1)
+    ends = np.cumsum(lengths).tolist()
+    return [values[end - n : end] for end, n in zip(ends, lengths.tolist())]
 
 
 def _batch(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -269,9 +306,10 @@ def _batch(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.Record
 
 GRAMS = {"bucket": pa.int32(), "chunk": pa.int32(), "keys": pa.binary(), "several": pa.binary()}
 SHARED = {"chunk": pa.int32(), "keys": pa.binary(), "hot": pa.binary()}
-PLACED = {"block": pa.int32(), "chunk": pa.int32(), "keys": pa.binary(), "holder": pa.binary(), "sizes": pa.binary(),
-          "context": pa.binary(), "row": pa.binary(), "start": pa.binary(), "stop": pa.binary()}
-SPANS = {"chunk": pa.int32(), "row": pa.binary(), "start": pa.binary(), "stop": pa.binary()}
+#: numbers: of contexts the lower half of the gram's hash, holder and size, of their places the row, start and context; of
+#: what is decided (a block below 0) row, start and stop, as in spans.
+PLACED = {"block": pa.int32(), "chunk": pa.int32(), "numbers": pa.binary(), "context": pa.binary()}
+SPANS = {"chunk": pa.int32(), "spans": pa.binary()}
 
 
 def _tidied(work):
@@ -368,43 +406,46 @@ def _contexts_of(width: int, length: int, blocks: int):
         found = Contexts(texts, length)
         narrow = found.key >> np.uint64(16)
         at = np.minimum(np.searchsorted(known, narrow), len(known) - 1)
-        take = np.flatnonzero(known[at] == narrow)
-        # first occurrence of each context: (key, id, places with that id); later ones are covered whole
-        first: dict[bytes, list] = {}
-        covered: list[tuple[int, int, int]] = []
-
-        def enter(key: int, row: int, start: int, stop: int) -> None:
-            context = texts[row][start:stop]
-            entry = first.get(context)
-            if entry is None:
-                first[context] = [key, ids[row], [(row, start)]]
-            elif ids[row] == entry[1]:
-                entry[2].append((row, start))
-            else:
-                covered.append((row, start, stop))
-
-        for key, row, begin, end, is_hot in zip(
-            found.key[take].tolist(), found.row[take].tolist(), found.first[take].tolist(), found.last[take].tolist(), hot[at[take]].tolist()
-        ):
-            if is_hot:
-                for start in range(begin, end + 1):
-                    string = texts[row][start : start + length]
-                    enter(int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little"), row, start, start + length)
-            else:
-                enter(key, row, begin, end + length)
-        row, start, stop = _merged(*(np.array(x, np.int64) for x in zip(*covered))) if covered else (np.empty(0, np.int64),) * 3
-        for name, value in zip(out, (-1 - chunk, chunk, b"", b"", b"", b"", *_packed(row, start, stop))):
+        several = known[at] == narrow
+        plain, heated = np.flatnonzero(several & ~hot[at]), np.flatnonzero(several & hot[at])
+        # uses in ascending order of id, hot contexts string by string after the others: they have no context in common
+        n = found.last[heated] - found.first[heated] + 1
+        row = np.r_[found.row[plain], np.repeat(found.row[heated], n)]
+        start = np.r_[found.first[plain], _each(found.first[heated], n)]
+        stop = np.r_[found.last[plain], start[len(plain) :]] + length
+        key = np.r_[found.key[plain], np.repeat(found.key[heated], n)]
+        del found, narrow, at, several
+        place: dict[bytes, int] = {}
+        uses = zip(row.tolist(), start.tolist(), stop.tolist())
+        number = np.fromiter((place.setdefault(texts[k][a:b], len(place)) for k, a, b in uses), np.int64, len(row))
+        strings = list(place)
+        del place
+        # first occurrence of each context; later ones are places with its id, or covered whole
+        first = np.flatnonzero(np.r_[True, number[1:] > np.maximum.accumulate(number)[:-1]][: len(number)])
+        holder, key = ids[row[first]], key[first]
+        for k in range(int(np.searchsorted(first, len(plain))), len(strings)):
+            key[k] = int.from_bytes(hashlib.blake2b(strings[k], digest_size=8).digest(), "little")
+        same = ids[row] == holder[number]
+        covered = _merged(row[~same], start[~same], stop[~same])
+        for name, value in zip(out, (-1 - chunk, chunk, _packed(*covered), b"")):
             out[name].append(value)
-        by_block: dict[int, list[bytes]] = {}
-        for context, (key, *_) in first.items():
-            by_block.setdefault((key >> 20) % blocks, []).append(context)
-        for block, strings in by_block.items():
-            entries = [first[x] for x in strings]
-            holders = [(k, row, start) for k, entry in enumerate(entries) for row, start in entry[2]]
-            owner, row, start = (np.array(x, np.int64) for x in zip(*holders))
-            keys = np.array([entry[0] for entry in entries], np.uint64).view(np.int64)
-            values = _packed(keys, [entry[1] for entry in entries], [len(x) for x in strings])
-            for name, value in zip(out, (block, chunk, *values, _squeezed(b"".join(strings)), *_packed(row, start, owner))):
+        block = ((key >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
+        order = np.lexsort((key, block))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        owner = rank[number[same]]
+        by = np.argsort(owner, kind="stable")
+        owner, row, start = owner[by], row[same][by], start[same][by]
+        block, holder = block[order], holder[order]
+        key = (key[order] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings))[order]
+        edge = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)] if len(block) else np.zeros(1, np.int64)
+        place_edge = np.searchsorted(owner, edge).tolist()
+        order, edge = order.tolist(), edge.tolist()
+        for a, b, x, y in zip(edge, edge[1:], place_edge, place_edge[1:]):
+            # places are in the order of their contexts: steps from one to the next are short
+            numbers = _packed(key[a:b], holder[a:b], sizes[a:b], row[x:y], start[x:y], np.diff(owner[x:y], prepend=a))
+            for name, value in zip(out, (int(block[a]), chunk, numbers, _squeezed(b"".join([strings[k] for k in order[a:b]])))):
                 out[name].append(value)
         return pa.Table.from_batches([_batch(out, PLACED)])
 
@@ -415,82 +456,83 @@ def _spans_of(length: int):
     def spans(table: pa.Table) -> pa.Table:
         """Of a block: the spans of each chunk's contexts that a smaller id has too; spans decided before pass through."""
         out = {name: [] for name in SPANS}
-        rows = table.to_pylist()
-        if rows and rows[0]["block"] < 0:
-            return table.select(list(SPANS))
+        if table.num_rows and table.column("block")[0].as_py() < 0:
+            return table.select(["chunk", "numbers"]).rename_columns(list(SPANS))
         place: dict[bytes, int] = {}
-        number, holder, key, entries = [], [], [], []
-        for row in rows:
-            sizes, text = _unpacked(row["sizes"]), _expanded(row["context"])
-            ends = np.cumsum(sizes)
-            found = [place.setdefault(text[x:y], len(place)) for x, y in zip((ends - sizes).tolist(), ends.tolist())]
-            number.append(np.array(found, np.int64))
-            holder.append(_unpacked(row["holder"]))
-            key.append(_unpacked(row["keys"]))
-            entries.append([_unpacked(row[name]) for name in ("row", "start", "stop")])
-        strings = list(place)
-        numbers = np.concatenate(number)
+        number, columns, before = [], [], 0
+        for packed, squeezed in zip(table.column("numbers").to_pylist(), table.column("context").to_pylist()):
+            key, holder, sizes, row, start, step = _unpacked(packed)
+            text, ends = _expanded(squeezed), np.cumsum(sizes)
+            number += [place.setdefault(text[x:y], len(place)) for x, y in zip((ends - sizes).tolist(), ends.tolist())]
+            columns.append((key, holder, row, start, before + np.cumsum(step)))
+            before += len(key)
+        which = np.repeat(np.arange(len(columns)), [len(x[2]) for x in columns])
+        key, holder, row, start, owner = (np.concatenate(x) for x in zip(*columns))
+        strings, numbers = list(place), np.array(number, np.int64)
+        del place, number, columns
         keys, least = np.empty(len(strings), np.int64), np.full(len(strings), np.iinfo(np.int64).max)
-        keys[numbers] = np.concatenate(key)
-        np.minimum.at(least, numbers, np.concatenate(holder))
+        keys[numbers] = key
+        np.minimum.at(least, numbers, holder)
         sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-        values: list[np.ndarray] = [None] * len(strings)
-        for part in _parts(keys, sizes):
-            for k, found in zip(part, smallest_holders([strings[k] for k in part], least[part], length)):
-                values[k] = found
-        smallest = np.concatenate(values)
         count = sizes - length + 1
         begin = np.cumsum(count) - count
+        smallest = np.repeat(least, count)
+        for part in _parts(keys, sizes, _meeting(strings, keys, sizes, length)):
+            for k, found in zip(part.tolist(), smallest_holders([strings[k] for k in part.tolist()], least[part], length)):
+                smallest[begin[k] : begin[k] + len(found)] = found
         # of all uses of contexts those of which a string has a smaller holder, whole or in part
-        which = np.repeat(np.arange(len(rows)), [len(x[0]) for x in entries])
-        row, start = (np.concatenate([x[k] for x in entries]) for k in (0, 1))
-        used = np.concatenate([mine[x[2]] for mine, x in zip(number, entries)])
-        own = np.concatenate([mine[x[2]] for mine, x in zip(holder, entries)])
+        used, own = numbers[owner], holder[owner]
         some = np.minimum.reduceat(smallest, begin)[used] < own
         which, row, start, used, own = which[some], row[some], start[some], used[some], own[some]
         every = np.maximum.reduceat(smallest, begin)[used] < own
         n = count[used[~every]]
-        ends = np.cumsum(n)
-        inner = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
-        hit = smallest[inner + np.repeat(begin[used[~every]], n)] < np.repeat(own[~every], n)
-        first = (np.repeat(start[~every], n) + inner)[hit]
+        hit = smallest[_each(begin[used[~every]], n)] < np.repeat(own[~every], n)
+        first = _each(start[~every], n)[hit]
         wide = int(row.max(initial=0)) + 1
         at = which * wide + row
         at, start, stop = _merged(
             np.r_[at[every], np.repeat(at[~every], n)[hit]], np.r_[start[every], first],
             np.r_[start[every] + sizes[used[every]], first + length],
         )
-        bounds = np.searchsorted(at, np.arange(len(rows) + 1) * wide).tolist()
+        chunks = table.column("chunk").to_pylist()
+        bounds = np.searchsorted(at, np.arange(len(chunks) + 1) * wide).tolist()
         for k, (x, y) in enumerate(zip(bounds, bounds[1:])):
             if y > x:
-                for name, value in zip(out, (rows[k]["chunk"], *_packed(at[x:y] - k * wide, start[x:y], stop[x:y]))):
-                    out[name].append(value)
+                out["chunk"].append(chunks[k])
+                out["spans"].append(_packed(at[x:y] - k * wide, start[x:y], stop[x:y]))
         return pa.Table.from_batches([_batch(out, SPANS)])
 
     return spans
 
 
-def _parts(keys: np.ndarray, sizes: np.ndarray) -> Iterator[list[int]]:
-    """Contexts in parts of about SORTED bytes; contexts of one gram stay together."""
-    part, size, last = [], 0, None
-    for k in np.argsort(keys, kind="stable").tolist():
-        if size >= SORTED and keys[k] != last:
-            yield part
-            part, size = [], 0
-        part.append(k)
-        size += int(sizes[k]) + 1
-        last = keys[k]
-    if part:
-        yield part
+def _meeting(strings: list[bytes], keys: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """The contexts that may have a string of another one: none of those that are alone with their gram has."""
+    order = np.argsort(keys, kind="stable")
+    alike = keys[order][1:] == keys[order][:-1]
+    found = np.zeros(len(strings), bool)
+    for part in _parts(keys, sizes, np.sort(order[np.r_[alike, False] | np.r_[False, alike]])):
+        found[part] = may_meet([strings[k] for k in part.tolist()], length)
+    return np.flatnonzero(found)
+
+
+def _parts(keys: np.ndarray, sizes: np.ndarray, some: np.ndarray) -> Iterator[np.ndarray]:
+    """Some of the contexts in parts of about SORTED bytes; contexts of one gram stay together."""
+    some = some[np.argsort(keys[some], kind="stable")]
+    if not len(some):
+        return
+    begin = np.flatnonzero(np.r_[True, keys[some][1:] != keys[some][:-1]])
+    ends = np.cumsum(sizes[some] + 1)
+    full = (ends[begin] - sizes[some][begin] - 1) // SORTED
+    edge = begin[np.r_[True, full[1:] != full[:-1]]]
+    yield from np.split(some, edge[1:])
 
 
 def _result_of(names: list[str], text_at: int, width: int, with_kept: bool):
     def result(docs: pa.Table, spans: pa.Table) -> pa.Table:
         """A chunk's rows with what is left of each."""
         order, texts, _ = _rows(docs, width)
-        parts = [[_unpacked(x) for x in spans.column(name).to_pylist()] for name in ("row", "start", "stop")]
-        columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in parts]
-        row, start, stop = _merged(*columns)
+        parts = [_unpacked(x) for x in spans.column("spans").to_pylist()]
+        row, start, stop = _merged(*(np.concatenate(x) for x in zip(*(parts or [(np.empty(0, np.int64),) * 3]))))
         bounds = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
         counted = np.zeros((3, len(texts)), np.int64)
         digests, left = [""] * len(texts), [b""] * len(texts)
@@ -516,6 +558,12 @@ def _result_of(names: list[str], text_at: int, width: int, with_kept: bool):
     return result
 
 
+def _sizes(total: int) -> tuple[int, int]:
+    """Bytes of text in a chunk and in a block, for so many in all."""
+    root = math.sqrt(total / GROWS)
+    return int(CHUNK * min(max(1, root), CHUNK_TIMES)), int(BLOCK * min(max(1, root), BLOCK_TIMES))
+
+
 def remove_repeats(
     docs: DataFrame, id: str = "doc_id", text: str = "text", *, length: int = 50, replace_text: bool = True
 ) -> DataFrame:
@@ -537,7 +585,8 @@ def remove_repeats(
         raise ValueError(f"length: more than {GRAM} bytes")
     docs = without(docs, *ADDED)
     total = docs.agg(F.sum(F.octet_length(quoted(text).cast("string")))).first()[0] or 0
-    chunks, buckets, blocks = (max(1, -(-total // size)) for size in (CHUNK, BUCKET, BLOCK))
+    wide, deep = _sizes(total)
+    chunks, buckets, blocks = (max(1, -(-total // size)) for size in (wide, BUCKET, deep))
     names = [name for name in docs.columns if name.lower() != text.lower()]
     width = len(names)
     columns = [quoted(name).alias(f"c{k}") for k, name in enumerate(names)]
